@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["columns", "profiles"]
+MODULES = ["columns", "profiles", "roles"]
 
 
 def entries() -> dict:

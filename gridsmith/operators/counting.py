@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsmith.functions.scalars import as_column
-from gridsmith.operators.columns import is_numeric, rows_from, simple_columns
+from gridsmith.operators.columns import INTEGRALS, is_numeric, rows_from, simple_columns
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -26,6 +26,14 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+def _distinct_key(c, kind: str):
+    if kind != "string":
+        return as_column(c).cast(kind)
+    text = as_column(c).cast("string")
+    # Long texts go through the shuffle as a 256-bit digest instead of whole.
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact distinct non-missing values per column: ``column, distinct``.
 
@@ -36,7 +44,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     kinds: dict[str, list[str]] = {}
     for f in df.schema.fields:
         if f.name in columns:
-            if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            if isinstance(f.dataType, INTEGRALS):
                 kind = "bigint"
             elif is_numeric(f.dataType):
                 kind = "double"
@@ -45,7 +53,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
             kinds.setdefault(kind, []).append(f.name)
     parts = []
     for kind, names in kinds.items():
-        wide = df.select(*[as_column(c).cast(kind).alias(c) for c in names])
+        wide = df.select(*[_distinct_key(c, kind).alias(c) for c in names])
         parts.append(
             wide.unpivot([], names, "column", "value")
             .filter(F.col("value").isNotNull())
@@ -54,12 +62,32 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
             .groupBy("column")
             .agg(F.count(F.lit(1)).alias("distinct"))
         )
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, distinct bigint")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def distinct_within(df: DataFrame, columns: list[str], limit: int) -> dict[str, int | None]:
+    """Exact distinct counts of the columns with at most ``limit`` values, else None.
+
+    One sketch scan rules out the columns far above the limit (twice, which is
+    ten standard errors), so that no shuffle carries a high-cardinality column.
+    """
+    if not columns:
+        return {}
+    row = df.agg(
+        *[F.approx_count_distinct(as_column(c), 0.05).alias(f"d{i}") for i, c in enumerate(columns)]
+    ).first()
+    near = [c for i, c in enumerate(columns) if row[i] <= 2 * limit + 10]
+    exact = dict.fromkeys(near, 0)
+    if near:
+        exact |= {r["column"]: r["distinct"] for r in distinct_counts(df, near).collect()}
+    return {c: exact[c] if c in exact and exact[c] <= limit else None for c in columns}
+
+
 def missing_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, position, rows, missing, missing_ratio`` for every column, in one scan."""
     columns = columns if columns is not None else df.columns

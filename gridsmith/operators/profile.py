@@ -15,7 +15,12 @@ from gridsmith.operators.columns import (
     simple_columns,
     time_columns,
 )
-from gridsmith.operators.counting import distinct_counts, missing_counts, value_counts
+from gridsmith.operators.counting import (
+    distinct_counts,
+    distinct_within,
+    missing_counts,
+    value_counts,
+)
 from gridsmith.operators.cumulate import exact_quantiles, grouped_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -124,27 +129,20 @@ def time_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def category_profile(df: DataFrame, columns: list[str] | None = None, top: int = 10) -> DataFrame:
     """Distinct values, their ratio and, for few values, the most frequent ones."""
     columns = columns if columns is not None else other_columns(df)
-    counts = value_counts(df, columns)
-    stats = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.sum("n").alias("count"),
-    )
     tops = (
-        category_top_values(df, columns, top, counts)
+        category_top_values(df, columns, top)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("_tops"))
-        .select(
-            "column",
-            F.map_from_arrays(F.col("_tops.value"), F.col("_tops.n")).alias("top_values"),
-        )
+        .select("column", F.map_from_arrays(F.col("_tops.value"), F.col("_tops.n")).alias("top_values"))
     )
-    base = missing_counts(df, columns).select("column", "rows", "missing", "missing_ratio")
+    base = missing_counts(df, columns).withColumn("count", F.col("rows") - F.col("missing"))
+    # Every side holds one row per column.
     return (
-        base.join(stats, "column", "left")
+        base.join(distinct_counts(df, columns), "column", "left")
         .join(tops, "column", "left")
         .select(
             "column",
-            F.coalesce("count", F.lit(0)).alias("count"),
+            "count",
             "missing",
             (F.col("missing_ratio") * 100).alias("missing_percentage"),
             F.coalesce("distinct", F.lit(0)).alias("distinct"),
@@ -155,20 +153,19 @@ def category_profile(df: DataFrame, columns: list[str] | None = None, top: int =
 
 
 def category_top_values(
-    df: DataFrame, columns: list[str] | None = None, top: int = 10, counts: DataFrame | None = None
+    df: DataFrame, columns: list[str] | None = None, top: int = 10
 ) -> DataFrame:
-    """``column, value, n, rank`` for columns with at most 20 distinct values."""
+    """``column, value, n, rank`` for columns with at most 20 distinct values.
+
+    Only those columns are counted by value, so the shuffle stays small.
+    """
     columns = columns if columns is not None else other_columns(df)
-    counts = counts if counts is not None else value_counts(df, columns)
-    few = (
-        counts.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("_d"))
-        .filter(F.col("_d") <= TOP_VALUES_LIMIT)
-        .select("column")
-    )
+    few = [c for c, d in distinct_within(df, columns, TOP_VALUES_LIMIT).items() if d]
     ranking = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    if not few:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint, rank int")
     return (
-        counts.join(F.broadcast(few), "column", "left_semi")  # one row per column at most
+        value_counts(df, few)
         .withColumn("rank", F.row_number().over(ranking))
         .filter(F.col("rank") <= top)
     )
