@@ -70,22 +70,34 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return out
 
 
-def distinct_within(df: DataFrame, columns: list[str], limit: int) -> dict[str, int | None]:
-    """Exact distinct counts of the columns with at most ``limit`` values, else None.
+def distinct_near(df: DataFrame, marks: dict[str, list[float]]) -> dict[str, int]:
+    """Distinct counts good enough to compare with the marks given per column.
 
-    One sketch scan rules out the columns far above the limit (twice, which is
-    ten standard errors), so that no shuffle carries a high-cardinality column.
+    One sketch scan (5 % standard error) settles the columns at least a factor
+    of two, ten standard errors or more, away from each of their marks. The
+    others are counted exactly, so no shuffle carries a column whose answer is
+    already plain.
     """
-    if not columns:
+    if not marks:
         return {}
+    columns = list(marks)
     row = df.agg(
         *[F.approx_count_distinct(as_column(c), 0.05).alias(f"d{i}") for i, c in enumerate(columns)]
     ).first()
-    near = [c for i, c in enumerate(columns) if row[i] <= 2 * limit + 10]
-    exact = dict.fromkeys(near, 0)
-    if near:
-        exact |= {r["column"]: r["distinct"] for r in distinct_counts(df, near).collect()}
-    return {c: exact[c] if c in exact and exact[c] <= limit else None for c in columns}
+    counts = {c: row[i] for i, c in enumerate(columns)}
+    close = [c for c in columns if any(m / 2 - 10 <= counts[c] <= m * 2 + 10 for m in marks[c])]
+    if close:
+        counts |= dict.fromkeys(close, 0)
+        counts |= {r["column"]: r["distinct"] for r in distinct_counts(df, close).collect()}
+    return counts
+
+
+def distinct_within(df: DataFrame, columns: list[str], limit: int) -> dict[str, int | None]:
+    """Exact distinct counts of the columns with at most ``limit`` values, else None."""
+    # Marks at zero, at a quarter of the limit and so on make every count up to the limit exact.
+    steps = [limit / 4**i for i in range(12) if limit / 4**i >= 1] + [0]
+    counts = distinct_near(df, {c: steps for c in columns})
+    return {c: n if n <= limit else None for c, n in counts.items()}
 
 
 def missing_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
