@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions.scalars import as_column, missing_to_null, nan_to_null
@@ -29,6 +29,13 @@ LOW_CORRELATION = 0.3
 PAIRS_PER_JOB = 150
 
 
+def pair_correlation(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are known; NULL when either is constant."""
+    a, b = a.cast("double"), b.cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``a, b, r`` per pair: every pair is one aggregate of the same scan."""
     parts = []
@@ -36,7 +43,7 @@ def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         chunk = pairs[start : start + PAIRS_PER_JOB]
         one = df.agg(
             *[
-                F.corr(as_column(a).cast("double"), as_column(b).cast("double")).alias(f"r{i}")
+                pair_correlation(as_column(a), as_column(b)).alias(f"r{i}")
                 for i, (a, b) in enumerate(chunk)
             ]
         )
@@ -262,7 +269,7 @@ def correlation_with_codes(df: DataFrame, target: str, features: list[str]) -> D
     aggs = []
     for i, f in enumerate(features):
         x = F.when(F.col("_code").isNotNull(), as_column(f).cast("double"))
-        aggs += [F.corr(F.col("_code").cast("double"), x).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
+        aggs += [pair_correlation(F.col("_code"), x).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
     row = coded.agg(*aggs).first()
     rows = []
     for i, f in enumerate(features):
@@ -297,7 +304,7 @@ def relevant_features(
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(numeric):
         x = F.coalesce(as_column(c).cast("double"), F.lit(0.0))
-        aggs += [F.corr(F.col("_y").cast("double"), x).alias(f"r{i}"), (F.min(x) < F.max(x)).alias(f"varies{i}")]
+        aggs += [pair_correlation(F.col("_y"), x).alias(f"r{i}"), (F.min(x) < F.max(x)).alias(f"varies{i}")]
     aggs += [F.count(as_column(c)).alias(f"t{i}") for i, c in enumerate(texts)]
     row = coded.agg(*aggs).first()
     rows = []
