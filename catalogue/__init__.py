@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["columns", "profiles", "roles", "association", "checks"]
+MODULES = ["columns", "profiles", "roles", "association", "checks", "metrics"]
 
 
 def entries() -> dict:
