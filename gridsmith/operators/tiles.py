@@ -50,6 +50,7 @@ def compare_blocks(
         return F.pmod(F.xxhash64(key), F.lit(n).cast("bigint"))
 
     a = left.withColumn("_i", block(left_blocks)).withColumn("_j", numbers(right_blocks))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     b = right.withColumn("_j", block(right_blocks)).withColumn("_i", numbers(left_blocks))
     return (
         a.groupBy("_i", "_j")
