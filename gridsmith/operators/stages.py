@@ -55,6 +55,7 @@ class ColumnCleaner(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, *, missingThreshold=0.8, minUniqueRatio=0.01, removeConstant=True, removeIdentifiers=True):
         super().__init__()
+        self._setDefault(missingThreshold=0.8, minUniqueRatio=0.01, removeConstant=True, removeIdentifiers=True)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
@@ -116,6 +117,7 @@ class Scaling(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
     def __init__(self, *, inputCols=None, method="standard"):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self._setDefault(method="standard")
 
     def _fit(self, df: DataFrame):
         values = P.scaling_values(df, self.getInputCols(), self.getOrDefault(self.method))
