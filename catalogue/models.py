@@ -29,7 +29,8 @@ def _lines(s, d):
 def _coefficients(name, params=None):
     def run(s, d):
         df = _lines(s, d)
-        model = build("regression", name, params, df.count()).fit(df)
+        n, spread = df.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        model = build("regression", name, params, n, spread=spread).fit(df)
         row = [("l_quantity", float(model.coefficients[0])), ("l_tax", float(model.coefficients[1])), ("intercept", float(model.intercept))]
         return rounded(s.createDataFrame(row, "term string, value double"), 3)
 

@@ -115,19 +115,21 @@ def _boost_settings(p: dict) -> dict:
     }
 
 
-def build(task: str, name: str, params: dict | None = None, rows: int = 1, classes: int = 2, width: int = 1) -> Estimator:
+def build(task: str, name: str, params: dict | None = None, rows: int = 1, classes: int = 2, width: int = 1, spread: float = 1.0) -> Estimator:
     """An estimator with the usual names for its settings.
 
     Penalties are rescaled: the objective here is a mean over rows, the usual
-    one for ridge and logistic regression a sum. ``rows``, ``classes`` and
-    ``width`` describe the training table.
+    one for ridge and logistic regression a sum, and the squared penalty is
+    divided by the label's deviation when fitting. ``rows``, ``classes``,
+    ``width`` and ``spread`` (the label's population deviation) describe the
+    training table.
     """
     p = dict(params or {})
     if task == "regression":
         if name == "linear_regression":
             return LinearRegression(regParam=0.0, fitIntercept=p.get("fit_intercept", True))
         if name == "ridge":
-            return LinearRegression(regParam=p.get("alpha", 1.0) / rows, elasticNetParam=0.0, standardization=False)
+            return LinearRegression(regParam=p.get("alpha", 1.0) / rows * spread, elasticNetParam=0.0, standardization=False)
         if name == "lasso":
             return LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=1.0, standardization=False)
         if name == "random_forest":

@@ -76,11 +76,11 @@ def fit_model(
         if name == "knn":
             stored = ready
             return NearestModel(prepare, stored, key, params or {}, task)
-        shape = ready.agg(F.count(F.lit(1)), F.max("label"), F.first(F.size(vector_to_array("features")))).first()
+        shape = ready.agg(F.count(F.lit(1)), F.max("label"), F.first(F.size(vector_to_array("features"))), F.stddev_pop("label")).first()
         classes = int(shape[1] or 0) + 1 if task == "classification" else 0
         if (params or {}).get("class_weight") == "balanced":
             ready = _class_weights(ready)
-        model = build(task, name, params, shape[0], classes, shape[2]).fit(ready)
+        model = build(task, name, params, shape[0], classes, shape[2], shape[3] or 1.0).fit(ready)
         return PipelineModel([prepare, model])
     finally:
         if name != "knn":
