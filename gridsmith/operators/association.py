@@ -25,8 +25,8 @@ MAX_MATRIX_COLUMNS = 30
 MAX_MATRIX_DISTINCT = 1000
 IDENTIFIER_WORDS = ["id", "product", "sku", "code", "index", "unique"]
 LOW_CORRELATION = 0.3
-# Pairs per job, to bound the generated code.
-PAIRS_PER_JOB = 150
+# Up to this many pairs are plain aggregates of one job.
+FEW_PAIRS = 6
 
 
 def pair_correlation(a: Column, b: Column) -> Column:
@@ -37,32 +37,66 @@ def pair_correlation(a: Column, b: Column) -> Column:
 
 
 def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``a, b, r`` per pair: every pair is one aggregate of the same scan."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        one = df.agg(
-            *[
-                pair_correlation(as_column(a), as_column(b)).alias(f"r{i}")
-                for i, (a, b) in enumerate(chunk)
-            ]
-        )
-        names = [f"{i}" for i in range(len(chunk))]
-        parts.append(
-            rows_from(
-                one,
-                names,
-                {
-                    "a": lambda i, _, chunk=chunk: F.lit(chunk[i][0]),
-                    "b": lambda i, _, chunk=chunk: F.lit(chunk[i][1]),
-                    "r": lambda i, _: nan_to_null(F.col(f"r{i}")),
-                },
-            ).drop("column")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """``a, b, r`` per pair, from one scan.
+
+    A few pairs are plain aggregates. Many would make one huge generated
+    method, so there each task multiplies its own columns as matrices and
+    sends one row per pair to the shuffle.
+    """
+    if len(pairs) > FEW_PAIRS:
+        return _pair_rows_by_blocks(df, pairs)
+    one = df.agg(
+        *[pair_correlation(as_column(a), as_column(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    )
+    return rows_from(
+        one,
+        [f"{i}" for i in range(len(pairs))],
+        {
+            "a": lambda i, _: F.lit(pairs[i][0]),
+            "b": lambda i, _: F.lit(pairs[i][1]),
+            "r": lambda i, _: nan_to_null(F.col(f"r{i}")),
+        },
+    ).drop("column")
+
+
+def _pair_rows_by_blocks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    columns = sorted({c for pair in pairs for c in pair})
+    place = {c: i for i, c in enumerate(columns)}
+    wide = df.select(*[as_column(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    stats = wide.agg(*[F.avg(c) for c in wide.columns], *[F.min(c) == F.max(c) for c in wide.columns]).first()
+    # Sums are taken around the means so that large offsets do not cancel digits.
+    centre = [float(v or 0.0) for v in stats[: len(columns)]]
+    constant = {c for i, c in enumerate(columns) if stats[len(columns) + i] in (None, True)}
+    left = [place[a] for a, _ in pairs]
+    right = [place[b] for _, b in pairs]
+
+    def products(batches):
+        import numpy as np
+        import pandas as pd
+
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - np.array(centre)
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums = x.T @ known
+            squares = (x * x).T @ known
+            part = np.stack([known.T @ known, sums, sums.T, squares, squares.T, x.T @ x])[:, left, right]
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"pair": np.arange(len(left)), **{f"s{i}": total[i] for i in range(6)}})
+
+    fields = ", ".join(f"s{i} double" for i in range(6))
+    sums = wide.mapInPandas(products, f"pair int, {fields}").groupBy("pair").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)])
+    n, x, y, xx, yy, xy = (F.col(f"s{i}") for i in range(6))
+    wide_x, wide_y = n * xx - x * x, n * yy - y * y
+    # What is left of a column constant over the shared rows is rounding, not spread.
+    varies = (wide_x > n * xx * 1e-12) & (wide_y > n * yy * 1e-12)
+    r = F.when(varies, F.try_divide(n * xy - x * y, F.sqrt(wide_x * wide_y)))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a in constant or b in constant).alias("flat")) for a, b in pairs])
+    return sums.withColumn("p", F.element_at(names, F.col("pair") + 1)).select(
+        "p.a", "p.b", F.when(~F.col("p.flat"), r).alias("r")
+    )
 
 
 def _full_matrix(half: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ MAX_BUCKETS = 2048
 ACCURACY = 10_000
 # Up to this many values, a quantile keeps every distinct value.
 SMALL = 2 * ACCURACY
+# Up to this many rows, a table skips the sketch altogether.
+DIRECT_ROWS = 1_000_000
 
 
 def running_totals(
@@ -124,16 +126,9 @@ def _thin(value: Column, brackets: list[tuple[Column, Column]]) -> Column:
     )
 
 
-def _read_ranks(thinned: DataFrame, keys: list[str], probs: list[float], n: Column) -> DataFrame:
-    """Counts per thinned value to interpolated quantiles, one row per key."""
-    counts = (
-        thinned.filter(F.col("t.v").isNotNull())
-        .groupBy(*keys, F.col("t.v").alias("_v"), F.col("t.kept").alias("_kept"), n.alias("_n"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*keys).orderBy("_v", "_kept").rowsBetween(Window.unboundedPreceding, 0)
-    )
+def _read_ranks(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``_v, _kept, _c, _n`` per value to interpolated quantiles, one row per key."""
+    upto = Window.partitionBy(*keys).orderBy("_v", "_kept").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
@@ -157,52 +152,54 @@ def _read_ranks(thinned: DataFrame, keys: list[str], probs: list[float], n: Colu
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Interpolated quantiles of numeric columns: ``column, q0, q1, ...``.
 
-    A first scan brackets every rank with a bounded sketch. A second scan keeps
-    only the values inside the brackets and pools all others into counts, so
-    the sort at the end sees a few ten-thousandths of a large column.
+    A large table is scanned twice: a bounded sketch brackets every rank, then
+    only the values inside the brackets are kept and all others pooled into
+    counts, so the sort at the end sees a few ten-thousandths of a column. A
+    table of at most ``DIRECT_ROWS`` rows skips the sketch and keeps all values.
     Columns without any value give no row.
     """
-    array = F.array(*[F.lit(p) for p in _bracket_probs(probs)])
-    aggs = []
-    for i, c in enumerate(columns):
-        v = as_column(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, array, F.lit(ACCURACY)).alias(f"b{i}")]
-    row = df.agg(*aggs).first()
-    items = []
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        if not n:
-            continue
-        cuts = F.array(*[F.lit(float(x)) for x in row[f"b{i}"]])
-        brackets = _literal_brackets(n, row[f"b{i}"], probs)
-        v = as_column(c).cast("double")
-        items.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(n).cast("bigint").alias("n"),
-                F.when(v.isNotNull(), _thin(v, brackets)).alias("t"),
-            )
+    wide = df.select(*[as_column(c).cast("double").alias(f"{i}") for i, c in enumerate(columns)])
+    names = wide.columns
+    if wide.select(F.lit(1)).limit(DIRECT_ROWS + 1).count() <= DIRECT_ROWS:
+        long = wide.unpivot([], names, "i", "v").filter(F.col("v").isNotNull())
+        counts = long.groupBy("i", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = counts.withColumns({"_kept": F.lit(1), "_n": F.sum("_c").over(Window.partitionBy("i"))})
+    else:
+        array = F.array(*[F.lit(p) for p in _bracket_probs(probs)])
+        sketch = wide.agg(
+            *[F.count(c).alias(f"n{c}") for c in names],
+            *[F.percentile_approx(c, array, F.lit(ACCURACY)).alias(f"b{c}") for c in names],
+        ).first()
+        sizes = [sketch[f"n{c}"] or 0 for c in names]
+        ends = [_literal_brackets(n, sketch[f"b{c}"], probs) for n, c in zip(sizes, names)]
+        # Narrow rows and small lookups keep the second scan in compiled code for any width.
+        place = F.col("i").cast("int") + 1
+        brackets = [
+            tuple(F.element_at(F.array(*[F.lit(e[q][side]) for e in ends]), place) for side in (0, 1))
+            for q in range(len(probs))
+        ]
+        long = wide.unpivot([], names, "i", "v").filter(F.col("v").isNotNull())
+        thinned = long.select("i", _thin(F.col("v"), brackets).alias("t"))
+        counts = (
+            thinned.filter(F.col("t.v").isNotNull())
+            .groupBy("i", F.col("t.v").alias("_v"), F.col("t.kept").alias("_kept"))
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_n", F.element_at(F.array(*[F.lit(n) for n in sizes]), place).cast("bigint"))
         )
-    if not items:
-        empty = ", ".join(f"q{i} double" for i in range(len(probs)))
-        return df.sparkSession.createDataFrame([], f"column string, {empty}")
-    return _read_ranks(df.select(F.inline(F.array(*items))), ["column"], probs, F.col("n"))
+    picked = _read_ranks(counts, ["i"], probs)
+    labels = F.array(*[F.lit(c) for c in columns])
+    return picked.select(
+        F.element_at(labels, F.col("i").cast("int") + 1).alias("column"), *[f"q{i}" for i in range(len(probs))]
+    )
 
 
-def _literal_brackets(n: int, cuts: list[float], probs: list[float]) -> list[tuple[Column, Column]]:
+def _literal_brackets(n: int, cuts: list[float] | None, probs: list[float]) -> list[tuple[float, float]]:
     out = []
     for i, p in enumerate(probs):
         low = -math.inf if n <= SMALL or p - 2 / ACCURACY <= 0 else float(cuts[2 * i])
         high = math.inf if n <= SMALL or p + 2 / ACCURACY >= 1 else float(cuts[2 * i + 1])
         out.append((low, high))
-    # Merge overlaps so that each value is tested against few ranges.
-    merged: list[list[float]] = []
-    for low, high in sorted(out):
-        if merged and low <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], high)
-        else:
-            merged.append([low, high])
-    return [(F.lit(low), F.lit(high)) for low, high in merged]
+    return out
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
@@ -216,5 +213,10 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: list[float])
     )
     joined = slim.join(sketch, F.col("_g").eqNullSafe(F.col("_k")))
     brackets = _brackets(F.col("_n"), F.col("_cuts"), probs)
-    thinned = joined.select("_g", F.col("_n").alias("n"), _thin(F.col("_x"), brackets).alias("t"))
-    return _read_ranks(thinned, ["_g"], probs, F.col("n")).withColumnRenamed("_g", group)
+    thinned = joined.select("_g", "_n", _thin(F.col("_x"), brackets).alias("t"))
+    counts = (
+        thinned.filter(F.col("t.v").isNotNull())
+        .groupBy("_g", F.col("t.v").alias("_v"), F.col("t.kept").alias("_kept"), "_n")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    return _read_ranks(counts, ["_g"], probs).withColumnRenamed("_g", group)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.functions.scalars import as_column, missing_to_null
+from gridsmith.functions.scalars import as_column, missing_to_null, nan_to_null
 from gridsmith.operators.columns import (
     INTEGRALS,
     keep_top_categories,
@@ -41,55 +41,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, missing, mean, sample deviation, range and skewness per numeric column."""
+    """Count, missing, mean, sample deviation, range and skewness per numeric column.
+
+    The columns are stacked, so one small aggregate serves any number of them
+    in one scan, and each task sends one row per column to the shuffle.
+    """
     columns = columns if columns is not None else numeric_columns(df)
-    df = missing_to_null(df.select(*[as_column(c) for c in columns]))
-    parts = []
-    for names in _chunks(columns):
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for i, name in enumerate(names):
-            v = as_column(name).cast("double")
-            aggs += [
-                F.count(v).alias(f"n{i}"),
-                F.avg(v).alias(f"mean{i}"),
-                F.stddev_samp(v).alias(f"std{i}"),
-                F.min(v).alias(f"min{i}"),
-                F.max(v).alias(f"max{i}"),
-                F.skewness(v).alias(f"g{i}"),
-            ]
-        one = df.agg(*aggs)
-
-        def skewness(i, _):
-            n = F.col(f"n{i}").cast("double")
-            # Spark gives the biased moment ratio; scale it to the sample skewness.
-            return F.when(n > 2, F.col(f"g{i}") * F.sqrt(n * (n - 1)) / (n - 2))
-
-        parts.append(
-            rows_from(
-                one,
-                names,
-                {
-                    "count": lambda i, c: F.col(f"n{i}"),
-                    "missing": lambda i, c: F.col("rows") - F.col(f"n{i}"),
-                    "missing_percentage": lambda i, c: (F.col("rows") - F.col(f"n{i}"))
-                    / F.nullif(F.col("rows"), F.lit(0))
-                    * 100,
-                    "mean": lambda i, c: F.col(f"mean{i}"),
-                    "std": lambda i, c: F.col(f"std{i}"),
-                    "min": lambda i, c: F.col(f"min{i}"),
-                    "max": lambda i, c: F.col(f"max{i}"),
-                    "skewness": skewness,
-                },
-            )
-        )
-    return _union(parts)
+    wide = df.select(*[nan_to_null(as_column(c).cast("double")).alias(f"{i}") for i, c in enumerate(columns)])
+    v = F.col("v")
+    stats = wide.unpivot([], wide.columns, "i", "v").groupBy("i").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.skewness(v).alias("g"),
+    )
+    # A table without rows still has its columns.
+    labels = [F.struct(F.lit(f"{i}").alias("i"), F.lit(c).alias("column")) for i, c in enumerate(columns)]
+    named = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
+    n = F.col("count").cast("double")
+    missing = F.col("rows") - F.col("count")
+    return named.join(stats, "i", "left").select(
+        "column",
+        F.coalesce("count", F.lit(0)).alias("count"),
+        F.coalesce(missing, F.lit(0)).alias("missing"),
+        (missing / F.nullif(F.col("rows"), F.lit(0)) * 100).alias("missing_percentage"),
+        "mean",
+        "std",
+        "min",
+        "max",
+        # Spark gives the biased moment ratio; scale it to the sample skewness.
+        F.when(n > 2, F.col("g") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
+    )
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Moments and exact quartiles of each numeric column."""
     columns = columns if columns is not None else numeric_columns(df)
     clean = missing_to_null(df.select(*[as_column(c) for c in columns]))
-    quartiles = _union([exact_quantiles(clean, names, QUARTILES) for names in _chunks(columns)])
+    quartiles = exact_quantiles(clean, columns, QUARTILES)
     # Both sides hold one row per column.
     return (
         numeric_moments(clean, columns)
