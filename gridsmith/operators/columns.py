@@ -15,6 +15,28 @@ NAME_PATTERN = r"^[a-zA-Z][a-zA-Z0-9_-]*$"
 INTEGRALS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+# A table of at most this many rows may sit in one file chunk and keep one core busy.
+SPREAD_ROWS = 5_000_000
+
+
+def row_limit(df: DataFrame, limit: int) -> int:
+    """The row count, or ``limit + 1`` when there are more; reads no column."""
+    return df.select(F.lit(1)).limit(limit + 1).count()
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Deal the rows of a small table out over all cores; a large one has chunks enough."""
+    rows = rows if rows is not None else row_limit(df, SPREAD_ROWS)
+    if rows > SPREAD_ROWS or not df.columns:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[as_column(c) for c in df.columns])
+
+
+def stacked(wide: DataFrame) -> DataFrame:
+    """``i, v``: the values of columns of one type with the position of their column."""
+    return wide.select(F.posexplode(F.array(*[as_column(c) for c in wide.columns])).alias("i", "v"))
+
+
 def is_numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 

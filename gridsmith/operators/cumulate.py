@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsmith.functions.scalars import as_column
+from gridsmith.operators.columns import SPREAD_ROWS, row_limit, spread, stacked
 
 # Above this many distinct values per group the running total is taken in
 # range buckets; below it one sorted window per group is cheaper.
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
 ACCURACY = 10_000
+# A coarser sketch is quicker and keeps few enough values of a small table.
+SMALL_ACCURACY = 2_000
 # Up to this many values, a quantile keeps every distinct value.
 SMALL = 2 * ACCURACY
 # Up to this many rows, a table skips the sketch altogether.
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 100_000
 
 
 def running_totals(
@@ -95,10 +98,10 @@ def _text_bounds(df: DataFrame, order: str, buckets: int, rows: int) -> list[str
     return [values[len(values) * i // buckets] for i in range(1, buckets)] if values else []
 
 
-def _bracket_probs(probs: list[float]) -> list[float]:
+def _bracket_probs(probs: list[float], accuracy: int = ACCURACY) -> list[float]:
     out = []
     for p in probs:
-        out += [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)]
+        out += [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
     return out
 
 
@@ -160,25 +163,28 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     """
     wide = df.select(*[as_column(c).cast("double").alias(f"{i}") for i, c in enumerate(columns)])
     names = wide.columns
-    if wide.select(F.lit(1)).limit(DIRECT_ROWS + 1).count() <= DIRECT_ROWS:
-        long = wide.unpivot([], names, "i", "v").filter(F.col("v").isNotNull())
+    rows = row_limit(df, SPREAD_ROWS)
+    if rows <= DIRECT_ROWS:
+        long = stacked(wide).filter(F.col("v").isNotNull())
         counts = long.groupBy("i", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
         counts = counts.withColumns({"_kept": F.lit(1), "_n": F.sum("_c").over(Window.partitionBy("i"))})
     else:
-        array = F.array(*[F.lit(p) for p in _bracket_probs(probs)])
+        accuracy = ACCURACY if rows > SPREAD_ROWS else SMALL_ACCURACY
+        array = F.array(*[F.lit(p) for p in _bracket_probs(probs, accuracy)])
+        wide = spread(wide, rows)
         sketch = wide.agg(
             *[F.count(c).alias(f"n{c}") for c in names],
-            *[F.percentile_approx(c, array, F.lit(ACCURACY)).alias(f"b{c}") for c in names],
+            *[F.percentile_approx(c, array, F.lit(accuracy)).alias(f"b{c}") for c in names],
         ).first()
         sizes = [sketch[f"n{c}"] or 0 for c in names]
-        ends = [_literal_brackets(n, sketch[f"b{c}"], probs) for n, c in zip(sizes, names)]
+        ends = [_literal_brackets(n, sketch[f"b{c}"], probs, accuracy) for n, c in zip(sizes, names)]
         # Narrow rows and small lookups keep the second scan in compiled code for any width.
-        place = F.col("i").cast("int") + 1
+        place = F.col("i") + 1
         brackets = [
             tuple(F.element_at(F.array(*[F.lit(e[q][side]) for e in ends]), place) for side in (0, 1))
             for q in range(len(probs))
         ]
-        long = wide.unpivot([], names, "i", "v").filter(F.col("v").isNotNull())
+        long = stacked(wide).filter(F.col("v").isNotNull())
         thinned = long.select("i", _thin(F.col("v"), brackets).alias("t"))
         counts = (
             thinned.filter(F.col("t.v").isNotNull())
@@ -189,15 +195,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     picked = _read_ranks(counts, ["i"], probs)
     labels = F.array(*[F.lit(c) for c in columns])
     return picked.select(
-        F.element_at(labels, F.col("i").cast("int") + 1).alias("column"), *[f"q{i}" for i in range(len(probs))]
+        F.element_at(labels, F.col("i") + 1).alias("column"), *[f"q{i}" for i in range(len(probs))]
     )
 
 
-def _literal_brackets(n: int, cuts: list[float] | None, probs: list[float]) -> list[tuple[float, float]]:
+def _literal_brackets(n: int, cuts: list[float] | None, probs: list[float], accuracy: int) -> list[tuple[float, float]]:
     out = []
     for i, p in enumerate(probs):
-        low = -math.inf if n <= SMALL or p - 2 / ACCURACY <= 0 else float(cuts[2 * i])
-        high = math.inf if n <= SMALL or p + 2 / ACCURACY >= 1 else float(cuts[2 * i + 1])
+        low = -math.inf if n <= SMALL or p - 2 / accuracy <= 0 else float(cuts[2 * i])
+        high = math.inf if n <= SMALL or p + 2 / accuracy >= 1 else float(cuts[2 * i + 1])
         out.append((low, high))
     return out
 

@@ -13,6 +13,7 @@ from gridsmith.operators.columns import (
     other_columns,
     rows_from,
     simple_columns,
+    stacked,
     time_columns,
 )
 from gridsmith.operators.counting import (
@@ -49,7 +50,7 @@ def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns if columns is not None else numeric_columns(df)
     wide = df.select(*[nan_to_null(as_column(c).cast("double")).alias(f"{i}") for i, c in enumerate(columns)])
     v = F.col("v")
-    stats = wide.unpivot([], wide.columns, "i", "v").groupBy("i").agg(
+    stats = stacked(wide).groupBy("i").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
@@ -59,7 +60,7 @@ def numeric_moments(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.skewness(v).alias("g"),
     )
     # A table without rows still has its columns.
-    labels = [F.struct(F.lit(f"{i}").alias("i"), F.lit(c).alias("column")) for i, c in enumerate(columns)]
+    labels = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column")) for i, c in enumerate(columns)]
     named = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
     n = F.col("count").cast("double")
     missing = F.col("rows") - F.col("count")

@@ -14,7 +14,7 @@ from gridsmith.functions.scalars import (
     to_time,
     to_time_inferred,
 )
-from gridsmith.operators.columns import is_numeric, is_simple, is_time
+from gridsmith.operators.columns import is_numeric, is_simple, is_time, spread
 from gridsmith.operators.counting import distinct_within
 
 # Shares above which a column changes type or role.
@@ -45,7 +45,8 @@ def _parse_rates(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         aggs.append(F.count(to_time_inferred(c)).alias(f"iso{i}"))
         for j, fmt in enumerate(DATE_FORMATS):
             aggs.append(F.count(to_time(c, fmt)).alias(f"f{j}_{i}"))
-    row = df.agg(*aggs).first()
+    # Parsing is all work and no data: worth spreading when the table is one chunk.
+    row = spread(df.select(*[as_column(c) for c in columns])).agg(*aggs).first()
     out = {}
     for i, c in enumerate(columns):
         out[c] = {

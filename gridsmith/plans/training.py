@@ -65,6 +65,17 @@ def fit_model(
     ``train`` has a ``label`` column. The result maps raw rows to predictions
     and, but for k-NN, is a ``PipelineModel`` that can be saved.
     """
+    own = not train.is_cached
+    if own:
+        train = train.persist()
+    try:
+        return _fit_cached(train, key, roles, task, name, params, config, smote_options)
+    finally:
+        if own and name != "knn":
+            train.unpersist()
+
+
+def _fit_cached(train, key, roles, task, name, params, config, smote_options):
     prepare = Preprocessor(roles=roles, config={**(config or {}), "keys": [key]}).fit(train)
     ready = prepare.transform(train)
     if smote_options is not None and task == "classification":
