@@ -47,15 +47,20 @@ QUERIES["roc_auc_binary"] = (
     lambda s, d: rounded(M.roc_auc(M.score_counts(predictions(s, d), "label", "score", 1)), 6),
     f"SELECT round(auc, 6) AS roc_auc FROM {auc_sql('label = 1', 'score')}",
 )
-CLASS_SCORES = {"A": F.col("score"), "N": F.round(1 - F.col("score"), 3), "R": F.round(F.col("score") * 0.5 + 0.2, 3)}
-CLASS_SCORES_SQL = {"A": "score", "N": "round(1 - score, 3)", "R": "round(score * 0.5 + 0.2, 3)"}
+
+
+def class_scores() -> dict:
+    return {"A": F.col("score"), "N": F.round(1 - F.col("score"), 3), "R": F.round(F.col("score") * 0.5 + 0.2, 4)}
+
+
+CLASS_SCORES_SQL = {"A": "score", "N": "round(1 - score, 3)", "R": "round(score * 0.5 + 0.2, 4)"}
 QUERIES["roc_auc_one_vs_rest"] = (
-    lambda s, d: rounded(M.roc_auc(M.score_counts_by_class(predictions(s, d), "flag", CLASS_SCORES)), 6),
+    lambda s, d: rounded(M.roc_auc(M.score_counts_by_class(predictions(s, d), "flag", class_scores())), 6),
     "SELECT round(sum(auc * support) / sum(support), 6) AS roc_auc FROM ("
     + union_sql([f"SELECT * FROM {auc_sql('flag = ' + chr(39) + k + chr(39), x)}" for k, x in CLASS_SCORES_SQL.items()]) + ")",
 )
 QUERIES["roc_auc_by_class"] = (
-    lambda s, d: rounded(M.roc_auc_by_class(M.score_counts_by_class(predictions(s, d), "flag", CLASS_SCORES)), 6),
+    lambda s, d: rounded(M.roc_auc_by_class(M.score_counts_by_class(predictions(s, d), "flag", class_scores())), 6),
     union_sql([f"SELECT '{k}' AS class, round(auc, 6) AS auc, support FROM {auc_sql('flag = ' + chr(39) + k + chr(39), x)}" for k, x in CLASS_SCORES_SQL.items()]),
 )
 QUERIES["roc_curve"] = (
