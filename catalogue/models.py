@@ -262,7 +262,7 @@ def _leak_free(s, d):
     return out.groupBy("standing").agg(F.count("prediction").alias("n"))
 
 
-QUERIES["leak_free_pipeline_saved"] = (
+QUERIES["leak_free_model_saved"] = (
     _leak_free,
     """WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT CASE WHEN c_acctbal + coalesce(n, 0) * 300 > 6500 THEN 'rich' WHEN c_acctbal > 2000 THEN 'middle' ELSE 'poor' END AS standing
     FROM customer LEFT JOIN o ON c_custkey = o_custkey) SELECT standing, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n FROM c GROUP BY 1""",

@@ -26,6 +26,18 @@ from gridsmith.functions.scalars import as_column
 from gridsmith.session import cut_lineage
 
 
+# Weights stay cached between rounds; their lineage is cut every few rounds.
+ROUNDS_PER_CHECKPOINT = 10
+
+
+def _next_weights(old: DataFrame, new: DataFrame, round_number: int) -> DataFrame:
+    new = cut_lineage(new) if (round_number + 1) % ROUNDS_PER_CHECKPOINT == 0 else new
+    new = new.persist()
+    new.count()
+    old.unpersist()
+    return new
+
+
 class _Boosted(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     featuresCol = Param(Params._dummy(), "featuresCol", "vector column")
     labelCol = Param(Params._dummy(), "labelCol", "label column")
@@ -40,7 +52,7 @@ class _Boosted(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             as_column(self.getOrDefault(self.labelCol)).cast("double").alias("label"),
         ).dropna(subset=["label"])
         n = slim.count()
-        return cut_lineage(slim.withColumn("w", F.lit(1.0 / n)))
+        return slim.withColumn("w", F.lit(1.0 / n)).persist()
 
 
 class AdaBoostClassifier(_Boosted):
@@ -77,9 +89,9 @@ class AdaBoostClassifier(_Boosted):
             trees.append(tree)
             weights.append(alpha)
             grown = total - bad + bad * math.exp(alpha)
-            data = cut_lineage(
-                guessed.select("features", "label", (F.col("w") * F.exp(F.col("miss") * alpha) / F.lit(grown)).alias("w"))
-            )
+            moved = (F.col("w") * F.exp(F.col("miss") * alpha) / F.lit(grown)).alias("w")
+            data = _next_weights(data, guessed.select("features", "label", moved), i)
+        data.unpersist()
         model = AdaBoostModel(trees, {"weights": weights, "classes": classes, "kind": "classification"})
         return model._set(featuresCol=self.getOrDefault(self.featuresCol))
 
@@ -101,7 +113,7 @@ class AdaBoostRegressor(_Boosted):
                 maxDepth=self.getOrDefault(self.maxDepth), weightCol="w", seed=self.getOrDefault(self.seed) + i
             ).fit(data)
             gap = F.abs(F.col("prediction") - F.col("label"))
-            guessed = cut_lineage(tree.transform(data).select("features", "label", "w", gap.alias("gap")))
+            guessed = tree.transform(data).select("features", "label", "w", gap.alias("gap"))
             worst = guessed.agg(F.max("gap")).first()[0]
             if not worst:
                 trees.append(tree)
@@ -120,7 +132,8 @@ class AdaBoostRegressor(_Boosted):
             moved = F.col("w") * F.pow(F.lit(beta), (1 - F.col("gap") / F.lit(worst)) * rate)
             sized = guessed.select("features", "label", moved.alias("w"))
             whole = sized.agg(F.sum("w")).first()[0]
-            data = cut_lineage(sized.withColumn("w", F.col("w") / F.lit(whole)))
+            data = _next_weights(data, sized.withColumn("w", F.col("w") / F.lit(whole)), i)
+        data.unpersist()
         model = AdaBoostModel(trees, {"weights": weights, "classes": 0, "kind": "regression"})
         return model._set(featuresCol=self.getOrDefault(self.featuresCol))
 

@@ -208,8 +208,14 @@ def _literal_brackets(n: int, cuts: list[float] | None, probs: list[float], accu
     return out
 
 
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """Interpolated quantiles of one column per group: ``group, q0, q1, ...``."""
+def grouped_quantiles(
+    df: DataFrame, group: str, value: str, probs: list[float], few_groups: bool = False
+) -> DataFrame:
+    """Interpolated quantiles of one column per group: ``group, q0, q1, ...``.
+
+    ``few_groups`` says the caller knows the groups to be a handful, so that
+    their brackets may be broadcast.
+    """
     array = F.array(*[F.lit(p) for p in _bracket_probs(probs)])
     slim = df.select(as_column(group).alias("_g"), as_column(value).cast("double").alias("_x")).filter(
         F.col("_x").isNotNull()
@@ -217,7 +223,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: list[float])
     sketch = slim.groupBy(F.col("_g").alias("_k")).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", array, F.lit(ACCURACY)).alias("_cuts")
     )
-    joined = slim.join(sketch, F.col("_g").eqNullSafe(F.col("_k")))
+    joined = slim.join(F.broadcast(sketch) if few_groups else sketch, F.col("_g").eqNullSafe(F.col("_k")))
     brackets = _brackets(F.col("_n"), F.col("_cuts"), probs)
     thinned = joined.select("_g", "_n", _thin(F.col("_x"), brackets).alias("t"))
     counts = (

@@ -359,7 +359,7 @@ def box_by_category(df: DataFrame, column: str, category: str, top: int = 20) ->
     ).dropna()
     pair = keep_top_categories(pair, "group", top)
     # At most ``top`` groups, so the quartile side is a handful of rows.
-    return _box(pair, F.broadcast(grouped_quantiles(pair, "group", "x", QUARTILES)))
+    return _box(pair, F.broadcast(grouped_quantiles(pair, "group", "x", QUARTILES, few_groups=True)))
 
 
 def outlier_counts(df: DataFrame, columns: list[str], max_share: float = 0.05) -> DataFrame:

@@ -11,7 +11,7 @@ SQL = oracle_sql()
 SLOW = {
     "gradient_boosting_regression", "gradient_boosting_many_classes", "linear_svm_many_classes", "neural_network",
     "adaboost_regression", "random_forest_regression", "grid_search", "learning_curve", "cross_validation", "train_models",
-    "adaboost_classification", "linear_svm", "leak_free_pipeline_saved",
+    "adaboost_classification", "linear_svm", "leak_free_model_saved",
 }
 
 
