@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.association import LI, f_sql  # noqa: F401
+from catalogue.association import LI
 from catalogue.inputs import ORDERS_GAPS, ORDERS_GAPS_COLUMNS, ORDERS_GAPS_NUMERIC, PREDICTIONS, orders_gaps, predictions, rounded, table, union_sql
 from gridsmith.operators import checks as V
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.inputs import PREDICTIONS, predictions, rounded, table, union_sql
-from gridsmith.functions.scalars import SCORE_BANDS  # noqa: F401
 from gridsmith.operators import cluster_metrics as K
 from gridsmith.operators import drift as D
 from gridsmith.operators import metrics as M

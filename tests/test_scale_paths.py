@@ -4,14 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.operators import association, cluster_metrics, density, neighbors, sampling
+from gridsmith.operators import association, cluster_metrics, cumulate, density, neighbors, sampling
 from gridsmith.operators.codes import code_table
 from gridsmith.operators.counting import distinct_near, distinct_within
 from gridsmith.operators.cumulate import exact_quantiles, grouped_quantiles, running_totals
 from gridsmith.operators.metrics import roc_auc, roc_curve, score_counts
 
 
-def test_quantiles_of_a_skewed_column(spark):
+@pytest.mark.parametrize("direct_rows", [0, 1_000_000])
+def test_quantiles_of_a_skewed_column(spark, monkeypatch, direct_rows):
+    monkeypatch.setattr(cumulate, "DIRECT_ROWS", direct_rows)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.lognormal(0, 2, 60_000), np.full(30_000, 5.0)])
     df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(x)], "x double, y double").repartition(8)
@@ -181,7 +183,9 @@ def test_auc_and_curve_agree(spark):
     assert area == pytest.approx(auc)
 
 
-def test_constant_columns_have_no_correlation(spark):
+@pytest.mark.parametrize("few_pairs", [0, 100])
+def test_constant_columns_have_no_correlation(spark, monkeypatch, few_pairs):
+    monkeypatch.setattr(association, "FEW_PAIRS", few_pairs)
     df = spark.range(50).selectExpr("cast(id as double) a", "2.5D b", "cast(null as double) c", "cast(id * id as double) d")
     got = {(r["a"], r["b"]): r["r"] for r in association.pearson_matrix(df).collect()}
     assert got["a", "b"] is None and got["a", "c"] is None and got["a", "d"] > 0.9
