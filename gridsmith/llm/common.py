@@ -34,3 +34,19 @@ def rows_of(batches: Iterator, *columns: str) -> Iterator[list[tuple]]:
     """Every Arrow batch as a list of tuples of ``columns``."""
     for batch in batches:
         yield list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))
+
+
+#: Keys that may be sent to every task; more of them are joined instead.
+BROADCAST_KEYS = 1_000_000
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """``keys`` (one narrow row each), marked for broadcast if counting shows that they are few."""
+    keys = saved(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def without_keys(docs: DataFrame, key: str, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not in the one column of ``bad``; rows with a NULL key stay."""
+    keys = small_side(bad.select(F.col(bad.columns[0]).alias("_bad")).filter("_bad is not null").distinct())
+    return docs.join(keys, F.col(key).cast("long") == F.col("_bad"), "left_anti")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import BLANKS, saved
+from gridsmith.llm.common import BLANKS, saved, without_keys
 
 SALTS = 8
 #: A task hands its local groups on when their texts or rows exceed these.
@@ -113,9 +113,22 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is met first in the order of ``exact_groups``, with all their columns.
+    """``docs`` with one row of each group of equal texts, as ``exact_groups`` chooses it, with all its columns.
 
-    Keys must name one row each; rows that share a key stay or go together.
+    Rows that share a key are told apart by their text; of rows alike in both one
+    stays.
     """
-    kept = exact_groups(docs, key, text).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    found = saved(exact_groups(docs, key, text).select("doc_id", "kept", "text_sha256"))
+    mixed = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id")
+    dropped = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    if mixed.isEmpty():
+        return without_keys(docs, key, dropped)
+    doubtful = saved(mixed.select(F.col("doc_id").alias("_key")))
+    own = F.col(key).cast("long").eqNullSafe(F.col("_key"))
+    clear = without_keys(docs.join(doubtful, own, "left_anti"), key, dropped)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    order = Window.partitionBy(key, "_sha").orderBy(F.desc_nulls_last(F.char_length(text)))
+    rest = docs.join(doubtful, own, "left_semi").withColumn("_sha", digest).withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    chosen = rest.join(kept, own & (rest["_sha"] == kept["_sha"]), "left_semi").drop("_sha", "_place")
+    return clear.unionByName(chosen)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsmith.llm.common import without_keys
+
 #: Texts drawn for a language, and the characters taken from each: the bounded sample that is learned.
 SAMPLE = 384
 PIECE = 400
@@ -121,5 +123,4 @@ def classify(
 def drop_unknown(docs: DataFrame, teachers: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns; rows with a NULL key stay."""
     dictionaries = learn_dictionaries(teachers, key, text, lang)
-    bad = classify(docs, dictionaries, key, text).filter("rejected").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).cast("long") == F.col("_bad"), "left_anti")
+    return without_keys(docs, key, classify(docs, dictionaries, key, text).filter("rejected").select("doc_id"))

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import saved, words_of
+from gridsmith.llm.common import saved, small_side, without_keys, words_of
 from gridsmith.operators.density import connected_components
 
 RADIUS = 4
@@ -34,12 +34,16 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64 bits, each set if it is set in over half the XXH64 values of the shingles; no word gives zero."""
+def fingerprint(text: str | None, width: int = WIDTH, repeats: bool = True) -> int:
+    """64 bits, each set if it is set in over half the XXH64 values of the shingles; no word gives zero.
+
+    Without ``repeats`` a shingle that occurs again does not count again.
+    """
     import numpy as np
     import xxhash
 
-    values = [xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text), width)]
+    found = shingles(words_of(text), width)
+    values = [xxhash.xxh64_intdigest(s, 42) for s in (found if repeats else set(found))]
     if not values:
         return 0
     votes = np.zeros(64, dtype=np.int64)
@@ -49,7 +53,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(values)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, repeats: bool = True) -> DataFrame:
     """``doc_id, bits``: the fingerprint of every row as a signed long. NULL texts count as empty."""
 
     def run(batches):
@@ -57,7 +61,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         import pyarrow as pa
 
         for batch in batches:
-            bits = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
+            bits = np.fromiter((fingerprint(t.as_py(), width, repeats) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -79,7 +83,20 @@ def _signed(value: int) -> int:
 
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """``a, b``: links among the distinct fingerprints ``bits`` that connect the same rows as all links do."""
-    masks = [_signed(m) for m in block_masks(radius, blocks)]
+    return _compared(distinct, block_masks(radius, blocks), radius, pivots, tile, nearest=False)
+
+
+def sampled_masks(tables: int, bits: int, seed: int = 16) -> list[int]:
+    """Masks of ``bits`` random positions each: two values ``d`` bits apart agree under one with probability 1 - (1 - (1 - d/64)^bits)^tables."""
+    import random
+
+    draw = random.Random(seed)
+    return [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(tables)]
+
+
+def _compared(distinct: DataFrame, masks: list[int], radius: int, pivots: int, tile: int, nearest: bool) -> DataFrame:
+    """Pairs ``a, b`` within ``radius`` among the rows of one masked value: a spanning forest, or the nearest of each row."""
+    masks = [_signed(m) for m in masks]
     keyed = distinct.select(
         "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "block")
     )
@@ -120,24 +137,31 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivot
         bits = bits.view(np.uint64)
         points = np.random.default_rng(64).integers(0, 2**64, size=pivots, dtype=np.uint64)
         table = np.bitwise_count(bits[:, None] ^ points).astype(np.int8)
-        root = np.arange(len(bits))
+        rows = np.arange(len(bits))
+        root, mate, least = rows.copy(), rows.copy(), np.full(len(bits), radius + 1)
         gap = 1
         while gap < len(bits):
             left = np.flatnonzero(cells[:-gap] == cells[gap:])
             if not len(left):
                 break
-            # Pairs that hang together already need no look.
-            left = left[root[left] != root[left + gap]]
+            if not nearest:  # pairs that hang together already need no look
+                left = left[root[left] != root[left + gap]]
             for at in range(0, pivots, 8):
                 far = np.abs(table[left, at : at + 8] - table[left + gap, at : at + 8]).max(axis=1, initial=0)
                 left = left[far <= radius]
-            left = left[np.bitwise_count(bits[left] ^ bits[left + gap]) <= radius]
-            if len(left):
+            apart = np.bitwise_count(bits[left] ^ bits[left + gap])
+            left, apart = left[apart <= radius], apart[apart <= radius]
+            if nearest:
+                for one, other in ((left, left + gap), (left + gap, left)):
+                    closer = apart < least[one]
+                    least[one[closer]], mate[one[closer]] = apart[closer], other[closer]
+            elif len(left):
                 _join(root, left, left + gap)
             gap += 1
-        moved = np.flatnonzero(root != np.arange(len(bits)))
+        other = mate if nearest else root
+        moved = np.flatnonzero(other != rows)
         if len(moved):
-            a, b = bits[root[moved]].view(np.int64), bits[moved].view(np.int64)
+            a, b = bits[np.minimum(other[moved], moved)].view(np.int64), bits[np.maximum(other[moved], moved)].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -178,3 +202,62 @@ def simhash_components(
     return own.join(by_bits, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "component_size"
     )
+
+
+#: Near copies by shingles: five words, and this similarity of the sets of shingles.
+NEAR_WIDTH, SIMILARITY = 5, 0.8
+#: Bits within which such texts nearly always lie, and the tables that look for them.
+NEAR_RADIUS, TABLES, TABLE_BITS = 16, 96, 14
+
+
+def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
+    """``doc_id, marks``: 32 bits of the hash of every different shingle of ``doc_id, text``, ascending."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            marks = []
+            for text in batch.column(1):
+                values = [xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text.as_py()), width)]
+                marks.append(np.unique(np.array(values, dtype=np.uint64).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "marks"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, marks array<int>")
+
+
+def near_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS,
+    tables: int = TABLES, bits: int = TABLE_BITS,
+) -> DataFrame:
+    """``doc_id, keep_id`` for the documents that have a near copy: the smallest key that chains of near copies lead to.
+
+    Fingerprints within ``radius`` bits propose pairs, and the pair holds if the
+    sets of ``width``-word shingles are at least ``similarity`` alike (texts
+    without words are alike). Each fingerprint proposes its nearest neighbour in
+    every table. Rows with a NULL key are left out; repeated rows share a key and
+    are never copies of themselves.
+    """
+    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    marked = saved(fingerprints(own, width=width, repeats=False))
+    distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
+    pairs = _compared(distinct.select("bits"), sampled_masks(tables, bits), radius, PIVOTS, TILE, nearest=True)
+    first = distinct.select("bits", "first")
+    across = pairs.join(first.withColumnsRenamed({"bits": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"bits": "b", "first": "y"}), "b").select("x", "y")
+    within = marked.join(first, "bits").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    proposed = saved(across.unionByName(within).distinct())
+    named = small_side(proposed.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    sets = saved(shingle_sets(own.join(named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    both = proposed.join(sets.withColumnsRenamed({"doc_id": "x", "marks": "p"}), "x").join(sets.withColumnsRenamed({"doc_id": "y", "marks": "q"}), "y")
+    common = F.size(F.array_intersect("p", "q"))
+    together = F.size("p") + F.size("q") - common
+    linked = saved(both.filter((together == 0) | (common >= similarity * together)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return connected_components(nodes, linked).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest key, with all its columns."""
+    return without_keys(docs, key, near_groups(docs, key, text, **options).filter("doc_id != keep_id").select("doc_id"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import remainder, saved, words_of
+from gridsmith.llm.common import remainder, saved, without_keys, words_of
 
 #: The classifier is fitted on at most so many labelled rows, those first in hash order.
 LABELLED = 40_000
@@ -27,6 +27,8 @@ SUPPORT = 5
 #: At most so many different labelled vectors enter the index, the most frequent first.
 EXAMPLES = 20_000
 NEIGHBOURS = 25
+#: Votes that the toxic share of all labelled rows has beside the neighbours', so that far neighbours decide little.
+PRIOR_VOTES = 1.0
 BLOCK = 64
 BINS = 50
 #: Fixed value: marks at the ends of a word that do not belong to it.
@@ -62,7 +64,7 @@ def labelled_sample(labels: DataFrame, key: str, label: str, bound: int) -> Data
 
 
 def telling_terms(texts: DataFrame, limit: int, chance: float, support: int) -> list[bytes]:
-    """The terms of ``texts`` (``text, toxic``) most associated with the label, by likelihood ratio over different texts."""
+    """The terms of ``texts`` (``text, toxic``) that most mark toxic ones, by likelihood ratio over different texts."""
 
     def run(batches):
         import pyarrow as pa
@@ -105,7 +107,8 @@ def telling_terms(texts: DataFrame, limit: int, chance: float, support: int) ->
         return F.when(seen > 0, seen * F.ln(seen * total / (rows * of))).otherwise(0.0)
 
     ratio = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, total - a - b, n1) + part(n0 - b, total - a - b, n0))
-    kept = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= 2 * math.log(tested / chance))
+    # Words of clean texts say nothing about what is toxic, and most texts are left with few terms or none.
+    kept = counted.withColumn("ratio", ratio).filter((F.col("ratio") >= 2 * math.log(tested / chance)) & (a * n0 > b * n1))
     return [bytes(r.term) for r in kept.orderBy(F.desc("ratio"), "term").limit(limit).collect()]
 
 
@@ -150,6 +153,8 @@ class BlockMaxIndex:
         self.toxic = np.array([r[2] for r in rows], dtype=float)
         self.clean = np.array([r[3] for r in rows], dtype=float)
         self.ids = [r[4] for r in rows]
+        all_toxic, all_clean = self.toxic.sum() + examples.prior[0], self.clean.sum() + examples.prior[1]
+        self.share = all_toxic / max(1.0, all_toxic + all_clean)
         self.size, self.blocks = size, -(-len(rows) // size)
         postings: dict[int, list] = {}
         self.place = {}
@@ -227,12 +232,12 @@ class BlockMaxIndex:
         toxic, clean = self.toxic[at], self.clean[at]
         if own >= 0:
             toxic, clean = toxic - (at == own) * left_out, clean - (at == own) * (1 - left_out)
-        weight = 1 / (0.05 + 1 - cosines)
-        total = (weight * (toxic + clean)).sum()
-        if total <= 0:
+        weight = cosines**2
+        total = (weight * (toxic + clean)).sum() + PRIOR_VOTES
+        if not len(at):
             return None, []
         near = [(self.ids[i], float(c), float(t / (t + f)) if t + f else 0.0) for i, c, t, f in zip(at[:3], cosines, toxic, clean, strict=False)]
-        return float((weight * toxic).sum() / total), near
+        return float(((weight * toxic).sum() + PRIOR_VOTES * self.share) / total), near
 
 
 def _monotone(points: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
@@ -335,8 +340,8 @@ def score_toxicity(
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; rows with a NULL key stay."""
-    bad = score_toxicity(docs, labels, key, text, threshold=threshold, **options).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).cast("long") == F.col("_bad"), "left_anti")
+    found = score_toxicity(docs, labels, key, text, threshold=threshold, **options)
+    return without_keys(docs, key, found.filter("predicted = 1").select("doc_id"))
 
 
 def trains(key: str = "doc_id"):
