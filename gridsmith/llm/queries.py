@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import chat, exact_dedup, fingerprints, language, lm_scoring, packing, sharding, simhash, toxicity
+from gridsmith.llm import chat, exact_dedup, fingerprints, language, lm_scoring, packing, pieces, sharding, simhash, toxicity
 from gridsmith.llm.common import remainder
 
 
@@ -25,6 +25,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Where the box keeps its public tokenizers.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"), pieces.read_model(PIECES))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -101,6 +109,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_lm_scoring": (op2_lm_scoring, None),
+    "op3_pieces": (op3_pieces, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_chat": (op5_chat, OP5_SQL),
     "op6_fingerprints": (op6_fingerprints, None),

@@ -170,12 +170,16 @@ class BlockMaxIndex:
             self.lists[t] = (at, weight, at[cut] // size, np.maximum.reduceat(weight, cut), np.append(cut, len(at)))
 
     def unit(self, ids, tfs):
-        """TF-IDF weights of length one; tf counts as one plus its logarithm."""
+        """TF-IDF weights of length one; tf counts as one plus its logarithm.
+
+        A term that every text has once, of the mean weight, keeps texts with one
+        telling word apart from those full of it.
+        """
         import numpy as np
 
-        ids = np.asarray(ids, dtype=np.int64)
-        weights = (1 + np.log(np.asarray(tfs, dtype=float))) * self.idf[ids]
-        return ids.tolist(), weights / np.sqrt((weights**2).sum())
+        at = np.asarray(ids, dtype=np.int64)
+        weights = np.append((1 + np.log(np.asarray(tfs, dtype=float))) * self.idf[at], self.idf.mean())
+        return [*at.tolist(), len(self.idf)], weights / np.sqrt((weights**2).sum())
 
     def search(self, ids, tfs, k: int, without: int = -1):
         """Examples in the order of their cosine until ``k`` rows are covered, with all ties of the last.
