@@ -24,7 +24,7 @@ CLASSES = 64
 #: Words that are a class of their own; the other classes are the commonest two-byte word ends, and the rest.
 OWN = 40
 #: Rows of the weight table that features are hashed to.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 FEATURES = 7
 ROUNDS = 24
 #: Weight of the prior that draws every weight to zero.
@@ -32,7 +32,7 @@ PRIOR = 2.0
 #: Words whose counts every task gets; the others are joined.
 FREQUENT = 131_072
 #: Contexts are at most CLASSES ** 3, so a fixed number of gradient parts is enough at any size.
-PARTS = 8
+PARTS = 6
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -152,7 +152,8 @@ def train(contexts: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR):
     weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
     table = saved(contexts.repartition(PARTS, "context"))
     best, rate = None, 1.0
-    for _ in range(rounds):
+    observed = np.zeros(weights.shape)
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches):
@@ -178,25 +179,27 @@ def train(contexts: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR):
                     expected[key[cut]] += np.add.reduceat(model[order], cut)
             used = np.flatnonzero(observed.any(axis=1))
             pack = lambda x: x[used].astype(np.float32).tobytes()
+            seen_counts = b"" if turn else pack(observed)  # noqa: B023  they stay the same
             yield pa.RecordBatch.from_arrays(
-                [pa.array([gain]), pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([pack(observed)], pa.binary()), pa.array([pack(expected)], pa.binary())],
+                [pa.array([gain]), pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([seen_counts], pa.binary()), pa.array([pack(expected)], pa.binary())],
                 ["gain", "used", "observed", "expected"],
             )
 
         told = table.mapInArrow(run, "gain double, used binary, observed binary, expected binary").toLocalIterator()
-        observed, expected, gain = np.zeros(weights.shape), np.zeros(weights.shape), 0.0
+        expected, gain = np.zeros(weights.shape), 0.0
         for part in told:
             used = np.frombuffer(part.used, dtype=np.int32)
-            observed[used] += np.frombuffer(part.observed, dtype=np.float32).reshape(-1, CLASSES)
+            if part.observed:
+                observed[used] += np.frombuffer(part.observed, dtype=np.float32).reshape(-1, CLASSES)
             expected[used] += np.frombuffer(part.expected, dtype=np.float32).reshape(-1, CLASSES)
             gain += part.gain
         shared.destroy()
         gain -= prior / 2 * float((weights.astype(np.float64) ** 2).sum())
         if best is not None and gain < best[0]:
             rate /= 2
-            weights, observed, expected = best[1:]
+            weights, expected = best[1:]
         else:
-            best = (gain, weights, observed, expected)
+            best = (gain, weights, expected)
         # Expected counts are the curvature; the active features share the step.
         step = (observed - expected - prior * weights) / (np.maximum(expected, observed) + prior)
         weights = (weights + rate * 2.0 / FEATURES * np.clip(step, -2, 2)).astype(np.float32)
@@ -231,7 +234,15 @@ def score_texts(docs: DataFrame, train_on, key: str = "doc_id", text: str = "tex
     base_log = math.log10(total + kinds + 1)
     class_log = [math.log10(sum(sums.get(k, (0, 0))) + 1) for k in range(CLASSES)]
     weights = train(context_counts(teachers, own, tails), rounds)
-    top = {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    # The least count of a frequent word; words are not sorted, only the counts that occur.
+    steps = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(frequent + 1)
+    least, held = 1 << 62, 0
+    for r in steps.toLocalIterator():
+        held += r.n
+        if held > frequent:
+            break
+        least = r.c
+    top = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).toLocalIterator()}
     shared = spark.sparkContext.broadcast((weights, top))
 
     def run(batches):
