@@ -43,7 +43,7 @@ def _heat_sql() -> str:
 
 
 QUERIES["correlation_matrix_with_target"] = (
-    lambda s, d: rounded(B.correlation_matrix(_matrix_input(s, d), "l_returnflag"), 6), _heat_sql(),
+    lambda s, d: rounded(B.correlation_matrix(_matrix_input(s, d), "l_returnflag", limit=B.VIEW_COLUMNS, max_distinct=B.VIEW_DISTINCT), 6), _heat_sql(),
 )
 
 
@@ -54,6 +54,36 @@ def cramer_sql(a: str, b: str, source: str) -> str:
   JOIN (SELECT {b} AS b, CAST(count(*) AS DOUBLE) AS n FROM {source} GROUP BY 1) k ON c.b = k.b"""
 
 
+WIDE = [f"m{i}" for i in range(2, 42)]
+
+
+def _wide(s, d):
+    """Forty columns derived from one table, the even ones with gaps."""
+    return table(s, d, "part").select(*[
+        F.when((F.lit(i % 2) == 1) | (F.col("p_partkey") % i > 0), (F.col("p_partkey") * i + F.col("p_size")) % 101).alias(c) for i, c in enumerate(WIDE, 2)
+    ])
+
+
+def _wide_sql(complete: bool) -> str:
+    columns = ", ".join(f"CASE WHEN {i % 2} = 1 OR p_partkey % {i} > 0 THEN CAST((p_partkey * {i} + p_size) % 101 AS DOUBLE) END AS {c}" for i, c in enumerate(WIDE, 2))
+    where = " WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in WIDE) if complete else ""
+    pairs = ", ".join(f"{{a: '{a}', b: '{b}', r: round(corr({a}, {b}), 6)}}" for a in WIDE for b in WIDE)
+    return f"SELECT x.a AS a, x.b AS b, x.r AS r FROM (SELECT unnest([{pairs}]) AS x FROM (SELECT {columns} FROM part) w{where})"
+
+
+QUERIES["pearson_matrix_wide"] = (lambda s, d: rounded(B.pearson_matrix(_wide(s, d)), 6), _wide_sql(False))
+QUERIES["correlation_matrix_wide"] = (lambda s, d: rounded(B.correlation_matrix(_wide(s, d)), 6), _wide_sql(True))
+QUERIES["cramers_v_many_values"] = (
+    lambda s, d: rounded(B.cramers_v(table(s, d, "orders").withColumn("customer", F.col("o_custkey").cast("string")), "customer", "o_orderpriority"), 6),
+    cramer_sql("customer", "o_orderpriority", "(SELECT *, CAST(o_custkey AS VARCHAR) AS customer FROM orders)"),
+)
+QUERIES["anova_many_values"] = (
+    lambda s, d: rounded(B.anova_scores(table(s, d, "orders").withColumn("customer", F.col("o_custkey").cast("string")), ["o_totalprice"], "customer"), 6),
+    """WITH g AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1 HAVING count(*) >= 2),
+  t AS (SELECT sum(n * m) / sum(n) AS mean FROM g),
+  f AS (SELECT (sum(n * (m - mean) * (m - mean)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM g, t)
+  SELECT 'o_totalprice' AS a, 'customer' AS b, round(f / (f + 1), 6) AS score FROM f""",
+)
 QUERIES["cramers_v"] = (
     lambda s, d: rounded(B.cramers_v(table(s, d, "lineitem"), "l_returnflag", "l_linestatus"), 6),
     cramer_sql("l_returnflag", "l_linestatus", "lineitem"),
@@ -134,9 +164,10 @@ def _blend(s, d):
 
 
 QUERIES["relevant_features_numeric_target"] = (
-    lambda s, d: rounded(B.relevant_features(_blend(s, d), "blend").filter("role = 'numeric'").drop("p"), 6),
-    union_sql([f"""SELECT '{c}' AS feature, 'numeric' AS role, round(corr(blend, {c}), 6) AS score,
-    abs(corr(blend, {c})) > 0.1 AS keep FROM {_BLEND}""" for c in LI]),
+    lambda s, d: rounded(B.relevant_features(_blend(s, d), "blend").withColumn("keep", F.when(F.col("role") == "numeric", F.col("keep"))).drop("p"), 5),
+    union_sql([f"""SELECT '{c}' AS feature, 'numeric' AS role, round(corr(blend, {c}), 5) AS score,
+    abs(corr(blend, {c})) > 0.1 AS keep FROM {_BLEND}""" for c in LI]
+    + [f"SELECT 'l_returnflag', 'categorical', round(f, 5), CAST(NULL AS BOOLEAN) FROM {f_sql('blend', 'l_returnflag', _BLEND, 1)}"]),
 )
 QUERIES["relevant_features_class_target"] = (
     lambda s, d: rounded(B.relevant_features(table(s, d, "lineitem").select("l_returnflag", "l_linestatus", *LI), "l_returnflag").drop("p"), 6),

@@ -236,7 +236,7 @@ QUERIES["box_by_category"] = (
     f"""SELECT g AS "group", count, {_BOX_OUT}, outliers FROM ({_box_sql('skewed', '', 'l_returnflag')})""",
 )
 QUERIES["box_by_top_categories"] = (
-    lambda s, d: rounded(P.box_by_category(table(s, d, "part"), "p_retailprice", "p_name"), 4),
+    lambda s, d: rounded(P.box_by_category(table(s, d, "part"), "p_retailprice", "p_name", 20), 4),
     f"""WITH t AS (SELECT p_name AS g, p_retailprice AS x FROM part WHERE p_name IN
       (SELECT p_name FROM part GROUP BY p_name ORDER BY count(*) DESC, p_name LIMIT 20)),
     q AS (SELECT g AS k, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM t GROUP BY g)

@@ -19,10 +19,10 @@ from gridsmith.operators.counting import (
 )
 from gridsmith.operators.profile import box_by_category
 
-# Fixed values.
-MAX_CATEGORIES = 100
-MAX_MATRIX_COLUMNS = 30
-MAX_MATRIX_DISTINCT = 1000
+# The limits of the usual views, for callers who want them.
+VIEW_CATEGORIES = 100
+VIEW_COLUMNS = 30
+VIEW_DISTINCT = 1000
 IDENTIFIER_WORDS = ["id", "product", "sku", "code", "index", "unique"]
 LOW_CORRELATION = 0.3
 # Up to this many pairs are plain aggregates of one job.
@@ -93,12 +93,26 @@ def _pair_rows_by_blocks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
     # What is left of a column constant over the shared rows is rounding, not spread.
     varies = (wide_x > n * xx * 1e-12) & (wide_y > n * yy * 1e-12)
     r = F.when(varies, F.try_divide(n * xy - x * y, F.sqrt(wide_x * wide_y)))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a in constant or b in constant).alias("flat")) for a, b in pairs])
-    return sums.withColumn("p", F.element_at(names, F.col("pair") + 1)).select(
-        "p.a", "p.b", F.when(~F.col("p.flat"), r).alias("r")
+    # Names are looked up by number: the plan holds one list of columns, not one of pairs.
+    scored = sums.withColumn("r", r)
+    names, flat = _strings(columns), F.array(*[F.lit(c in constant) for c in columns])
+    first, second = (F.element_at(_numbers(side), F.col("pair") + 1) + 1 for side in (left, right))
+    told = scored.select(first.alias("i"), second.alias("j"), "r")
+    is_flat = F.element_at(flat, F.col("i")) | F.element_at(flat, F.col("j"))
+    return told.select(
+        F.element_at(names, F.col("i")).alias("a"), F.element_at(names, F.col("j")).alias("b"), F.when(~is_flat, F.col("r")).alias("r")
     )
 
 
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _numbers(values: list[int]) -> Column:
+    """An array of many numbers as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def _full_matrix(half: DataFrame) -> DataFrame:
     """Both triangles from one; the diagonal is listed once."""
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "r"))).otherwise(
@@ -107,40 +121,44 @@ def _full_matrix(half: DataFrame) -> DataFrame:
     return half.select(F.inline(both))
 
 
-def pearson_matrix(df: DataFrame, columns: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Correlation of every pair of numeric columns over the rows where both are known."""
+def pearson_matrix(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Correlation of every pair of numeric columns over the rows where both are known.
+
+    With ``limit`` only so many columns, those with the fewest gaps.
+    """
     df = missing_to_null(df)
     columns = columns if columns is not None else numeric_columns(df)
-    if len(columns) > limit:
+    if limit is not None and len(columns) > limit:
         columns = [r["column"] for r in least_missing(df, limit, columns).collect()]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     return _full_matrix(_pair_rows(df.select(*[as_column(c) for c in columns]), pairs))
 
 
-def matrix_columns(df: DataFrame, target: str | None = None) -> list[str]:
-    """Numeric columns fit for the matrix: no identifier names, at most 1000 values."""
-    numeric = numeric_columns(df)
-    named = [c for c in numeric if any(w in c.lower() for w in IDENTIFIER_WORDS)]
-    few = distinct_within(df, [c for c in numeric if c not in named], MAX_MATRIX_DISTINCT)
-    return [c for c in numeric if few.get(c) is not None]
+def matrix_columns(df: DataFrame, max_distinct: int | None = None) -> list[str]:
+    """Numeric columns without identifier names; with ``max_distinct`` those of at most so many values."""
+    named = [c for c in numeric_columns(df) if not any(w in c.lower() for w in IDENTIFIER_WORDS)]
+    if max_distinct is None:
+        return named
+    few = distinct_within(df, named, max_distinct)
+    return [c for c in named if few.get(c) is not None]
 
 
 def correlation_matrix(
-    df: DataFrame, target: str | None = None, task: str = "classification"
+    df: DataFrame, target: str | None = None, task: str = "classification", limit: int | None = None, max_distinct: int | None = None,
 ) -> DataFrame | None:
     """Correlation over complete rows of the fit columns, undefined values as 0.
 
-    A classification target that is not among them joins as its sorted code,
+    ``limit`` and ``max_distinct`` narrow the columns for a view. A classification target that is not among them joins as its sorted code,
     missing as -1. None when fewer than 2 columns or 10 complete rows remain.
     """
     df = missing_to_null(df)
-    columns = matrix_columns(df)
+    columns = matrix_columns(df, max_distinct)
     if target and target in df.columns and target not in columns and task == "classification":
         df = with_code(df.withColumn("_target", as_column(target).cast("string")), "_target", "_code")
         df = df.withColumn(target, F.coalesce(F.col("_code"), F.lit(-1))).drop("_target", "_code")
         columns.append(target)
-    if len(columns) > MAX_MATRIX_COLUMNS:
-        columns = [r["column"] for r in least_missing(df, MAX_MATRIX_COLUMNS, columns).collect()]
+    if limit is not None and len(columns) > limit:
+        columns = [r["column"] for r in least_missing(df, limit, columns).collect()]
     if len(columns) < 2:
         return None
     complete = df.select(*[as_column(c) for c in columns]).dropna()
@@ -151,27 +169,23 @@ def correlation_matrix(
     return full.withColumn("r", F.coalesce("r", F.lit(0.0)))
 
 
-def _score_row(df: DataFrame, a: str, b: str, score: float) -> DataFrame:
+def _score_row(df: DataFrame, a: str, b: str, score: float | None) -> DataFrame:
     return df.sparkSession.createDataFrame([(a, b, score)], "a string, b string, score double")
 
 
-def cramers_v(df: DataFrame, a: str, b: str, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """``a, b, score`` without correction; 0 for too many values or a single one."""
-    if a != b and any(n is None for n in distinct_within(df, [a, b], limit).values()):
-        return _score_row(df, a, b, 0.0)
-    # At most limit x limit cells from here on.
+def cramers_v(df: DataFrame, a: str, b: str, limit: int | None = None) -> DataFrame:
+    """``a, b, score`` without correction, for any number of values; 0 where one column has a single value.
+
+    With ``limit``, columns of more values are not scored and give NULL.
+    """
+    if limit is not None and a != b and any(n is None for n in distinct_within(df, [a, b], limit).values()):
+        return _score_row(df, a, b, None)
     cells = contingency(df, a, b).withColumn("n", F.col("n").cast("double"))
-    cells = cells.withColumns(
-        {
-            "row": F.sum("n").over(Window.partitionBy("a")),
-            "col": F.sum("n").over(Window.partitionBy("b")),
-        }
-    )
-    stats = cells.agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col"))).alias("s"),
-        F.count_distinct("a").alias("r"),
-        F.count_distinct("b").alias("c"),
+    rows = cells.groupBy("a").agg(F.sum("n").alias("row"))
+    cols = cells.groupBy("b").agg(F.sum("n").alias("col"))
+    told = cells.join(rows, "a").join(cols, "b")
+    stats = told.agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col"))).alias("s"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
     )
     small = F.least("r", "c") - 1
     # chi2 / n is the sum over cells of n^2 / (row * col), minus one.
@@ -223,15 +237,17 @@ def _anova(df: DataFrame, values: list[str], category: str, smallest_group: int)
     return sums.select("value", "groups", "n", f.alias("f"))
 
 
-def anova_scores(df: DataFrame, values: list[str], category: str) -> DataFrame:
-    """``a, b, score`` with F/(F+1) for each numeric column; 0 where undefined."""
+def anova_scores(df: DataFrame, values: list[str], category: str, limit: int | None = None) -> DataFrame:
+    """``a, b, score`` with F/(F+1) for each numeric column, for any number of categories; 0 where undefined.
+
+    With ``limit``, a category of more values is not scored and gives NULL.
+    """
     df = missing_to_null(df)
     names = F.array(*[F.lit(v) for v in values])
     base = df.sparkSession.range(1).select(F.explode(names).alias("value"))
-    if distinct_within(df, [category], MAX_CATEGORIES)[category] is None:
-        scored = base.withColumn("f", F.lit(None).cast("double"))
-    else:
-        scored = base.join(_anova(df, values, category, 2), "value", "left")
+    if limit is not None and distinct_within(df, [category], limit)[category] is None:
+        return base.select(F.col("value").alias("a"), F.lit(category).alias("b"), F.lit(None).cast("double").alias("score"))
+    scored = base.join(_anova(df, values, category, 2), "value", "left")
     return scored.select(
         F.col("value").alias("a"),
         F.lit(category).alias("b"),
@@ -277,22 +293,25 @@ def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def bivariate(df: DataFrame, a: str, b: str, role_a: str, role_b: str) -> DataFrame | None:
-    """The table behind a two-column view: line, boxes or contingency, by roles."""
+def bivariate(df: DataFrame, a: str, b: str, role_a: str, role_b: str, top: int | None = None) -> DataFrame | None:
+    """The table behind a two-column view: line, boxes or contingency, by roles.
+
+    With ``top`` boxes are drawn for so many of the most frequent categories only.
+    """
     pair = (role_a, role_b)
     if pair == ("numeric", "numeric"):
         return trend_line(df, a, b)
     if pair == ("numeric", "categorical"):
-        return box_by_category(df, a, b)
+        return box_by_category(df, a, b, top)
     if pair == ("categorical", "numeric"):
-        return box_by_category(df, b, a)
+        return box_by_category(df, b, a, top)
     if pair == ("categorical", "categorical"):
         return contingency(df, a, b)
     return None
 
 
 def bivariate_wide(df: DataFrame, a: str, b: str) -> DataFrame:
-    levels = few_levels(df, [b], MAX_CATEGORIES).get(b)
+    levels = few_levels(df, [b], VIEW_CATEGORIES).get(b)
     return contingency_wide(df, a, b, levels)
 
 
@@ -326,9 +345,13 @@ def anova_test(df: DataFrame, target: str, categories: list[str]) -> DataFrame:
 
 
 def relevant_features(
-    df: DataFrame, target: str, min_correlation: float = 0.1, max_p: float = 0.05
+    df: DataFrame, target: str, min_correlation: float = 0.1, max_p: float = 0.05, max_levels: int | None = None,
 ) -> DataFrame:
-    """``feature, role, score, p, keep`` of every feature against the target."""
+    """``feature, role, score, p, keep`` of every feature against the target.
+
+    A category column needs two values or more, each on two rows on average; with
+    ``max_levels`` those of more values are left out.
+    """
     schema = "feature string, role string, score double, p double, keep boolean"
     df = missing_to_null(df).filter(nan_safe_not_null(df, target))
     numeric_target = is_numeric(df.schema[target].dataType)
@@ -353,8 +376,9 @@ def relevant_features(
         rows.append((c, "numeric", r, p, keep))
     filled = [c for i, c in enumerate(texts) if row[f"t{i}"] >= 10]
     present = {c: row[f"t{i}"] for i, c in enumerate(texts)}
-    levels = distinct_within(df, filled, 50)
-    fit = [c for c in filled if levels[c] and 1 < levels[c] <= min(50, present[c] * 0.5)]
+    most = max([2, *(int(present[c] * 0.5) for c in filled)])
+    levels = distinct_within(df, filled, most if max_levels is None else max_levels)
+    fit = [c for c in filled if levels[c] and 1 < levels[c] <= present[c] * 0.5]
     if numeric_target and fit:
         for r in anova_test(df, target, fit).collect():
             rows.append((r["feature"], "categorical", r["f"], r["p"], r["p"] is not None and r["p"] < max_p))
@@ -370,26 +394,29 @@ def nan_safe_not_null(df: DataFrame, column: str):
     return c.isNotNull()
 
 
-def mean_correlation(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """``feature, mean_abs_r, suggested``: mean absolute correlation with the others."""
+def mean_correlation(df: DataFrame, features: list[str] | None = None, suggest: int | None = None) -> DataFrame:
+    """``feature, mean_abs_r, suggested``: mean absolute correlation with the others.
+
+    Suggested are those of low correlation; with ``suggest`` at most so many, the lowest.
+    """
     df = missing_to_null(df)
     numeric = numeric_columns(df)
     features = features if features is not None else numeric
     means = (
-        pearson_matrix(df, numeric, limit=len(numeric))
+        pearson_matrix(df, numeric)
         .filter((F.col("a") != F.col("b")) & F.col("a").isin(features))
         .groupBy(F.col("a").alias("feature"))
         .agg(F.avg(F.abs("r")).alias("mean_abs_r"))
     )
+    low = F.coalesce(F.col("mean_abs_r") < LOW_CORRELATION, F.lit(False))
+    if suggest is None:
+        return means.withColumn("suggested", low)
     # One row per feature: a single small window.
     best = Window.partitionBy(F.col("mean_abs_r") < LOW_CORRELATION).orderBy("mean_abs_r", "feature")
-    return means.withColumn(
-        "suggested",
-        F.coalesce(F.col("mean_abs_r") < LOW_CORRELATION, F.lit(False)) & (F.row_number().over(best) <= 10),
-    )
+    return means.withColumn("suggested", low & (F.row_number().over(best) <= suggest))
 
 
 def overall_correlation(df: DataFrame) -> DataFrame:
     """Mean absolute correlation over the whole matrix, diagonal included."""
     numeric = numeric_columns(df)
-    return pearson_matrix(df, numeric, limit=len(numeric)).agg(F.avg(F.abs("r")).alias("avg_correlation"))
+    return pearson_matrix(df, numeric).agg(F.avg(F.abs("r")).alias("avg_correlation"))

@@ -66,7 +66,9 @@ class AdaBoostClassifier(_Boosted):
 
     def _fit(self, df: DataFrame):
         data = self._training(df)
-        classes = int(data.agg(F.max("label")).first()[0]) + 1
+        # Votes need a place for every code; the weights depend on how many classes there are.
+        places, classes = data.agg(F.max("label").cast("int") + 1, F.count_distinct("label")).first()
+        classes = max(2, classes)
         rate, trees, weights = self.getOrDefault(self.learningRate), [], []
         for i in range(self.getOrDefault(self.rounds)):
             tree = DecisionTreeClassifier(
@@ -92,7 +94,7 @@ class AdaBoostClassifier(_Boosted):
             moved = (F.col("w") * F.exp(F.col("miss") * alpha) / F.lit(grown)).alias("w")
             data = _next_weights(data, guessed.select("features", "label", moved), i)
         data.unpersist()
-        model = AdaBoostModel(trees, {"weights": weights, "classes": classes, "kind": "classification"})
+        model = AdaBoostModel(trees, {"weights": weights, "classes": places, "kind": "classification"})
         return model._set(featuresCol=self.getOrDefault(self.featuresCol))
 
 

@@ -114,8 +114,8 @@ def eligible_targets(df: DataFrame) -> DataFrame:
     return _flag_table(df, rows, "column string, classification boolean, regression boolean")
 
 
-def recommended_features(df: DataFrame, target: str | None = None, limit: int = MAX_FEATURES) -> DataFrame:
-    """Numeric columns, then categorical ones with at most 20 values: ``position, feature, role``."""
+def recommended_features(df: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
+    """Numeric columns, then categorical ones with at most 20 values: ``position, feature, role``; with ``limit`` the first so many."""
     df = missing_to_null(df)
     roles = column_roles(df)
     few = distinct_within(df, roles["categorical"], FEW_VALUES)

@@ -12,6 +12,7 @@ from gridsmith.operators.cumulate import running_totals
 
 # Up to this many values the mapping becomes part of the plan; above it a table.
 CODES_IN_PLAN = 1000
+MAX_CLASSES = 10_000
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
@@ -60,8 +61,22 @@ def with_code(df: DataFrame, column: str, out: str, table: DataFrame | None = No
     return df.join(renamed, as_column(column).cast("string") == F.col("_value"), "left").drop("_value")
 
 
-def encode_labels(df: DataFrame, target: str, out: str = "label") -> DataFrame:
-    """Labels 0..K-1 in sorted order as doubles; numeric targets pass through."""
+def class_levels(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> list[str]:
+    """The classes of a target as text, in the order of their own type; more than ``limit`` are refused."""
+    found = df.select(as_column(target).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    rows = found.orderBy("v").select(F.col("v").cast("string").alias("v")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{target} has more than {limit} classes")
+    return [r["v"] for r in rows]
+
+
+def encode_labels(df: DataFrame, target: str, out: str = "label", classes: list[str] | None = None) -> DataFrame:
+    """Labels 0..K-1 as doubles, in the order of ``classes`` or else sorted.
+
+    Without ``classes`` numeric targets pass through, as values to predict.
+    """
+    if classes is not None:
+        return df.withColumn(out, code_lookup(target, classes).cast("double"))
     if is_numeric(df.schema[target].dataType):
         return df.withColumn(out, as_column(target).cast("double"))
     return with_code(df, target, out).withColumn(out, F.col(out).cast("double"))

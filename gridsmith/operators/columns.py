@@ -87,8 +87,8 @@ def rows_from(df: DataFrame, columns: list[str], fields: dict[str, callable]) ->
     return df.select(F.inline(F.array(*structs)))
 
 
-def select_features(df: DataFrame, features: list[str], limit: int = 100) -> DataFrame:
-    """The first ``limit`` listed columns that exist."""
+def select_features(df: DataFrame, features: list[str], limit: int | None = None) -> DataFrame:
+    """The listed columns that exist; with ``limit`` the first so many."""
     return df.select(*[as_column(c) for c in features if c in df.columns][:limit])
 
 

@@ -352,14 +352,16 @@ def box_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     return _column_boxes(df, columns).drop("rows")
 
 
-def box_by_category(df: DataFrame, column: str, category: str, top: int = 20) -> DataFrame:
-    """Box-plot numbers of one column per category, the ``top`` most frequent ones."""
+def box_by_category(df: DataFrame, column: str, category: str, top: int | None = None) -> DataFrame:
+    """Box-plot numbers of one column per category; with ``top`` only the most frequent ones."""
     pair = missing_to_null(
         df.select(as_column(category).alias("group"), as_column(column).cast("double").alias("x"))
     ).dropna()
-    pair = keep_top_categories(pair, "group", top)
-    # At most ``top`` groups, so the quartile side is a handful of rows.
-    return _box(pair, F.broadcast(grouped_quantiles(pair, "group", "x", QUARTILES, few_groups=True)))
+    if top is not None:
+        pair = keep_top_categories(pair, "group", top)
+        # At most ``top`` groups, so the quartile side is a handful of rows.
+        return _box(pair, F.broadcast(grouped_quantiles(pair, "group", "x", QUARTILES, few_groups=True)))
+    return _box(pair, grouped_quantiles(pair, "group", "x", QUARTILES))
 
 
 def outlier_counts(df: DataFrame, columns: list[str], max_share: float = 0.05) -> DataFrame:

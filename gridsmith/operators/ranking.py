@@ -159,9 +159,9 @@ def runs_wide(
     metrics: list[str],
     statuses: list[str] | None = None,
     models: list[str] | None = None,
-    limit: int | None = 10,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Runs filtered by status and model with one column per metric; the first ten for a chart."""
+    """Runs filtered by status and model with one column per metric; with ``limit`` the first so many."""
     if statuses is not None:
         runs = keep_members(runs, "status", statuses)
     if models is not None:

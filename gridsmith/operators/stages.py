@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import (
@@ -29,6 +29,8 @@ from gridsmith.session import cut_lineage
 
 # Working copies of the features carry this prefix until the vector is built.
 WORK = "_x_"
+#: Wider vectors go without names: the metadata is part of every plan.
+NAMED_FEATURES = 20_000
 
 class _Fitted(Model, DefaultParamsReadable, DefaultParamsWritable):
     """A fitted stage whose state is one JSON value."""
@@ -129,18 +131,43 @@ class ScalingModel(_Fitted):
         return P.scale(df, {c: tuple(v) for c, v in self.value().items()})
 
 
-class OneHotModel(_Fitted):
-    """State: ``{"levels": {column: [values]}, "drop_first": bool}``; adds one column per level."""
+class OneHotPlaces(_Fitted):
+    """State: ``{"sizes": {column: places}, "drop_first": bool}``; turns codes into places of a one-hot vector.
 
-    def outputs(self) -> list[str]:
+    The first level (if it is left out) and unseen values get the place behind
+    the last, which the encoder leaves empty.
+    """
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         s = self.value()
-        return [n for c, v in s["levels"].items() for n in P.onehot_columns(c, v, s["drop_first"])]
+        first = 1 if s["drop_first"] else 0
+        return df.withColumns({
+            c: F.when(F.col(c) >= first, F.col(c) - first).otherwise(F.lit(float(size))) for c, size in s["sizes"].items()
+        })
+
+
+class FeatureNames(_Fitted):
+    """State: ``[column, [names]]``; writes the names of the features into the vector's metadata."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        s, new = self.value(), {}
-        for c, levels in s["levels"].items():
-            new |= P.onehot_columns(c, levels, s["drop_first"])
-        return df.withColumns(new) if new else df
+        column, names = self.value()
+        attributes = {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}, "num_attrs": len(names)}
+        return df.withColumn(column, F.col(column).alias(column, metadata={"ml_attr": attributes}))
+
+
+class RestoreLabels(_Fitted):
+    """State: the label values in the order of their codes; predictions become those values again."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        values = F.array(*[F.lit(float(v)) for v in self.value()])
+        return df.withColumn("prediction", F.element_at(values, F.col("prediction").cast("int") + 1))
+
+
+class DecodeLabels(_Fitted):
+    """State: the class names in the order of their codes; adds ``predicted_class``."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("predicted_class", F.get(F.array(*[F.lit(v) for v in self.value()]), F.col("prediction").cast("int")))
 
 
 class _TableWriter(MLWriter):
@@ -214,7 +241,7 @@ class KnnImputationModel(_TableModel):
 
 
 class FeatureCopies(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Working copies of the features: numbers as doubles, text as strings, dates as parts."""
+    """Working copies of the features, named by position: numbers as doubles, text as strings, dates as parts."""
 
     roles = Param(Params._dummy(), "roles", "columns by role")
 
@@ -223,15 +250,19 @@ class FeatureCopies(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        roles, new = self.getOrDefault(self.roles), {}
+    def copies(self) -> list[tuple]:
+        """(working column, role, name of the feature, expression); no name of a column enters the working names."""
+        roles, out = self.getOrDefault(self.roles), []
         for c in roles.get("numeric", []):
-            new[WORK + c] = nan_to_null(as_column(c).cast("double"))
-        for c in roles.get("categorical", []) + roles.get("text_or_high_cardinality", []):
-            new[WORK + c] = as_column(c).cast("string")
+            out.append(("numeric", c, nan_to_null(as_column(c).cast("double"))))
         for c in roles.get("datetime", []):
-            new |= {WORK + n: part.cast("double") for n, part in date_parts(c).items()}
-        return df.withColumns(new)
+            out += [("numeric", n, part.cast("double")) for n, part in date_parts(c).items()]
+        for role in ("categorical", "text_or_high_cardinality"):
+            out += [(role, c, as_column(c).cast("string")) for c in roles.get(role, [])]
+        return [(f"{WORK}{i}", *x) for i, x in enumerate(out)]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({work: value for work, _, _, value in self.copies()})
 
 
 class DropWork(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -295,10 +326,9 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         copies = FeatureCopies(roles=roles)
         stages: list = [copies]
         work = copies.transform(df)
-        numeric = [WORK + c for c in roles.get("numeric", [])]
-        numeric += [c for c in work.columns if c.startswith(WORK) and any(c in {WORK + n for n in date_parts(d)} for d in roles.get("datetime", []))]
-        categories = [WORK + c for c in roles.get("categorical", [])]
-        texts = [WORK + c for c in roles.get("text_or_high_cardinality", [])]
+        of_role = lambda role: [w for w, r, _, _ in copies.copies() if r == role]
+        numeric, categories, texts = of_role("numeric"), of_role("categorical"), of_role("text_or_high_cardinality")
+        named = {w: n for w, _, n, _ in copies.copies()}
         if not numeric + categories + texts:
             raise ValueError("no feature columns to prepare")
         by_neighbors = config["numeric_imputation"] == "knn" and numeric
@@ -324,22 +354,32 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         if numeric and config["scale_features"] and config["scaling_method"]:
             values = P.scaling_values(work, numeric, config["scaling_method"])
             stages.append(ScalingModel({c: list(v) for c, v in values.items()}))
-        inputs = list(numeric)
-        ordinal = texts + (categories if config["encoding_method"] == "ordinal" else [])
         hot = [] if config["encoding_method"] == "ordinal" else categories
-        levels = few_levels(work, hot + ordinal)
-        if hot:
-            stages.append(OneHotModel({"levels": {c: levels[c] for c in hot if c in levels}, "drop_first": config["drop_first"]}))
-            inputs += stages[-1].outputs()
-            # Too many levels to spell out: sorted codes instead.
-            ordinal += [c for c in hot if c not in levels]
+        ordinal = hot + [c for c in categories + texts if c not in hot]
+        inputs, names = list(numeric), [named[c] for c in numeric]
         if ordinal:
+            levels = few_levels(work, ordinal)
             many = {c: cut_lineage(code_table(work, c)) for c in ordinal if c not in levels}
             stages.append(OrdinalModel({"levels": {c: levels[c] for c in ordinal if c in levels}, "tables": list(many)}, many))
-            inputs += ordinal
+            first = 1 if config["drop_first"] else 0
+            sizes = {c: (len(levels[c]) if c in levels else many[c].count()) - first for c in hot}
+            sizes = {c: n for c, n in sizes.items() if n > 0}  # a single level tells nothing
+            if sizes:
+                stages.append(OneHotPlaces({"sizes": sizes, "drop_first": bool(first)}))
+                vectors = {c: f"_vec_{c}" for c in sizes}
+                widest = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in sizes.values())], [*sizes])
+                # Sparse at any number of levels; the place behind the last is the one left out.
+                stages.append(OneHotEncoder(inputCols=[*sizes], outputCols=[*vectors.values()], handleInvalid="keep").fit(widest))
+                for c, n in sizes.items():
+                    inputs.append(vectors[c])
+                    names += [f"{named[c]}_{v}" for v in (levels[c][first:] if c in levels else range(first, n + first))]
+            inputs += [c for c in ordinal if c not in hot]
+            names += [named[c] for c in ordinal if c not in hot]
         components = config["pca_components"]
         assembled = "_vec_raw" if components else out
         stages.append(VectorAssembler(inputCols=inputs, outputCol=assembled, handleInvalid="error"))
+        if len(names) <= NAMED_FEATURES:
+            stages.append(FeatureNames([assembled, names]))
         if components:
             prepared = PipelineModel(stages).transform(df)
             stages += pca_stages(prepared, assembled, out, components)

@@ -28,7 +28,6 @@ from gridsmith.operators.discriminant import LinearDiscriminant
 
 SEED = 42
 MAX_DEPTH = 30
-MAX_GRID = 50
 
 # The settings searched per model. None is an unlimited depth.
 GRIDS = {
@@ -86,10 +85,10 @@ def model_names(task: str) -> list[str]:
     return list(GRIDS[task])
 
 
-def search_grid(task: str, name: str) -> list[dict]:
-    """Every setting of a model; a grid above 50 keeps the first two values of each setting."""
+def search_grid(task: str, name: str, limit: int | None = None) -> list[dict]:
+    """Every setting of a model; with ``limit`` a larger grid keeps the first two values of each setting."""
     grid = GRIDS[task][name]
-    if math.prod(len(v) for v in grid.values()) > MAX_GRID:
+    if limit is not None and math.prod(len(v) for v in grid.values()) > limit:
         grid = {k: v[:2] for k, v in grid.items()}
     out = [{}]
     for name_, values in grid.items():
@@ -98,8 +97,11 @@ def search_grid(task: str, name: str) -> list[dict]:
 
 
 def _tree_settings(p: dict) -> dict:
-    depth = p.get("max_depth", MAX_DEPTH)
-    out = {"maxDepth": MAX_DEPTH if depth is None else min(depth, MAX_DEPTH), "minInstancesPerNode": p.get("min_samples_leaf", 1), "seed": SEED}
+    # None asks for a tree as deep as this library grows one.
+    depth = p.get("max_depth")
+    if depth is not None and depth > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} deep here, not {depth}")
+    out = {"maxDepth": MAX_DEPTH if depth is None else depth, "minInstancesPerNode": p.get("min_samples_leaf", 1), "seed": SEED}
     if p.get("class_weight") == "balanced":
         out["weightCol"] = "class_weight"
     return out

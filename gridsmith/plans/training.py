@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.functions.scalars import as_column
 from gridsmith.operators import cluster_metrics as K
 from gridsmith.operators import metrics as M
 from gridsmith.operators.checks import training_data_check
-from gridsmith.operators.codes import encode_labels
+from gridsmith.operators.codes import class_levels, encode_labels
 from gridsmith.operators.counting import class_distribution
 from gridsmith.operators.density import dbscan
 from gridsmith.operators.neighbors import knn_predict, smote
 from gridsmith.operators.sampling import SEED, assign_folds, hash_order, train_test_split
-from gridsmith.operators.stages import Preprocessor
+from gridsmith.operators.stages import DecodeLabels, Preprocessor, RestoreLabels
 from gridsmith.plans.catalog import build, search_grid
 from gridsmith.sources.runs import RUN_SCHEMA
 
@@ -29,17 +30,40 @@ TRAIN_SHARES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
 class NearestModel:
-    """A k-NN model: the prepared training rows are the model."""
+    """A k-NN model: the prepared training rows are the model, with their labels as they are."""
 
-    def __init__(self, prepare: Transformer, train: DataFrame, key: str, params: dict, task: str):
-        self.prepare, self.train, self.key, self.params, self.task = prepare, train, key, params, task
+    def __init__(self, prepare: Transformer, train: DataFrame, key: str, params: dict, task: str, classes: list[str] | None = None):
+        self.prepare, self.train, self.key, self.params, self.task, self.classes = prepare, train, key, params, task, classes
+
+    def release(self) -> None:
+        """Give the cached training rows back."""
+        self.train.unpersist()
+
+    def save(self, path: str) -> None:
+        """The training rows as Parquet, the preparation as a pipeline, and the settings as one JSON row."""
+        self.prepare.write().overwrite().save(f"{path}/prepare")
+        self.train.write.mode("overwrite").parquet(f"{path}/train")
+        settings = json.dumps({"key": self.key, "params": self.params, "task": self.task, "classes": self.classes})
+        self.train.sparkSession.createDataFrame([(settings,)], "value string").write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NearestModel:
+        settings = json.loads(spark.read.text(f"{path}/settings").first()[0])
+        return cls(PipelineModel.load(f"{path}/prepare"), spark.read.parquet(f"{path}/train"), **settings)
 
     def transform(self, df: DataFrame) -> DataFrame:
         ready = self.prepare.transform(df)
         guesses = knn_predict(
             self.train, ready, self.key, "features", "label", self.params.get("n_neighbors", 5), self.params.get("weights", "uniform"), self.task
         )
-        return ready.join(guesses, self.key)
+        found = ready.join(guesses, self.key)
+        return DecodeLabels(self.classes).transform(found) if self.classes else found
+
+
+def release(model) -> None:
+    """Free what a model holds in memory, if it does."""
+    if isinstance(model, NearestModel):
+        model.release()
 
 
 def _class_weights(df: DataFrame) -> DataFrame:
@@ -59,23 +83,35 @@ def fit_model(
     params: dict | None = None,
     config: dict | None = None,
     smote_options: dict | None = None,
+    classes: list[str] | None = None,
 ):
     """Prepare, resample, fit: every step sees training rows only.
 
-    ``train`` has a ``label`` column. The result maps raw rows to predictions
-    and, but for k-NN, is a ``PipelineModel`` that can be saved.
+    ``train`` has a ``label`` column; classes may have any numbers as labels and
+    are predicted by them. With the names ``classes`` of the codes, predictions
+    are decoded too. The result maps raw rows to predictions and can be saved.
     """
     own = not train.is_cached
     if own:
         train = train.persist()
     try:
-        return _fit_cached(train, key, roles, task, name, params, config, smote_options)
+        return _fit_cached(train, key, roles, task, name, params, config, smote_options, classes)
     finally:
-        if own and name != "knn":
+        if own:
             train.unpersist()
 
 
-def _fit_cached(train, key, roles, task, name, params, config, smote_options):
+def _fit_cached(train, key, roles, task, name, params, config, smote_options, names=None):
+    after: list = []
+    if task == "classification" and name != "knn":
+        labels = [float(v) for v in class_levels(train.select(as_column("label").cast("double").alias("label")), "label")]
+        if labels != [float(i) for i in range(len(labels))]:
+            # Learners take classes as places of an array, so gaps and negative labels are closed up and restored.
+            after.append(RestoreLabels(labels))
+            places = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])
+            train = train.withColumn("label", places[as_column("label").cast("double")])
+    if names:
+        after.append(DecodeLabels(names))
     prepare = Preprocessor(roles=roles, config={**(config or {}), "keys": [key]}).fit(train)
     ready = prepare.transform(train)
     if smote_options is not None and task == "classification":
@@ -86,13 +122,14 @@ def _fit_cached(train, key, roles, task, name, params, config, smote_options):
     try:
         if name == "knn":
             stored = ready
-            return NearestModel(prepare, stored, key, params or {}, task)
+            stored.count()  # held before the raw rows are let go
+            return NearestModel(prepare, stored, key, params or {}, task, names)
         shape = ready.agg(F.count(F.lit(1)), F.max("label"), F.first(F.size(vector_to_array("features"))), F.stddev_pop("label")).first()
         classes = int(shape[1] or 0) + 1 if task == "classification" else 0
         if (params or {}).get("class_weight") == "balanced":
             ready = _class_weights(ready)
         model = build(task, name, params, shape[0], classes, shape[2], shape[3] or 1.0).fit(ready)
-        return PipelineModel([prepare, model])
+        return PipelineModel([prepare, model, *after])
     finally:
         if name != "knn":
             ready.unpersist()
@@ -113,6 +150,7 @@ def cross_validate(df: DataFrame, key: str, fit: Callable, task: str, k: int = 5
         for fold in range(k):
             model = fit(folded.filter(F.col("fold") != fold).drop("fold"))
             rows.append((fold, score(model.transform(folded.filter(F.col("fold") == fold).drop("fold")), task)))
+            release(model)
     finally:
         folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
@@ -123,7 +161,8 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 
 def grid_search(
-    df: DataFrame, key: str, roles: dict, task: str, name: str, grid: list[dict] | None = None, k: int = 5, config: dict | None = None, smote_options: dict | None = None
+    df: DataFrame, key: str, roles: dict, task: str, name: str, grid: list[dict] | None = None, k: int = 5, config: dict | None = None, smote_options: dict | None = None,
+    classes: list[str] | None = None,
 ):
     """Cross-validate every setting and refit the best: (model, settings, table of scores)."""
     grid = grid if grid is not None else search_grid(task, name)
@@ -134,10 +173,10 @@ def grid_search(
 
         mean, std, _ = cv_summary(cross_validate(df, key, fit, task, k)).first()
         rows.append((i, str(params), mean, std))
-        if best is None or mean > best[0]:
+        if best is None or (mean is not None and (best[0] is None or mean > best[0])):
             best = (mean, params)
     table = df.sparkSession.createDataFrame(rows, "candidate int, params string, mean double, std double")
-    return fit_model(df, key, roles, task, name, best[1], config, smote_options), best[1], table
+    return fit_model(df, key, roles, task, name, best[1], config, smote_options, classes), best[1], table
 
 
 def fit_clusters(df: DataFrame, key: str, features: str, name: str, params: dict | None = None) -> DataFrame:
@@ -149,8 +188,12 @@ def fit_clusters(df: DataFrame, key: str, features: str, name: str, params: dict
     return build("clustering", name, p).fit(df).transform(df)
 
 
-def cluster_search(df: DataFrame, key: str, features: str, name: str, grid: list[dict] | None = None, exact: bool = True):
-    """The setting with the best silhouette: (settings, table of scores)."""
+def cluster_search(df: DataFrame, key: str, features: str, name: str, grid: list[dict] | None = None, exact: bool = False):
+    """The setting with the best silhouette: (settings, table of scores).
+
+    The silhouette is the linear-cost one over squared distances; ``exact`` asks
+    for the quadratic Euclidean one.
+    """
     grid = grid if grid is not None else search_grid("clustering", name)
     rows = []
     data = df.persist()
@@ -189,6 +232,7 @@ def learning_curve(df: DataFrame, key: str, fit: Callable, task: str, shares: li
                 model = fit(train)
                 test = folded.filter(F.col("fold") == fold).drop("fold", "_place")
                 rows.append((share, fold, train.count(), score(model.transform(train), task), score(model.transform(test), task)))
+                release(model)
     finally:
         folded.unpersist()
     table = df.sparkSession.createDataFrame(rows, "share double, fold int, train_rows bigint, train_score double, test_score double")
@@ -211,32 +255,49 @@ def train_models(
     smote_options: dict | None = None,
     test_share: float = 0.2,
     model_folder: str | None = None,
+    optimize: bool = False,
+    grids: dict[str, list[dict]] | None = None,
+    folds: int = 5,
 ) -> tuple[DataFrame, dict]:
     """Train several models on one split: (runs table, fitted models by name).
 
     A model that fails is a run with its error; the others go on. The models
-    share one cached split.
+    share one cached split. Classes of any type are coded for the learners and
+    decoded in ``predicted_class``. With ``optimize`` the settings are searched by
+    cross-validation (over ``grids`` where given), and its mean and deviation are
+    metrics of the run; the settings used are its parameters.
     """
     spark, params = df.sparkSession, params or {}
     features = [c for names_ in roles.values() for c in names_]
     failed = training_data_check(df, features, target, task).filter("level = 'error' and not ok").collect()
     if failed:
         raise ValueError("training data refused: " + ", ".join(r["rule"] for r in failed))
-    rows, models = [], {}
+    rows, models, settings = [], {}, {n: {k: str(v) for k, v in p.items()} for n, p in params.items()}
     if task == "clustering":
         prepared = Preprocessor(roles=roles, config={**(config or {}), "keys": [key]}).fit(df).transform(df).persist()
         for name in names:
-            rows.append(_run(name, task, lambda name=name: _cluster_run(prepared, key, name, params.get(name), models)))
+            rows.append(_run(name, task, lambda name=name: _cluster_run(prepared, key, name, params.get(name), models), settings))
         prepared.unpersist()
         return spark.createDataFrame(rows, RUN_SCHEMA), models
-    labelled = encode_labels(df, target).filter(F.col("label").isNotNull())
+    classes = class_levels(df, target) if task == "classification" else None
+    labelled = encode_labels(df, target, classes=classes).filter(F.col("label").isNotNull())
     train, test = train_test_split(labelled, [key], test_share, "label" if task == "classification" else None)
     train, test = train.persist(), test.persist()
     for name in names:
         def work(name=name):
-            model = fit_model(train, key, roles, task, name, params.get(name), config, smote_options)
+            used, searched = params.get(name) or {}, {}
+            if optimize:
+                grid = [{**used, **p} for p in (grids or {}).get(name) or search_grid(task, name)]
+                model, used, table = grid_search(train, key, roles, task, name, grid, folds, config, smote_options, classes)
+                best = table.filter(F.col("params") == str(used)).first()
+                searched = {"cv_mean": best["mean"], "cv_std": best["std"]}
+            else:
+                model = fit_model(train, key, roles, task, name, used, config, smote_options, classes)
             models[name] = model
-            if model_folder and isinstance(model, PipelineModel):
+            settings[name] = {k: str(v) for k, v in used.items()}
+            if model_folder and isinstance(model, NearestModel):
+                model.save(f"{model_folder}/{name}")
+            elif model_folder:
                 model.write().overwrite().save(f"{model_folder}/{name}")
             predicted = model.transform(test)
             wanted = {"prediction", "label", key} | ({"probability"} if "probability" in predicted.columns else set())
@@ -244,14 +305,14 @@ def train_models(
             found = {r["metric"]: r["value"] for r in M.evaluate(predicted, task).collect() if r["value"] is not None}
             if "probability" in predicted.columns and task == "classification":
                 width = predicted.select(F.size(vector_to_array("probability"))).first()[0]
-                classes = [1.0] if width == 2 else [float(c) for c in range(width)]
+                codes = [1.0] if width == 2 else [float(c) for c in range(width)]
                 opened = predicted.withColumn("_p", vector_to_array("probability"))
-                scores = {str(c): F.col("_p")[int(c)] for c in classes}
+                scores = {str(c): F.col("_p")[int(c)] for c in codes}
                 found["roc_auc"] = M.roc_auc(M.score_counts_by_class(opened, "label", scores)).first()[0]
             predicted.unpersist()
-            return found
+            return found | searched
 
-        rows.append(_run(name, task, work))
+        rows.append(_run(name, task, work, settings))
     return spark.createDataFrame(rows, RUN_SCHEMA), models
 
 
@@ -262,13 +323,13 @@ def _cluster_run(prepared: DataFrame, key: str, name: str, params: dict | None,
     out = {"n_clusters": float(health["n_clusters"]), "n_noise": float(health["n_noise"])}
     if health["n_clusters"] >= 2:
         # Prepared vectors, not raw columns, are what was clustered.
-        out["silhouette_score"] = K.silhouette(labelled, key, "features").first()[0]
+        out["silhouette_score"] = K.silhouette_sq_euclidean(labelled, "features").first()[0]
         out["davies_bouldin_score"] = K.davies_bouldin(labelled, "features").first()[0]
         out["calinski_harabasz_score"] = K.calinski_harabasz(labelled, "features").first()[0]
     return out
 
 
-def _run(name: str, task: str, work: Callable) -> tuple:
+def _run(name: str, task: str, work: Callable, settings: dict[str, dict] | None = None) -> tuple:
     start, error, found = time.time(), None, {}
     try:
         found = work()
@@ -276,11 +337,11 @@ def _run(name: str, task: str, work: Callable) -> tuple:
         error = str(problem)[:500]
     status = "FAILED" if error else "FINISHED"
     metrics = {k: float(v) for k, v in found.items() if v is not None}
-    return (uuid.uuid4().hex, name, task, status, error is None, time.time() - start, metrics, {}, error, int(start * 1000))
+    return (uuid.uuid4().hex, name, task, status, error is None, time.time() - start, metrics, (settings or {}).get(name, {}), error, int(start * 1000))
 
 
-def feature_importance(model: PipelineModel, prepared: DataFrame, features: str = "features", top: int = 20) -> DataFrame:
-    """``feature, importance``: tree importances, or absolute coefficients averaged over classes."""
+def feature_importance(model: PipelineModel, prepared: DataFrame, features: str = "features", top: int | None = None) -> DataFrame:
+    """``feature, importance``: tree importances, or absolute coefficients averaged over classes; with ``top`` the largest."""
     import numpy as np
 
     last = model.stages[-1]
@@ -298,15 +359,13 @@ def feature_importance(model: PipelineModel, prepared: DataFrame, features: str
 
 def feature_names(prepared: DataFrame, features: str, width: int) -> list[str]:
     """Names from the vector's metadata, by position."""
-    from gridsmith.operators.stages import WORK
-
     attributes = prepared.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a.get("name", f"f{a['idx']}") for kind in attributes.values() for a in kind}
-    return [names.get(i, f"f{i}").removeprefix(WORK) for i in range(width)]
+    return [names.get(i, f"f{i}") for i in range(width)]
 
 
-def linear_contributions(df: DataFrame, coefficients: dict[str, float], top: int = 15) -> DataFrame:
-    """``feature, contribution``: mean absolute share of each column in a linear prediction."""
+def linear_contributions(df: DataFrame, coefficients: dict[str, float], top: int | None = None) -> DataFrame:
+    """``feature, contribution``: mean absolute share of each column in a linear prediction; with ``top`` the largest."""
     names = list(coefficients)
     means = df.agg(*[F.avg(as_column(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
     parts = [
@@ -315,4 +374,5 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], top: int
     ]
     one = df.agg(*parts)
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("contribution")) for i, c in enumerate(names)]
-    return one.select(F.inline(F.array(*structs))).orderBy(F.desc("contribution"), "feature").limit(top)
+    found = one.select(F.inline(F.array(*structs))).orderBy(F.desc("contribution"), "feature")
+    return found if top is None else found.limit(top)

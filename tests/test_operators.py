@@ -197,7 +197,8 @@ def test_scaling_of_a_constant_column(spark):
 
 def test_grid_is_cut_above_fifty():
     assert len(search_grid("classification", "random_forest")) == 36
-    assert len(search_grid("regression", "xgboost")) == 16
+    assert len(search_grid("regression", "xgboost", 50)) == 16
+    assert len(search_grid("regression", "xgboost")) == 54
     assert len(search_grid("clustering", "dbscan")) == 36
 
 
