@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["columns", "profiles", "roles", "association", "checks", "preparation", "metrics", "models", "sources"]
+MODULES = ["columns", "profiles", "roles", "association", "checks", "preparation", "metrics", "models", "rules", "sources"]
 
 
 def entries() -> dict:
