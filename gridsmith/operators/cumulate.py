@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsmith.functions.scalars import as_column
-from gridsmith.operators.columns import SPREAD_ROWS, row_limit, spread, stacked
+from gridsmith.operators.columns import SPREAD_ROWS, row_count, spread, stacked
+from gridsmith.session import cut_lineage
 
 # Above this many distinct values per group the running total is taken in
 # range buckets; below it one sorted window per group is cheaper.
@@ -22,6 +23,8 @@ SMALL_ACCURACY = 2_000
 SMALL = 2 * ACCURACY
 # Up to this many rows, a table skips the sketch altogether.
 DIRECT_ROWS = 100_000
+# Above so many rows the values a quantile keeps are added up in ranges.
+MANY_ROWS = 200_000_000
 
 
 def running_totals(
@@ -43,6 +46,8 @@ def running_totals(
     )
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     buckets = min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))
+    if buckets > 1:
+        df = cut_lineage(df)  # read several times from here on
     if buckets <= 1:
         before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(group)
@@ -93,7 +98,7 @@ def _text_bounds(df: DataFrame, order: str, buckets: int, rows: int) -> list[str
 
     The ends only balance the work; any choice gives the same totals.
     """
-    picked = df.select(order).sample(min(1.0, 50 * buckets / rows), 7)
+    picked = df.select(F.substring(order, 1, 32).alias(order)).sample(min(1.0, 50 * buckets / rows), 7)
     values = sorted(r[0] for r in picked.limit(100 * MAX_BUCKETS).collect() if r[0] is not None)
     return [values[len(values) * i // buckets] for i in range(1, buckets)] if values else []
 
@@ -129,12 +134,24 @@ def _thin(value: Column, brackets: list[tuple[Column, Column]]) -> Column:
     )
 
 
-def _read_ranks(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """``_v, _kept, _c, _n`` per value to interpolated quantiles, one row per key."""
-    upto = Window.partitionBy(*keys).orderBy("_v", "_kept").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
-    )
+def _read_ranks(counts: DataFrame, keys: list[str], probs: list[float], many: bool = False) -> DataFrame:
+    """``_v, _kept, _c, _n`` per value to interpolated quantiles, one row per key.
+
+    With ``many`` values to a single key they are added up in ranges, so none of
+    the few keys has its kept values sorted in one task.
+    """
+    if many:
+        (key,) = keys
+        kept = F.when(F.col("_kept") == 1, F.col("_c")).otherwise(F.lit(0))
+        merged = counts.groupBy(key, "_v").agg(F.sum("_c").alias("_all"), F.sum(kept).alias("_c"), F.first("_n").alias("_n"))
+        below = running_totals(merged, key, "_v", ["_all"])
+        # Pooled values stand in front of the kept ones of the same value.
+        ranked = below.filter("_c > 0").select(
+            key, "_v", F.lit(1).alias("_kept"), "_c", "_n", (F.col("_all_below") + F.col("_all")).alias("_end"), (F.col("_all_below") + F.col("_all") - F.col("_c")).alias("_start"),
+        )
+    else:
+        upto = Window.partitionBy(*keys).orderBy("_v", "_kept").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
     aggs = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("_n") - 1)
@@ -163,7 +180,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     """
     wide = df.select(*[as_column(c).cast("double").alias(f"{i}") for i, c in enumerate(columns)])
     names = wide.columns
-    rows = row_limit(df, SPREAD_ROWS)
+    rows = row_count(df)
     if rows <= DIRECT_ROWS:
         long = stacked(wide).filter(F.col("v").isNotNull())
         counts = long.groupBy("i", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -192,7 +209,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
             .agg(F.count(F.lit(1)).alias("_c"))
             .withColumn("_n", F.element_at(F.array(*[F.lit(n) for n in sizes]), place).cast("bigint"))
         )
-    picked = _read_ranks(counts, ["i"], probs)
+    picked = _read_ranks(counts, ["i"], probs, rows > MANY_ROWS)
     labels = F.array(*[F.lit(c) for c in columns])
     return picked.select(
         F.element_at(labels, F.col("i") + 1).alias("column"), *[f"q{i}" for i in range(len(probs))]
@@ -231,4 +248,5 @@ def grouped_quantiles(
         .groupBy("_g", F.col("t.v").alias("_v"), F.col("t.kept").alias("_kept"), "_n")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    return _read_ranks(counts, ["_g"], probs).withColumnRenamed("_g", group)
+    many = few_groups and row_count(df) > MANY_ROWS
+    return _read_ranks(counts, ["_g"], probs, many).withColumnRenamed("_g", group)

@@ -191,8 +191,9 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
         "mse",
         "mae",
         F.sqrt("mse").alias("rmse"),
-        (1 - F.col("mse") / spread).alias("r2"),
-        (1 - F.col("_ve") / spread).alias("explained_variance"),
+        # A constant label is explained by a perfect fit alone.
+        F.coalesce(1 - F.col("mse") / spread, F.when(F.col("_vy") == 0, (F.col("mse") == 0).cast("double"))).alias("r2"),
+        F.coalesce(1 - F.col("_ve") / spread, F.when(F.col("_vy") == 0, (F.col("_ve") == 0).cast("double"))).alias("explained_variance"),
         F.when(F.col("_fits"), F.col("_msle")).alias("msle"),
         "n_samples",
     )

@@ -447,12 +447,12 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[D
         .select("i", F.posexplode("row").alias("j", "v"))
         .groupBy("i", "j")
         .agg(F.sum("v").alias("v"))
-        .collect()
+        .groupBy("i")
+        .agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))  # one row of the matrix
+        .select("i", "row.v")
+        .orderBy("i")
     )
-    width = max(r["i"] for r in cells) + 1
-    matrix = np.zeros((width, width))
-    for r in cells:
-        matrix[r["i"], r["j"]] = r["v"]
+    matrix = np.array([r["v"] for r in cells.toLocalIterator()])
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:k]
     parts = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ class FeatureStore:
     def _registry(self) -> DataFrame:
         try:
             return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.path}/registry")
-        except Exception:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
 
     def _folder(self, name: str, version: str) -> str:
