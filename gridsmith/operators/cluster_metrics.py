@@ -172,11 +172,16 @@ def silhouette(df: DataFrame, key: str, features, label: str = "cluster", rows_p
     return silhouette_points(df, key, features, label, rows_per_block).agg(F.avg("silhouette").alias("silhouette_score"))
 
 
+#: Centroids that every task may hold.
+MAX_CENTROIDS = 20_000
+
+
 def silhouette_sq_euclidean(df: DataFrame, features, label: str = "cluster") -> DataFrame:
     """Silhouette under squared distance at linear cost: a different figure, so named apart.
 
     The mean squared distance to a cluster is the squared distance to its
-    centroid plus its variance, so each point meets each centroid once.
+    centroid plus its variance, so each point meets each centroid once. Meant for
+    clusterings with few clusters: more than ``MAX_CENTROIDS`` are refused.
     """
     points = _points(df, features, label)
     # One centroid per cluster comes back: clusters times width numbers, not data rows.
@@ -189,8 +194,11 @@ def silhouette_sq_euclidean(df: DataFrame, features, label: str = "cluster") ->
             F.array_sort(F.collect_list(F.struct("i", "m"))).alias("cells"),
         )
         .select("other", "n", "spread", F.col("cells.m").alias("centroid"))
+        .limit(MAX_CENTROIDS + 1)
         .collect()
     )
+    if len(clusters) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} clusters to compare")
     if not clusters:
         return points.agg(F.lit(None).cast("double").alias("silhouette_sq_euclidean"))
     first = [r.asDict() for r in clusters]

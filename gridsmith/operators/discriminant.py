@@ -40,43 +40,42 @@ class LinearDiscriminant(Estimator, DefaultParamsReadable, DefaultParamsWritable
             import numpy as np
             import pandas as pd
 
-            counts, sums, grams = {}, {}, {}
+            counts, sums, gram = {}, {}, 0
             for batch in batches:
                 if not len(batch):
                     continue
                 x = np.stack(batch["x"]) - np.array(origin)
                 y = batch["y"].to_numpy()
+                gram = gram + x.T @ x
                 for c in np.unique(y):
                     rows = x[y == c]
                     counts[c] = counts.get(c, 0) + len(rows)
                     sums[c] = sums.get(c, 0) + rows.sum(axis=0)
-                    grams[c] = grams.get(c, 0) + rows.T @ rows
-            out = []
-            for c in counts:
-                out.append((c, -1, counts[c], sums[c]))
-                out += [(c, i, 0, row) for i, row in enumerate(grams[c])]
+            # The covariance is pooled, so one matrix serves all classes.
+            out = [(c, -1, counts[c], sums[c]) for c in counts]
+            out += [(0.0, i, 0, row) for i, row in enumerate(gram)] if counts else []
             if out:
                 yield pd.DataFrame(out, columns=["y", "i", "n", "v"])
 
-        # Per partition one vector and one width-by-width matrix per class; only their sums come back.
+        # Per partition one vector per class and one width-by-width matrix; their sums come back as whole rows.
         cells = (
             slim.mapInPandas(gather, "y double, i int, n bigint, v array<double>")
             .select("y", "i", "n", F.posexplode("v").alias("j", "v"))
             .groupBy("y", "i", "j")
             .agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-            .collect()
+            .groupBy("y", "i")
+            .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))
+            .select("y", "i", "n", "row.v")
         )
         width = len(origin)
-        classes = sorted({r["y"] for r in cells})
-        n = {c: 0 for c in classes}
-        sums = {c: np.zeros(width) for c in classes}
+        n, sums = {}, {}
         within = np.zeros((width, width))
-        for r in cells:
+        for r in cells.toLocalIterator():
             if r["i"] < 0:
-                n[r["y"]] = r["n"]
-                sums[r["y"]][r["j"]] = r["v"]
+                n[r["y"]], sums[r["y"]] = r["n"], np.array(r["v"])
             else:
-                within[r["i"], r["j"]] += r["v"]
+                within[r["i"]] = r["v"]
+        classes = sorted(n)
         for c in classes:
             within -= np.outer(sums[c], sums[c]) / n[c]
         total = sum(n.values())

@@ -118,7 +118,7 @@ def nearest(
     if not size["n"]:
         empty = NEIGHBOR_SCHEMA.format(q=q_type, t=t_type)
         return queries.sparkSession.createDataFrame([], empty + ", rank int")
-    if size["n"] * (size["w"] + size["p"]) <= broadcast_cells:
+    if size["n"] * (size["w"] + size["p"] + 1) <= broadcast_cells:
         found = _nearest_broadcast(once, folded, need, schema)
     else:
         found = _nearest_tiled(once, folded, need, schema, size["n"], tile_rows, pivots)
