@@ -26,13 +26,15 @@ OWN = 40
 #: Rows of the weight table that features are hashed to.
 BUCKETS = 1 << 14
 FEATURES = 7
-ROUNDS = 24
+ROUNDS = 16
 #: Weight of the prior that draws every weight to zero.
 PRIOR = 2.0
+#: Rows that a task gathers before it hands them on.
+HANDED_ON = 50_000
 #: Words whose counts every task gets; the others are joined.
 FREQUENT = 131_072
 #: Contexts are at most CLASSES ** 3, so a fixed number of gradient parts is enough at any size.
-PARTS = 6
+PARTS = 4
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def train(contexts: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR):
 
     spark = contexts.sparkSession
     weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
-    table = saved(contexts.repartition(PARTS, "context"))
+    table = saved(contexts.repartition(PARTS)).coalesce(PARTS)
     best, rate = None, 1.0
     observed = np.zeros(weights.shape)
     for turn in range(rounds):
@@ -264,13 +266,16 @@ def score_texts(docs: DataFrame, train_on, key: str = "doc_id", text: str = "tex
                 known[part] = True
             return float(table[context, target].sum(dtype=np.float64))
 
-        for batch in batches:
-            out = [[] for _ in range(8)]
+        names = ["rid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        rows: list[tuple] = []
 
-            def put(*row, out=out):
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
+        def handed():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows.clear()
+            return batch
 
+        for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(body.as_py())
                 words.append(END)
@@ -284,7 +289,7 @@ def score_texts(docs: DataFrame, train_on, key: str = "doc_id", text: str = "tex
                 base, n_known = -base_log * len(words), 0
                 for w, n in tf.items():
                     if (c := top.get(w)) is None:
-                        put(rid, None, w, n, 0, 0, 0.0, 0.0)
+                        rows.append((rid, None, w, n, 0, 0, 0.0, 0.0))
                     else:
                         if (value := log10.get(c)) is None:
                             value = log10[c] = math.log10(c + 1)
@@ -292,9 +297,11 @@ def score_texts(docs: DataFrame, train_on, key: str = "doc_id", text: str = "tex
                         base += n * value
                         score += n * value
                 # The text's own row joins in under a name that no word has.
-                put(rid, doc, END + rid.to_bytes(8, "big"), 0, len(words), n_known, base, score)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"])
+                rows.append((rid, doc, END + rid.to_bytes(8, "big"), 0, len(words), n_known, base, score))
+                if len(rows) >= HANDED_ON:
+                    yield handed()
+        if rows:
+            yield handed()
 
     told = own_rows.select("doc_id", "text").mapInArrow(
         run, "rid long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double"
