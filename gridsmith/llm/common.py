@@ -37,7 +37,7 @@ def rows_of(batches: Iterator, *columns: str) -> Iterator[list[tuple]]:
 
 
 #: Keys that may be sent to every task; more of them are joined instead.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 500_000
 
 
 def small_side(keys: DataFrame) -> DataFrame:

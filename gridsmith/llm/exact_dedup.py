@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import BLANKS, saved, without_keys
+from gridsmith.llm.common import BLANKS, saved, small_side, without_keys
 
 SALTS = 8
 #: A task hands its local groups on when their texts or rows exceed these.
@@ -91,8 +91,13 @@ def exact_groups(
     groups = saved(own.mapInArrow(local, _LOCAL))
     order = [F.desc("n"), F.asc_nulls_last("best"), F.asc("lid")]
 
+    # A digest of one local group has nothing to be compared with, so its content is not moved.
+    met = small_side(groups.groupBy("route").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("route"))
+    alone = groups.select("route", "lid", "best", "best_at", "size").join(met, "route", "left_anti").select(
+        "lid", F.struct("lid", "best", "best_at").alias("keep"), F.col("size").alias("group_size")
+    )
     same = Window.partitionBy("route", "salt", "blob").orderBy(*order)
-    salted = groups.select("route", "salt", "blob", "n", "best", "best_at", "lid", "size").withColumns({
+    salted = groups.join(met, "route", "left_semi").select("route", "salt", "blob", "n", "best", "best_at", "lid", "size").withColumns({
         "place": F.row_number().over(same), "salt_lid": F.first("lid").over(same),
         "salt_size": F.sum("size").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
@@ -102,7 +107,7 @@ def exact_groups(
         "group_size": F.sum("salt_size").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }).select(F.col("lid").alias("salt_lid"), "keep", "group_size")
     # From here on references only: a text of thousands of rows is not moved again.
-    links = salted.select("lid", "salt_lid").join(final, "salt_lid").drop("salt_lid")
+    links = alone.unionByName(salted.select("lid", "salt_lid").join(final, "salt_lid").drop("salt_lid"))
     rows = groups.select("lid", "text_sha256", "members").join(links, "lid").select(
         "lid", "text_sha256", "keep", "group_size", F.posexplode("members").alias("at", "doc_id")
     )
