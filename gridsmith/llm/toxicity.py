@@ -30,6 +30,7 @@ NEIGHBOURS = 25
 #: Votes that the toxic share of all labelled rows has beside the neighbours', so that far neighbours decide little.
 PRIOR_VOTES = 1.0
 BLOCK = 64
+FIRST_BLOCKS = 8
 BINS = 50
 #: Fixed value: marks at the ends of a word that do not belong to it.
 MARKS = b".,;:!?\"'()[]{}<>*%$&#|~^+=/\\_-`@"
@@ -44,15 +45,16 @@ def terms_of(text: str | None) -> dict[bytes, int]:
         counts[word] = counts.get(word, 0) + 1
     out: dict[bytes, int] = {}
     for word, n in counts.items():
-        word = word.strip(MARKS) or word
-        out[word] = out.get(word, 0) + n
-        if len(word) > 4:
-            for size in (4, 5, 6):
-                stem = b"^%d" % size + word[:size]
-                out[stem] = out.get(stem, 0) + n
+        for term in _terms(word):
+            out[term] = out.get(term, 0) + n
     return out
 
 
+def _terms(word: bytes) -> tuple[bytes, ...]:
+    word = word.strip(MARKS) or word
+    return (word, b"^4" + word[:4], b"^5" + word[:5], b"^6" + word[:6]) if len(word) > 4 else (word,)
+
+
 def labelled_sample(labels: DataFrame, key: str, label: str, bound: int) -> DataFrame:
     """``doc_id, toxic`` of at most ``bound`` labelled rows, first in the order of a hash of the key."""
     rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -119,11 +121,19 @@ def vectors(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        number = shared.value.get
+        number, seen = shared.value.get, {}
         for batch in batches:
             ids, tfs = [], []
             for text in batch.column(1):
-                found = sorted((i, n) for t, n in terms_of(text.as_py()).items() if (i := number(t)) is not None)
+                tf: dict[int, int] = {}
+                for word in words_of(text.as_py()):
+                    if (own := seen.get(word)) is None:
+                        if len(seen) > 300_000:
+                            seen.clear()
+                        own = seen[word] = tuple(i for t in _terms(word) if (i := number(t)) is not None)
+                    for i in own:
+                        tf[i] = tf.get(i, 0) + 1
+                found = sorted(tf.items())
                 ids.append([i for i, _ in found])
                 tfs.append([n for _, n in found])
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +177,7 @@ class BlockMaxIndex:
         for t, found in postings.items():
             at, weight = np.array([i for i, _ in found]), np.array([w for _, w in found])
             cut = np.flatnonzero(np.diff(at // size, prepend=-1))
-            self.lists[t] = (at, weight, at[cut] // size, np.maximum.reduceat(weight, cut), np.append(cut, len(at)))
+            self.lists[t] = (at, weight, at // size, at[cut] // size, np.maximum.reduceat(weight, cut))
 
     def unit(self, ids, tfs):
         """TF-IDF weights of length one; tf counts as one plus its logarithm.
@@ -191,40 +201,34 @@ class BlockMaxIndex:
         terms, query = self.unit(ids, tfs)
         lists = [(q, self.lists[t]) for q, t in zip(query, terms, strict=True) if t in self.lists]
         bound = np.zeros(self.blocks)
-        for q, (_, _, blocks, highest, _) in lists:
+        for q, (_, _, _, blocks, highest) in lists:
             bound[blocks] += q * highest
-        order = np.argsort(-bound, kind="stable")
         rows = self.toxic + self.clean
         if without >= 0:
-            rows = rows.copy()
             rows[without] -= 1
-        at, cosines = np.zeros(0, dtype=int), np.zeros(0)
-        step, start, least = 4, 0, 0.0
-        while start < self.blocks:
-            part = order[start : start + step]
-            part = part[(bound[part] > 0) & (bound[part] >= least - 1e-9)]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, cosines, least = np.zeros(0, dtype=int), np.zeros(0), 0.0
+        # The most promising blocks give a cosine to beat; of the others only those that can reach it are looked at.
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            part = part[bound[part] >= least - 1e-9]
             if not len(part):
                 break
-            scores = np.zeros(len(part) * self.size)
-            for q, (ids_, weights, blocks, _, cut) in lists:
-                where = np.searchsorted(blocks, part)
-                for j, (w, b) in enumerate(zip(where, part, strict=True)):
-                    if w < len(blocks) and blocks[w] == b:
-                        span = slice(cut[w], cut[w + 1])
-                        scores[j * self.size + ids_[span] - b * self.size] += q * weights[span]
-            hit = np.flatnonzero(scores > 0)
-            found = part[hit // self.size] * self.size + hit % self.size
-            keep = rows[found] > 0
-            at, cosines = np.append(at, found[keep]), np.append(cosines, np.round(scores[hit][keep], 9))
+            inside = np.zeros(self.blocks, dtype=bool)
+            inside[part] = True
+            scores = np.zeros(len(rows))
+            for q, (ids_, weights, block_of, _, _) in lists:
+                hit = inside[block_of]
+                scores[ids_[hit]] += q * weights[hit]
+            found = np.flatnonzero((scores > 0) & (rows > 0))
+            at, cosines = np.append(at, found), np.append(cosines, np.round(scores[found], 9))
             first = np.lexsort((at, -cosines))
             at, cosines = at[first], cosines[first]
             covered = np.cumsum(rows[at])
             if len(at) and covered[-1] >= k:
                 least = cosines[np.searchsorted(covered, k)]
-                inside = cosines >= least
-                at, cosines = at[inside], cosines[inside]
-            start += step
-            step *= 2
+                near = cosines >= least
+                at, cosines = at[near], cosines[near]
         return at, np.minimum(cosines, 1.0)
 
     def vote(self, ids, tfs, k: int, left_out: int | None = None) -> tuple[float | None, list]:
