@@ -25,7 +25,7 @@ TERMS = 4000
 CHANCE = 0.02
 SUPPORT = 5
 #: At most so many different labelled vectors enter the index, the most frequent first.
-EXAMPLES = 20_000
+EXAMPLES = 6_000
 NEIGHBOURS = 25
 #: Votes that the toxic share of all labelled rows has beside the neighbours', so that far neighbours decide little.
 PRIOR_VOTES = 1.0
@@ -222,6 +222,9 @@ class BlockMaxIndex:
                 scores[ids_[hit]] += q * weights[hit]
             found = np.flatnonzero((scores > 0) & (rows > 0))
             at, cosines = np.append(at, found), np.append(cosines, np.round(scores[found], 9))
+            if len(at) > k:  # each has a row or more, so what is behind the k-th is never reached
+                close = cosines >= np.partition(cosines, -k)[-k]
+                at, cosines = at[close], cosines[close]
             first = np.lexsort((at, -cosines))
             at, cosines = at[first], cosines[first]
             covered = np.cumsum(rows[at])
