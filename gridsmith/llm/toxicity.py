@@ -177,7 +177,7 @@ class BlockMaxIndex:
         for t, found in postings.items():
             at, weight = np.array([i for i, _ in found]), np.array([w for _, w in found])
             cut = np.flatnonzero(np.diff(at // size, prepend=-1))
-            self.lists[t] = (at, weight, at // size, at[cut] // size, np.maximum.reduceat(weight, cut))
+            self.lists[t] = (at, weight, at[cut] // size, np.maximum.reduceat(weight, cut))
 
     def unit(self, ids, tfs):
         """TF-IDF weights of length one; tf counts as one plus its logarithm.
@@ -200,9 +200,19 @@ class BlockMaxIndex:
 
         terms, query = self.unit(ids, tfs)
         lists = [(q, self.lists[t]) for q, t in zip(query, terms, strict=True) if t in self.lists]
-        bound = np.zeros(self.blocks)
-        for q, (_, _, _, blocks, highest) in lists:
-            bound[blocks] += q * highest
+
+        if not lists:
+            return np.zeros(0, dtype=int), np.zeros(0)
+
+        def weighted(place, weight):
+            """All places of the query's lists, with their values times the query's weights."""
+            places = [x[place] for _, x in lists]
+            values = np.repeat([q for q, _ in lists], [len(p) for p in places]) * np.concatenate([x[weight] for _, x in lists])
+            return np.concatenate(places), values
+
+        bound = np.bincount(*weighted(2, 3), self.blocks)
+        posted, weighed = weighted(0, 1)
+        block_of = posted // self.size
         rows = self.toxic + self.clean
         if without >= 0:
             rows[without] -= 1
@@ -216,10 +226,8 @@ class BlockMaxIndex:
                 break
             inside = np.zeros(self.blocks, dtype=bool)
             inside[part] = True
-            scores = np.zeros(len(rows))
-            for q, (ids_, weights, block_of, _, _) in lists:
-                hit = inside[block_of]
-                scores[ids_[hit]] += q * weights[hit]
+            hit = inside[block_of]
+            scores = np.bincount(posted[hit], weighed[hit], len(rows))
             found = np.flatnonzero((scores > 0) & (rows > 0))
             at, cosines = np.append(at, found), np.append(cosines, np.round(scores[found], 9))
             if len(at) > k:  # each has a row or more, so what is behind the k-th is never reached
