@@ -30,6 +30,11 @@ def remainder(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def text_tie(text: str) -> Column:
+    """Hash that tells rows of one key apart by their text; NULL counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def rows_of(batches: Iterator, *columns: str) -> Iterator[list[tuple]]:
     """Every Arrow batch as a list of tuples of ``columns``."""
     for batch in batches:

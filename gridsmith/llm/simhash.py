@@ -10,12 +10,13 @@ returns a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import saved, small_side, without_keys, words_of
+from gridsmith.llm.common import saved, small_side, text_tie, without_keys, words_of
 from gridsmith.operators.density import connected_components
 
 RADIUS = 4
@@ -83,19 +84,11 @@ def _signed(value: int) -> int:
 
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """``a, b``: links among the distinct fingerprints ``bits`` that connect the same rows as all links do."""
-    return _compared(distinct, block_masks(radius, blocks), radius, pivots, tile, nearest=False)
+    return _compared(distinct, block_masks(radius, blocks), radius, pivots, tile)
 
 
-def sampled_masks(tables: int, bits: int, seed: int = 16) -> list[int]:
-    """Masks of ``bits`` random positions each: two values ``d`` bits apart agree under one with probability 1 - (1 - (1 - d/64)^bits)^tables."""
-    import random
-
-    draw = random.Random(seed)
-    return [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(tables)]
-
-
-def _compared(distinct: DataFrame, masks: list[int], radius: int, pivots: int, tile: int, nearest: bool) -> DataFrame:
-    """Pairs ``a, b`` within ``radius`` among the rows of one masked value: a spanning forest, or the nearest of each row."""
+def _compared(distinct: DataFrame, masks: list[int], radius: int, pivots: int, tile: int) -> DataFrame:
+    """Pairs ``a, b`` within ``radius`` among the rows of one masked value: a spanning forest."""
     masks = [_signed(m) for m in masks]
     keyed = distinct.select(
         "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "block")
@@ -138,30 +131,25 @@ def _compared(distinct: DataFrame, masks: list[int], radius: int, pivots: int, t
         points = np.random.default_rng(64).integers(0, 2**64, size=pivots, dtype=np.uint64)
         table = np.bitwise_count(bits[:, None] ^ points).astype(np.int8)
         rows = np.arange(len(bits))
-        root, mate, least = rows.copy(), rows.copy(), np.full(len(bits), radius + 1)
+        root = rows.copy()
         gap = 1
         while gap < len(bits):
             left = np.flatnonzero(cells[:-gap] == cells[gap:])
             if not len(left):
                 break
-            if not nearest:  # pairs that hang together already need no look
-                left = left[root[left] != root[left + gap]]
+            # Pairs that hang together already need no look.
+            left = left[root[left] != root[left + gap]]
             for at in range(0, pivots, 8):
                 far = np.abs(table[left, at : at + 8] - table[left + gap, at : at + 8]).max(axis=1, initial=0)
                 left = left[far <= radius]
             apart = np.bitwise_count(bits[left] ^ bits[left + gap])
-            left, apart = left[apart <= radius], apart[apart <= radius]
-            if nearest:
-                for one, other in ((left, left + gap), (left + gap, left)):
-                    closer = apart < least[one]
-                    least[one[closer]], mate[one[closer]] = apart[closer], other[closer]
-            elif len(left):
+            left = left[apart <= radius]
+            if len(left):
                 _join(root, left, left + gap)
             gap += 1
-        other = mate if nearest else root
-        moved = np.flatnonzero(other != rows)
+        moved = np.flatnonzero(root != rows)
         if len(moved):
-            a, b = bits[np.minimum(other[moved], moved)].view(np.int64), bits[np.maximum(other[moved], moved)].view(np.int64)
+            a, b = bits[root[moved]].view(np.int64), bits[moved].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -206,73 +194,221 @@ def simhash_components(
 
 #: Near copies by shingles: five words, and this similarity of the sets of shingles.
 NEAR_WIDTH, SIMILARITY = 5, 0.8
-#: Bits within which such texts nearly always lie, and the tables that look for them.
-NEAR_RADIUS, TABLES, TABLE_BITS = 16, 96, 14
+#: Texts drawn to learn which shingles are common, and how many of those are told to every task. They only balance the work.
+COMMON_TEXTS, COMMON = 20_000, 200_000
+#: 64-bit words of the parity sketch of a set; two sets differ in at least as many shingles as their sketches in bits.
+SKETCH = 16
+
+_SET = "doc_id long, tie long, node long, size int, sketch binary, rare array<long>"
+
+
+def _marks(text: str | None, width: int):
+    """The different shingles of ``text`` as ascending 64-bit hashes."""
+    import numpy as np
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text), width)], dtype=np.uint64))
+
+
+def _node(marks) -> int:
+    """One name for all texts with the same set of shingles."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(marks.tobytes(), 7))
 
 
 def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
-    """``doc_id, marks``: 32 bits of the hash of every different shingle of ``doc_id, text``, ascending."""
+    """``node, marks`` of every row of ``doc_id, text``: the name of its set and the hashes of its different shingles."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
-            marks = []
-            for text in batch.column(1):
-                values = [xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text.as_py()), width)]
-                marks.append(np.unique(np.array(values, dtype=np.uint64).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "marks"])
+            marks = [_marks(t.as_py(), width) for t in batch.column(0)]
+            nodes = pa.array([_node(m) for m in marks], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([m.view(np.int64) for m in marks], pa.list_(pa.int64()))], ["node", "marks"])
+
+    return docs.select("text").mapInArrow(run, "node long, marks array<long>")
+
+
+def common_marks(own: DataFrame, width: int, texts: int = COMMON_TEXTS, limit: int = COMMON) -> list[tuple[int, int]]:
+    """Shingles that a hash sample of about ``texts`` rows of ``doc_id, tie, text`` has more than once, with their counts, the most common first."""
+    n = own.count()
+    drawn = own.filter(F.pmod(F.xxhash64("doc_id", "tie", F.lit(5)), F.lit(1_000_000)) < 1_000_000 * min(1.0, texts / max(1, n)))
+    seen = shingle_sets(drawn, width).select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    return [(r.mark, r.n) for r in seen.filter("n > 1").orderBy(F.desc("n"), "mark").limit(limit).collect()]
+
+
+def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
+    """Each row of ``doc_id, tie, text`` with the name, size and sketch of its set and its rarest shingles.
+
+    Two sets that are at least ``similarity`` alike share one of those: they are
+    one more than a set can lack of another that is so similar, in one order for all.
+    """
+    shared = own.sparkSession.sparkContext.broadcast(sorted(common))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = np.array([m for m, _ in shared.value], dtype=np.int64)
+        times = np.array([n for _, n in shared.value] + [0], dtype=np.int64)
+        for batch in batches:
+            out = []
+            for text in batch.column(2):
+                marks = _marks(text.as_py(), width)
+                n = len(marks)
+                signed = marks.view(np.int64)
+                at = np.searchsorted(known, signed)
+                if len(known):
+                    at[known[np.minimum(at, len(known) - 1)] != signed] = len(known)
+                rarest = np.lexsort((signed, times[at]))[: n - math.ceil(similarity * n - 1e-6) + 1 if n else 0]
+                parity = np.bincount((marks >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+                out.append((_node(marks), n, np.packbits(parity.astype(np.uint8)).tobytes(), signed[rarest]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)]
+                + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))],
+                ["doc_id", "tie", "node", "size", "sketch", "rare"],
+            )
+
+    return own.select("doc_id", "tie", "text").mapInArrow(run, _SET)
+
+
+def _proposed(cells: DataFrame, sets: DataFrame, named: DataFrame | None, similarity: float, tile: int, every: bool) -> DataFrame:
+    """``a, b``: pairs of one cell and of two components that their sketches allow to be similar.
+
+    All of them with ``every``, else those of each row with its nearest one of
+    another component, for every cell. ``named`` has the components so far.
+    """
+    rows = sets.select("node", "size", "sketch")
+    if named is None:
+        placed = cells.withColumn("component", F.col("node"))
+    else:
+        placed = cells.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Cells that hang together already need no look.
+    mixed = placed.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+    met = placed.join(mixed.filter("low < high").select("mark", "rows"), "mark").join(rows, "node")
+    # A large cell is dealt into tiles of bounded size, and each two tiles meet once.
+    tiles = F.greatest(F.ceil(F.col("rows") / tile), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    other = F.explode(F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1)))
+    kept = ["mark", "node", "component", "size", "sketch"]
+    dealt = met.select(*kept, own.alias("own"), other.alias("other")).select(
+        "mark", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *kept[1:]
+    )
+    cell = ["mark", "low", "high"]
+    dealt = dealt.repartition(*cell).sortWithinPartitions(*cell, "node")
+
+    def run(batches):
+        import numpy as np
+
+        rest = None
+        for batch in batches:
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            part.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH))
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part, strict=True)]
+            change = np.ones(len(part[0]), dtype=bool)
+            change[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in part[:3]])
+            last = int(np.flatnonzero(change)[-1])
+            rest = [x[last:] for x in part]
+            if last:
+                yield from near(np.cumsum(change[:last]), *[x[:last] for x in part[3:]])
+        if rest is not None:
+            yield from near(np.zeros(len(rest[0]), dtype=np.int64), *rest[3:])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, marks array<int>")
+    def near(cells, node, component, size, sketch):
+        import numpy as np
+        import pyarrow as pa
 
+        rows = np.arange(len(node))
+        mate, least = rows.copy(), np.full(len(node), 64 * SKETCH + 1)
+        gap = 1
+        while gap < len(node):
+            left = np.flatnonzero(cells[:-gap] == cells[gap:])
+            if not len(left):
+                break
+            left = left[component[left] != component[left + gap]]
+            small, large = np.minimum(size[left], size[left + gap]), np.maximum(size[left], size[left + gap])
+            left = left[small >= similarity * large - 1e-6]
+            # So many shingles may lie in one of the two sets alone.
+            both = size[left].astype(np.int64) + size[left + gap]
+            most = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-6).astype(np.int64)
+            apart = np.zeros(len(left), dtype=np.int64)
+            for at in range(0, SKETCH, 4):
+                apart = apart + np.bitwise_count(sketch[left, at : at + 4] ^ sketch[left + gap, at : at + 4]).sum(axis=1, dtype=np.int64)
+                close = apart <= most
+                left, most, apart = left[close], most[close], apart[close]
+            if every:
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[left], node[left + gap])), pa.array(np.maximum(node[left], node[left + gap]))], ["a", "b"])
+            else:
+                for one, other in ((left, left + gap), (left + gap, left)):
+                    closer = apart < least[one]
+                    least[one[closer]], mate[one[closer]] = apart[closer], other[closer]
+            gap += 1
+        moved = np.flatnonzero(mate != rows)
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[mate[moved]], node[moved])), pa.array(np.maximum(node[mate[moved]], node[moved]))], ["a", "b"])
 
-def near_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS,
-    tables: int = TABLES, bits: int = TABLE_BITS,
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(own: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles are similar enough."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = small_side(sets.join(named, "node", "left_semi").select("first.doc_id", "first.tie"))
+    found = shingle_sets(own.join(first, ["doc_id", "tie"], "left_semi"), width).dropDuplicates(["node"])
+    found = saved(found)
+    both = pairs.join(found.withColumnsRenamed({"node": "a", "marks": "p"}), "a").join(found.withColumnsRenamed({"node": "b", "marks": "q"}), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    together = F.size("p") + F.size("q") - common
+    return both.filter(common >= similarity * together).select("a", "b")
+
+
+def near_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, tile: int = TILE,
 ) -> DataFrame:
-    """``doc_id, keep_id`` for the documents that have a near copy: the smallest key that chains of near copies lead to.
-
-    Fingerprints within ``radius`` bits propose pairs, and the pair holds if the
-    sets of ``width``-word shingles are at least ``similarity`` alike (texts
-    without words are alike). Each fingerprint proposes its nearest neighbour in
-    every table; then one document of each group found goes through the same
-    again, until no pair is left. Rows with a NULL key are left out; repeated rows share a key and
-    are never copies of themselves.
+    """``doc_id, tie, keep_id, keep_tie`` for the rows that have a near copy; ``tie`` is the hash of the text.
+
+    A pair of texts is one if the sets of their ``width``-word shingles are at
+    least ``similarity`` alike (texts without words are alike), and chains of
+    pairs are one group; all pairs count. Such sets share one of their rarest
+    shingles, so the rows of one of these are a cell. First each row proposes its
+    nearest one of another group in every cell, until a round joins nothing;
+    then all pairs of different groups are verified that are left. Rows with a NULL key are left out; repeated
+    rows share key and text and are never copies of themselves.
     """
     own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    left = saved(fingerprints(own, width=width, repeats=False))
-    masks, every = sampled_masks(tables, bits), None
+    own = own.select("doc_id", text_tie("text").alias("tie"), "text")
+    held = saved(prefix_sets(own, width, similarity, common_marks(own, width)))
+    sets = saved(
+        held.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sketch", "rare")])
+    )
+    cells = sets.select("node", F.explode("rare").alias("mark"))
+    shared = cells.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    cells = saved(cells.join(shared, "mark"))
+    named = linked = None
+    every = False
     while True:
-        linked = saved(_near_links(own, left, masks, width, similarity, radius))
-        if linked.isEmpty() and every is not None:
-            break
-        nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = connected_components(nodes, linked)
-        every = linked if every is None else every.unionByName(linked)
-        # Those that stay are compared again: in a smaller crowd their nearest is another.
-        left = saved(without_keys(left, "doc_id", found.filter("node != component").select("node")))
-        if linked.isEmpty():
+        found = saved(_similar(own, sets, saved(_proposed(cells, sets, named, similarity, tile, every)), width, similarity))
+        new = not found.isEmpty()
+        if new or linked is None:
+            linked = found if linked is None else linked.unionByName(found)
+            nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            named = connected_components(nodes, linked)
+        if every:
             break
-    nodes = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_components(nodes, every).select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
-
-
-def _near_links(own: DataFrame, marked: DataFrame, masks: list[int], width: int, similarity: float, radius: int) -> DataFrame:
-    """``a, b``: pairs of ``marked`` (``doc_id, bits``), nearest in some table, whose texts are similar enough."""
-    distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    pairs = _compared(distinct.select("bits"), masks, radius, PIVOTS, TILE, nearest=True)
-    first = distinct.select("bits", "first")
-    across = pairs.join(first.withColumnsRenamed({"bits": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"bits": "b", "first": "y"}), "b").select("x", "y")
-    within = marked.join(first, "bits").filter("doc_id != first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-    proposed = saved(across.unionByName(within).distinct())
-    named = small_side(proposed.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = saved(shingle_sets(own.join(named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-    both = proposed.join(sets.withColumnsRenamed({"doc_id": "x", "marks": "p"}), "x").join(sets.withColumnsRenamed({"doc_id": "y", "marks": "q"}), "y")
-    common = F.size(F.array_intersect("p", "q"))
-    together = F.size("p") + F.size("q") - common
-    return both.filter((together == 0) | (common >= similarity * together)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        every = not new
+    rows = held.select("doc_id", "tie", "node").distinct().join(named, "node", "left").select("doc_id", "tie", F.coalesce("component", "node").alias("group"))
+    keeps = rows.groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(keeps, "group").select("doc_id", "tie", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tie").alias("keep_tie"))
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``doc_id, keep_id`` for the documents that have a near copy: the smallest key that chains of near copies lead to."""
+    return near_rows(docs, key, text, **options).select("doc_id", "keep_id").distinct()
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
