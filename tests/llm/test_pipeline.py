@@ -91,3 +91,24 @@ def test_near_copies_behind_a_nearer_text_that_is_not_one(spark):
     for tile in (5, 4096):
         found = {r.doc_id: r.keep_id for r in near_groups(docs, tile=tile).collect()}
         assert [found.get(i, i) for i in range(len(sets))] == label
+
+
+def test_near_groups_equal_brute_force(spark):
+    """Not one pair at the border of 0.8 is missed."""
+    rows = []
+    for g in range(40):
+        base = words(2000 + g, 120)
+        for c in range(4):
+            text = list(base)
+            for k in range(c):
+                text[(k * 29 + 7 * c) % 120] = f"x{g}_{c}_{k}"
+            rows.append((10 * g + c, " ".join(text[: 120 - 2 * c])))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    found = {r.doc_id: r.keep_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: found.get(d, d) for d in sets} == label
