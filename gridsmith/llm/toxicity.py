@@ -24,8 +24,6 @@ LABELLED = 40_000
 TERMS = 4000
 CHANCE = 0.02
 SUPPORT = 5
-#: At most so many different labelled vectors enter the index, the most frequent first.
-EXAMPLES = 6_000
 NEIGHBOURS = 25
 #: Votes that the toxic share of all labelled rows has beside the neighbours', so that far neighbours decide little.
 PRIOR_VOTES = 1.0
@@ -272,8 +270,7 @@ def _monotone(points: list[tuple[float, float, float]]) -> tuple[list[float], li
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7,
-    labelled: int = LABELLED, terms: int = TERMS, chance: float = CHANCE, support: int = SUPPORT, examples: int = EXAMPLES,
-    neighbours: int = NEIGHBOURS,
+    labelled: int = LABELLED, terms: int = TERMS, chance: float = CHANCE, support: int = SUPPORT, neighbours: int = NEIGHBOURS,
 ) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id, score`` (0 to 1), ``predicted``, ``evidence``.
 
@@ -298,8 +295,8 @@ def score_toxicity(
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("doc_id").alias("example"))
     )
     empty = grouped.filter("size(ids) = 0").first()
-    chosen = grouped.filter("size(ids) > 0").orderBy(F.desc(F.col("t") + F.col("c")), "example").limit(examples)
-    rows = [(tuple(r.ids), tuple(r.tfs), r.t, r.c, r.example) for r in chosen.collect()]
+    # All of them enter the index: there are at most as many as labelled rows drawn, and the shares are of the same rows.
+    rows = [(tuple(r.ids), tuple(r.tfs), r.t, r.c, r.example) for r in grouped.filter("size(ids) > 0").orderBy("example").collect()]
     bundle = spark.sparkContext.broadcast(Examples(idf, rows, (empty.t, empty.c) if empty else (0, 0)))
 
     def left_out(batches):

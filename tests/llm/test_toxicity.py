@@ -87,3 +87,21 @@ def test_sample_is_bounded_and_takes_majorities(spark):
     whole = {r.doc_id: r.toxic for r in labelled_sample(labels, "doc_id", "toxic", 1000).collect()}
     assert whole[0] == 1 and whole[1] == 1 and len(whole) == 500
     assert math.isclose(sum(whole.values()), 251)
+
+
+def test_every_labelled_vector_is_searched(spark):
+    rng = random.Random(8)
+    bad = ["zorgle", "quaxxy", "vunkit", "plomad", "grifto", "snabel", "trokul", "wexing", "yubbot", "kranzy", "dolvic", "hestum"]
+    rows, seen = [], set()
+    while len(rows) < 6600:
+        picked = tuple(sorted(rng.choices(bad, k=rng.randint(3, 7))))
+        if picked not in seen:
+            seen.add(picked)
+            rows.append((len(rows), " ".join(picked), 1))
+    rows += [(10_000 + i, f"fine calm words number{i % 50}", 0) for i in range(3000)]
+    asked = [(20_000 + i, rows[i][1], None) for i in range(6300, 6600)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows + asked], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, n) for d, _, n in rows], "doc_id long, toxic int")
+    found = score_toxicity(docs, labels).filter("doc_id >= 20000").collect()
+    assert len(found) == 300
+    assert all(r.evidence[0].example == r.doc_id - 20_000 and r.evidence[0].cosine > 1 - 1e-6 for r in found)
