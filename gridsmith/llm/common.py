@@ -51,6 +51,12 @@ def small_side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def without_rows(docs: DataFrame, key: str, text: str, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not in ``bad``, a key and a ``text_tie`` each; rows with a NULL key stay."""
+    rows = small_side(bad.toDF("_bad", "_tie").filter("_bad is not null").distinct())
+    return docs.join(rows, (F.col(key).cast("long") == F.col("_bad")) & (text_tie(text) == F.col("_tie")), "left_anti")
+
+
 def without_keys(docs: DataFrame, key: str, bad: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is not in the one column of ``bad``; rows with a NULL key stay."""
     keys = small_side(bad.select(F.col(bad.columns[0]).alias("_bad")).filter("_bad is not null").distinct())

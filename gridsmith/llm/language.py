@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import without_keys
+from gridsmith.llm.common import text_tie, without_rows
 
 #: Texts drawn for a language, and the characters taken from each: the bounded sample that is learned.
 SAMPLE = 384
@@ -64,7 +64,7 @@ def learn_dictionaries(
 
 
 def classify(
-    docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", level: int = LEVEL, chunk: int = CHUNK, margin: int = MARGIN,
+    docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", level: int = LEVEL, chunk: int = CHUNK, margin: int = MARGIN, tie: str | None = None,
 ) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id, lang_pred, score, margin, rejected``.
 
@@ -73,9 +73,10 @@ def classify(
     learned. ``margin`` counts the bytes saved against the next language and
     ``score`` is 1 - 2^-margin. Rejected are unknown texts and those with a
     margin under ``margin`` (with one language there is no next: margin is the
-    saving against no dictionary).
+    saving against no dictionary). A column ``tie`` of longs is handed through under its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    more = [tie] if tie else []
 
     def run(batches):
         import pyarrow as pa
@@ -112,15 +113,17 @@ def classify(
                 saving = min(s for i, s in enumerate(sizes) if i != best) - sizes[best]
                 out.append((names[best], 1.0 - 2.0 ** -max(0, min(saving, 1000)), saving, saving < margin))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.bool_()))],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
+                [batch.column(0), *batch.columns[2:]] + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.bool_()))],
+                ["doc_id", *more, "lang_pred", "score", "margin", "rejected"],
             )
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double, margin long, rejected boolean")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+    handed = "".join(f"{c} long, " for c in more)
+    return own.mapInArrow(run, f"doc_id long, {handed}lang_pred string, score double, margin long, rejected boolean")
 
 
 def drop_unknown(docs: DataFrame, teachers: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns; rows with a NULL key stay."""
     dictionaries = learn_dictionaries(teachers, key, text, lang)
-    return without_keys(docs, key, classify(docs, dictionaries, key, text).filter("rejected").select("doc_id"))
+    found = classify(docs.withColumn("_tie", text_tie(text)), dictionaries, key, text, tie="_tie")
+    return without_rows(docs, key, text, found.filter("rejected").select("doc_id", "_tie"))

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import saved, small_side, text_tie, without_keys, words_of
+from gridsmith.llm.common import saved, small_side, text_tie, without_rows, words_of
 from gridsmith.operators.density import connected_components
 
 RADIUS = 4
@@ -413,4 +413,5 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest key, with all its columns."""
-    return without_keys(docs, key, near_groups(docs, key, text, **options).filter("doc_id != keep_id").select("doc_id"))
+    found = near_rows(docs, key, text, **options).filter("doc_id != keep_id or tie != keep_tie")
+    return without_rows(docs, key, text, found.select("doc_id", "tie"))

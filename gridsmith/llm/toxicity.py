@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import remainder, saved, without_keys, words_of
+from gridsmith.llm.common import remainder, saved, text_tie, without_rows, words_of
 
 #: The classifier is fitted on at most so many labelled rows, those first in hash order.
 LABELLED = 40_000
@@ -33,7 +33,7 @@ BINS = 50
 #: Fixed value: marks at the ends of a word that do not belong to it.
 MARKS = b".,;:!?\"'()[]{}<>*%$&#|~^+=/\\_-`@"
 
-_VECTOR = "doc_id long, toxic int, ids array<int>, tfs array<int>"
+_VECTOR = "doc_id long, tie long, toxic int, ids array<int>, tfs array<int>"
 
 
 def terms_of(text: str | None) -> dict[bytes, int]:
@@ -113,7 +113,7 @@ def telling_terms(texts: DataFrame, limit: int, chance: float, support: int) ->
 
 
 def vectors(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """Rows of ``docs`` (``doc_id, text, toxic``) with the vocabulary numbers and counts of their whole text."""
+    """Rows of ``docs`` (``doc_id, tie, text, toxic``) with the vocabulary numbers and counts of their whole text."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def run(batches):
@@ -122,7 +122,7 @@ def vectors(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
         number, seen = shared.value.get, {}
         for batch in batches:
             ids, tfs = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 tf: dict[int, int] = {}
                 for word in words_of(text.as_py()):
                     if (own := seen.get(word)) is None:
@@ -135,10 +135,11 @@ def vectors(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
                 ids.append([i for i, _ in found])
                 tfs.append([n for _, n in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "toxic", "ids", "tfs"]
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))],
+                ["doc_id", "tie", "toxic", "ids", "tfs"],
             )
 
-    return docs.select("doc_id", "text", "toxic").mapInArrow(run, _VECTOR)
+    return docs.select("doc_id", "tie", "text", "toxic").mapInArrow(run, _VECTOR)
 
 
 @dataclass
@@ -268,11 +269,11 @@ def _monotone(points: list[tuple[float, float, float]]) -> tuple[list[float], li
     return [p[0] / p[2] for p in pools], [(p[1] + 0.5) / (p[2] + 1) for p in pools]
 
 
-def score_toxicity(
+def score_rows(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7,
     labelled: int = LABELLED, terms: int = TERMS, chance: float = CHANCE, support: int = SUPPORT, neighbours: int = NEIGHBOURS,
 ) -> DataFrame:
-    """One row for every row of ``docs``: ``doc_id, score`` (0 to 1), ``predicted``, ``evidence``.
+    """One row for every row of ``docs``: ``doc_id, tie, score`` (0 to 1), ``predicted``, ``evidence``; ``tie`` is the hash of the text.
 
     ``labels`` holds the rows to learn from; rows with a NULL key or label teach
     nothing, and a key with several labels counts as its majority, a tie as
@@ -283,7 +284,7 @@ def score_toxicity(
     """
     spark = docs.sparkSession
     sample = labelled_sample(labels, key, label, labelled)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), text_tie(text).alias("tie"), F.col(text).cast("string").alias("text"))
     marked = own.join(F.broadcast(saved(sample)), "doc_id", "left")  # bounded by ``labelled``
     vocabulary = telling_terms(marked.filter("toxic is not null").select("text", "toxic"), terms, chance, support)
     held = saved(vectors(marked, vocabulary))
@@ -333,7 +334,7 @@ def score_toxicity(
         plain = (toxic / (toxic + clean) if toxic + clean else 0.0, [])
         for batch in batches:
             scores, evidence = [], []
-            for ids, tfs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for ids, tfs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = plain
                 if ids and data.vectors:
                     known = (*ids, *tfs)
@@ -346,18 +347,23 @@ def score_toxicity(
                 scores.append(found[0])
                 evidence.append([{"example": e, "cosine": c, "toxic_share": s} for e, c, s in found[1]])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "tie", "score", "evidence"])
 
-    scored = held.select("doc_id", "ids", "tfs").mapInArrow(
-        run, "doc_id long, score double, evidence array<struct<example: long, cosine: double, toxic_share: double>>"
+    scored = held.select("doc_id", "tie", "ids", "tfs").mapInArrow(
+        run, "doc_id long, tie long, score double, evidence array<struct<example: long, cosine: double, toxic_share: double>>"
     )
-    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", "tie", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *args, **options) -> DataFrame:
+    """``doc_id, score, predicted, evidence`` of ``score_rows``, with the same arguments."""
+    return score_rows(docs, labels, *args, **options).drop("tie")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; rows with a NULL key stay."""
-    found = score_toxicity(docs, labels, key, text, threshold=threshold, **options)
-    return without_keys(docs, key, found.filter("predicted = 1").select("doc_id"))
+    found = score_rows(docs, labels, key, text, threshold=threshold, **options)
+    return without_rows(docs, key, text, found.filter("predicted = 1").select("doc_id", "tie"))
 
 
 def trains(key: str = "doc_id"):

@@ -112,3 +112,21 @@ def test_near_groups_equal_brute_force(spark):
                     label[a] = label[b] = min(label[a], label[b])
     found = {r.doc_id: r.keep_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: found.get(d, d) for d in sets} == label
+
+
+def test_rows_of_one_key_are_decided_one_by_one(spark):
+    """A rejected, toxic or copied row does not take another text of its key with it."""
+    from gridsmith.llm.language import drop_unknown
+    from gridsmith.llm.toxicity import drop_toxic
+
+    base = words(31, 100)
+    near = [(1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), (2, " ".join(words(32, 100))), (2, "12 34"), (3, " ".join([*base, "x"])), (3, " ".join([*base, "y"]))]
+    docs = spark.createDataFrame([(d, t, "aa") for d, t in near], "doc_id long, text string, lang string")
+    left = sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect())
+    assert left == sorted([near[0], near[2], near[3]])
+    left = sorted((r.doc_id, r.text) for r in drop_unknown(docs, docs).collect())
+    assert left == sorted(n for n in near if n[1] != "12 34")
+    taught = [(100 + i, f"zorgle quaxxy w{i}" if i % 3 == 0 else f"calm day w{i}", int(i % 3 == 0)) for i in range(300)]
+    texts = spark.createDataFrame([(d, t) for d, t, _ in taught] + [(7, "zorgle quaxxy"), (7, "calm day")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, n) for d, _, n in taught], "doc_id long, toxic int")
+    assert [r.text for r in drop_toxic(texts, labels).filter("doc_id = 7").collect()] == ["calm day"]
