@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import chat, exact_dedup, fingerprints, language, lm_scoring, packing, pieces, resampling, sharding, simhash, toxicity
+from gridsmith.llm import chat, exact_dedup, fingerprints, language, licenses, lm_scoring, packing, pieces, resampling, sharding, simhash, toxicity
 from gridsmith.llm.common import remainder
 
 
@@ -106,6 +106,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -122,5 +126,6 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),
+    "op12_licenses": (op12_licenses, licenses.scan_sql()),
     "op13_resampling": (op13_resampling, None),
 }
