@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import chat, exact_dedup, fingerprints, language, licenses, lm_scoring, packing, pieces, resampling, sharding, simhash, toxicity
+from gridsmith.llm import chat, exact_dedup, fingerprints, language, licenses, lm_scoring, packing, pieces, prefix_trie, resampling, sharding, simhash, toxicity
 from gridsmith.llm.common import remainder
 
 
@@ -106,6 +106,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a decimal number, bit by bit, by the usual polynomial.
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT c, turns, {CRC_SQL} % 6 AS h FROM t
+), r AS (
+  SELECT h.c, list_concat(coalesce(d.turns[1:h.h], []), h.turns[h.h + 1:]) AS p FROM h LEFT JOIN t d ON d.c = h.c - h.c % 100
+), m AS (
+  SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM r
+), k AS (
+  SELECT c, d, p[1:d] AS k, CASE WHEN len(p) = d THEN c END AS ended, CASE WHEN d > 0 THEN length(p[d].x) ELSE 0 END AS chars FROM m
+), n AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+    sha256(coalesce(string_agg(CAST(ended AS VARCHAR), ',' ORDER BY c), '')) AS ends_sha256 FROM k GROUP BY k, d
+), kids AS (
+  SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), o AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k, d)
+), a AS (
+  SELECT k[1:g] AS k, g AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS g FROM o) GROUP BY ALL
+)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN a USING (k, d) LEFT JOIN n u ON u.d = o.d - 1 AND u.k = o.k[1:o.d - 1]
+"""
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
 
@@ -126,6 +164,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_packing": (op9_packing, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_licenses": (op12_licenses, licenses.scan_sql()),
     "op13_resampling": (op13_resampling, None),
 }
