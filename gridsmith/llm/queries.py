@@ -153,6 +153,43 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP13_SQL = f"""
+WITH w AS (
+  SELECT 0 AS aim, row_number() OVER () AS id, doc_id, {_WORDS_SQL} AS w FROM documents
+  UNION ALL SELECT 1, -row_number() OVER (), NULL, {_WORDS_SQL} FROM benchmark
+), f AS (
+  SELECT aim, id, unnest(list_concat(
+    w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  )) AS g FROM w
+), crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY n) AS steps FROM range(256) r(n)
+), x AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)
+), b AS (
+  SELECT g, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])
+  )) % 10000 AS bucket FROM x, crc
+), c AS (
+  SELECT bucket, count(*) FILTER (WHERE aim = 0) AS s, count(*) FILTER (WHERE aim = 1) AS t FROM f JOIN b USING (g) GROUP BY bucket
+), size AS (
+  SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM c
+), gain AS (
+  SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (size.s + 10000) / ((c.s + 1)::DOUBLE * (size.t + 10000)))) AS gain FROM c, size
+), weight AS (
+  SELECT id, count(*) AS n_features, sum(gain) AS weight FROM f JOIN b USING (g) JOIN gain USING (bucket) WHERE aim = 0 GROUP BY id
+), e AS (
+  SELECT w.id, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || sha256('42:' || doc_id)[1:8] AS BIGINT) AS h FROM w LEFT JOIN weight USING (id) WHERE aim = 0
+), scored AS (
+  SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM e
+), drawn AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM scored WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * fit // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (id)
+"""
+
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_lm_scoring": (op2_lm_scoring, None),
@@ -166,5 +203,5 @@ QUERIES = {
     "op10_simhash": (op10_simhash, None),
     "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_licenses": (op12_licenses, licenses.scan_sql()),
-    "op13_resampling": (op13_resampling, None),
+    "op13_resampling": (op13_resampling, OP13_SQL),
 }
