@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,37 @@ _STEPS = ["decision_tree", "random_forest", "gradient_boosting", "adaboost"]
 QUERIES["rule_step_regression"] = (_predicts(_sides, _STEPS, {"numeric": ["mark"]}, "regression", "sign"), _each(_STEPS, "(c_custkey % 2) * 2 - 1"))
 
 
+def _round_one(s, d):
+    """Class probabilities after one boosting round at rate 1/2, whose trees cut each class off from the others."""
+    data = _thirds(s, d)
+    model = T.fit_model(data, "c_custkey", PLACES, "classification", "gradient_boosting", {"n_estimators": 1, "learning_rate": 0.5, "max_depth": 3})
+    folder = scratch_folder(s)
+    model.write().overwrite().save(folder)
+    opened = PipelineModel.load(folder).transform(data).select("c_custkey", vector_to_array("probability").alias("p"))
+    return opened.select("c_custkey", F.posexplode("p").alias("place", "chance")).select("c_custkey", "place", F.round("chance", 9).alias("chance"))
+
+
+# One Newton step from the class shares q: its own leaf has the value 2/3 / q, the other leaf -2/3 / (1 - q).
+QUERIES["rule_boosted_probabilities"] = (
+    _round_one,
+    """WITH q AS (SELECT c_custkey % 3 AS k, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM customer) AS q FROM customer GROUP BY 1),
+  e AS (SELECT c_custkey, k, exp(ln(q) + 0.5 * 2 / 3 * CASE WHEN c_custkey % 3 = k THEN 1 / q ELSE -1 / (1 - q) END) AS e FROM customer, q)
+  SELECT c_custkey, CAST(k AS INT) AS place, round(e / sum(e) OVER (PARTITION BY c_custkey), 9) AS chance FROM e""",
+)
+
+
+def _boosted_runs(s, d):
+    """Boosting over three classes in a batch: its runs hold an AUC of the probabilities."""
+    runs, _ = T.train_models(_thirds(s, d).drop("label"), "c_custkey", PLACES, "tens", "classification", ["gradient_boosting"], {"gradient_boosting": {"n_estimators": 2}})
+    return runs.select("model_name", "status", F.col("metrics")["accuracy"].alias("accuracy"), F.col("metrics")["roc_auc"].alias("roc_auc"))
+
+
+QUERIES["rule_boosted_auc"] = (
+    _boosted_runs,
+    "SELECT DISTINCT 'gradient_boosting' AS model_name, 'FINISHED' AS status, CAST(1 AS DOUBLE) AS accuracy, CAST(count(DISTINCT c_custkey % 3) / 3 AS DOUBLE) AS roc_auc FROM customer",
+)
+
+
 def _decoded(s, d):
     """Text classes go in and come out, after saving and loading too."""
     data = _sides(s, d).drop("label")

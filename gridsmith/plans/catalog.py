@@ -25,6 +25,7 @@ from pyspark.ml.regression import (
 
 from gridsmith.operators.boosting import AdaBoostClassifier, AdaBoostRegressor
 from gridsmith.operators.discriminant import LinearDiscriminant
+from gridsmith.operators.softmax import SoftmaxBoosting
 
 SEED = 42
 MAX_DEPTH = 30
@@ -151,8 +152,13 @@ def build(task: str, name: str, params: dict | None = None, rows: int = 1, class
         if name == "random_forest":
             return RandomForestClassifier(numTrees=p.get("n_estimators", 100), **_tree_settings(p))
         if name in ("gradient_boosting", "xgboost", "lightgbm"):
-            boosted = GBTClassifier(**_boost_settings(p))
-            return boosted if classes <= 2 else OneVsRest(classifier=boosted)
+            if classes <= 2:
+                return GBTClassifier(**_boost_settings(p))
+            b = _boost_settings(p)
+            return SoftmaxBoosting(
+                rounds=b["maxIter"], learningRate=b["stepSize"], maxDepth=b["maxDepth"], subsample=b["subsamplingRate"], seed=b["seed"],
+                patience=p.get("n_iter_no_change") or 0, validation=p.get("validation_fraction", 0.1), tolerance=p.get("tol", 1e-4),
+            )
         if name == "svm":
             machine = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), standardization=False, maxIter=p.get("max_iter", 100))
             return machine if classes <= 2 else OneVsRest(classifier=machine)
