@@ -216,7 +216,7 @@ QUERIES["cluster_search"] = (_cluster_search, None)
 
 
 def _fit(name, params=None):
-    return lambda train: T.fit_model(train, "c_custkey", CUSTOMER, "classification", name, params)
+    return T.Recipe("c_custkey", CUSTOMER, "classification", name, params)
 
 
 def _whole(s, d, target):

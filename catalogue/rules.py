@@ -127,12 +127,11 @@ QUERIES["rule_decoded_classes"] = (
 )
 
 
-def _fit(train):
-    return T.fit_model(train, "c_custkey", ROLES, "classification", "decision_tree", {"max_depth": 3})
+_TREE = T.Recipe("c_custkey", ROLES, "classification", "decision_tree", {"max_depth": 3})
 
 
 QUERIES["rule_cross_validation"] = (
-    lambda s, d: T.cross_validate(_sides(s, d), "c_custkey", _fit, "classification", 3),
+    lambda s, d: T.cross_validate(_sides(s, d), "c_custkey", _TREE, "classification", 3),
     "SELECT CAST(i AS INT) AS fold, CAST(1 AS DOUBLE) AS score FROM range(3) t(i)",
 )
 QUERIES["rule_grid_search"] = (
@@ -140,7 +139,7 @@ QUERIES["rule_grid_search"] = (
     "SELECT CAST(i AS INT) AS candidate, CAST(1 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS std FROM range(2) t(i)",
 )
 QUERIES["rule_learning_curve"] = (
-    lambda s, d: T.learning_curve(_sides(s, d), "c_custkey", _fit, "classification", [0.5, 1.0], 2).withColumn("train_rows", F.when(F.col("share") == 1.0, F.col("train_rows"))),
+    lambda s, d: T.learning_curve(_sides(s, d), "c_custkey", _TREE, "classification", [0.5, 1.0], 2).withColumn("train_rows", F.when(F.col("share") == 1.0, F.col("train_rows"))),
     """SELECT CAST(0.5 AS DOUBLE) AS share, CAST(NULL AS DOUBLE) AS train_rows, CAST(1 AS DOUBLE) AS train_mean, CAST(0 AS DOUBLE) AS train_std, CAST(1 AS DOUBLE) AS test_mean, CAST(0 AS DOUBLE) AS test_std
     UNION ALL SELECT 1.0, count(*) / 2, 1, 0, 1, 0 FROM customer""",
 )
@@ -166,7 +165,7 @@ QUERIES["rule_train_models"] = (
 
 def _importance(s, d):
     data = _sides(s, d)
-    model = _fit(data)
+    model = _TREE(data)
     return rounded(T.feature_importance(model, model.stages[0].transform(data)), 6)
 
 

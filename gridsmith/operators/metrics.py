@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions.scalars import absolute_error, as_column, missing_to_null, residual
 from gridsmith.operators.cumulate import exact_quantiles, running_totals
+from gridsmith.session import cut_lineage
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -87,7 +88,11 @@ def _per_class(counts: DataFrame) -> DataFrame:
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1; one row."""
-    per_class = _per_class(confusion_counts(df, label, prediction))
+    return _weighted_metrics(confusion_counts(df, label, prediction))
+
+
+def _weighted_metrics(counts: DataFrame) -> DataFrame:
+    per_class = _per_class(counts)
     total = F.sum("support")
     return per_class.agg(
         _share(F.sum("hit"), total).alias("accuracy"),
@@ -225,17 +230,33 @@ def prediction_range(df: DataFrame, label: str = "label", prediction: str = "pre
 
 
 def evaluate(
-    df: DataFrame, task: str, label: str = "label", prediction: str = "prediction", scores: dict | None = None
+    df: DataFrame, task: str, label: str = "label", prediction: str = "prediction", scores: dict | None = None, details: bool = False, classes: list[str] | None = None
 ) -> DataFrame:
-    """The metrics of a prediction table in long form: ``metric, value``."""
+    """The metrics of a prediction table in long form: ``metric, value``.
+
+    ``details`` adds the error statistics of a regression, or for each class its
+    report (``class.<name>.precision`` and so on) and the cells of the confusion
+    matrix that occur; ``classes`` are the names of the codes.
+    """
     if task == "regression":
-        wide = regression_metrics(df, label, prediction)
-    else:
-        wide = classification_metrics(df, label, prediction)
-    long = _long(wide)
-    if task == "classification" and scores:
+        long = _long(regression_metrics(df, label, prediction))
+        return long.unionByName(_long(error_statistics(df, label, prediction))) if details else long
+    counts = confusion_counts(df, label, prediction)
+    if details:
+        # A label set squared at most, told by one scan and read several times.
+        counts = cut_lineage(counts)
+    long = _long(_weighted_metrics(counts))
+    if scores:
         long = long.unionByName(_long(roc_auc(score_counts_by_class(df, label, scores))))
-    return long
+    if not details:
+        return long
+    names = F.array(*[F.lit(c) for c in classes]) if classes else None
+    named = (lambda c: F.get(names, c.cast("int"))) if classes else (lambda c: c.cast("string"))
+    cells = counts.select(F.concat_ws(".", F.lit("confusion"), named(F.col("label")), named(F.col("prediction"))).alias("metric"), F.col("n").cast("double").alias("value"))
+    report = _per_class(counts.select(named(F.col("label")).alias("label"), named(F.col("prediction")).alias("prediction"), "n"))
+    measures = ["precision", "recall", "f1_score", "support"]
+    rows = report.select("class", *[F.col(c).cast("double") for c in measures]).unpivot(["class"], measures, "measure", "value")
+    return long.unionByName(cells).unionByName(rows.select(F.concat_ws(".", F.lit("class"), "class", "measure").alias("metric"), "value"))
 
 
 def _long(wide: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from gridsmith.session import cut_lineage
 SEED = 42
 # Leading hex digits that place a row in one of 65 536 equally likely buckets.
 BUCKET_DIGITS = 4
+# A sample's hashes up to this many are put in order by one task; larger samples are cut by bucket counts.
+ONE_TASK = 1_000_000
 # More strata than this and their thresholds are joined from a table, not broadcast.
 BROADCAST_STRATA = 100_000
 
@@ -52,7 +54,7 @@ def sample_rows(
     h = hash_order(keys, seed)
     # The wanted hashes lie below their expected share plus eight deviations; few others do.
     share = (target + 8 * target**0.5 + 50) / rows
-    if share < 1:
+    if share < 1 and target <= ONE_TASK:
         low = F.lit(f"{int(share * 16**8):08x}")
         picked = df.select(h.alias("h")).filter(F.substring("h", 1, 8) <= low)
         last = picked.orderBy("h").limit(target).agg(F.count(F.lit(1)), F.max("h")).first()
@@ -140,7 +142,7 @@ def hash_segments(
         limits = cut_lineage(limits)
     joined = df.join(limits, stratum.eqNullSafe(F.col("_s")), "left")
     beyond = [F.when(h <= F.col(f"_t{i}"), 0).otherwise(1) for i in range(len(cuts))]
-    return joined.withColumn("segment", _total(beyond)).select(*df.columns, "segment")
+    return joined.withColumn("segment", _total(beyond)).select(*[as_column(c) for c in df.columns], "segment")
 
 
 def _total(parts: list[Column]) -> Column:

@@ -328,7 +328,6 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         work = copies.transform(df)
         of_role = lambda role: [w for w, r, _, _ in copies.copies() if r == role]
         numeric, categories, texts = of_role("numeric"), of_role("categorical"), of_role("text_or_high_cardinality")
-        named = {w: n for w, _, n, _ in copies.copies()}
         if not numeric + categories + texts:
             raise ValueError("no feature columns to prepare")
         by_neighbors = config["numeric_imputation"] == "knn" and numeric
@@ -347,39 +346,20 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             ))
             work = stages[-1].transform(work)
             numeric = [c for c in numeric if c in means]
-        stages.append(ImputationModel(fills))
-        work = stages[-1].transform(work)
+        work = ImputationModel(fills).transform(work)
         if not by_neighbors:
             numeric = [c for c in numeric if c in fills]
+        scaling = None
         if numeric and config["scale_features"] and config["scaling_method"]:
-            values = P.scaling_values(work, numeric, config["scaling_method"])
-            stages.append(ScalingModel({c: list(v) for c, v in values.items()}))
-        hot = [] if config["encoding_method"] == "ordinal" else categories
-        ordinal = hot + [c for c in categories + texts if c not in hot]
-        inputs, names = list(numeric), [named[c] for c in numeric]
-        if ordinal:
-            levels = few_levels(work, ordinal)
-            many = {c: cut_lineage(code_table(work, c)) for c in ordinal if c not in levels}
-            stages.append(OrdinalModel({"levels": {c: levels[c] for c in ordinal if c in levels}, "tables": list(many)}, many))
-            first = 1 if config["drop_first"] else 0
-            sizes = {c: (len(levels[c]) if c in levels else many[c].count()) - first for c in hot}
-            sizes = {c: n for c, n in sizes.items() if n > 0}  # a single level tells nothing
-            if sizes:
-                stages.append(OneHotPlaces({"sizes": sizes, "drop_first": bool(first)}))
-                vectors = {c: f"_vec_{c}" for c in sizes}
-                widest = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in sizes.values())], [*sizes])
-                # Sparse at any number of levels; the place behind the last is the one left out.
-                stages.append(OneHotEncoder(inputCols=[*sizes], outputCols=[*vectors.values()], handleInvalid="keep").fit(widest))
-                for c, n in sizes.items():
-                    inputs.append(vectors[c])
-                    names += [f"{named[c]}_{v}" for v in (levels[c][first:] if c in levels else range(first, n + first))]
-            inputs += [c for c in ordinal if c not in hot]
-            names += [named[c] for c in ordinal if c not in hot]
+            scaling = {c: list(v) for c, v in P.scaling_values(work, numeric, config["scaling_method"]).items()}
+        levels, many = {}, {}
+        if categories + texts:
+            levels = few_levels(work, categories + texts)
+            many = {c: cut_lineage(code_table(work, c)) for c in categories + texts if c not in levels}
         components = config["pca_components"]
         assembled = "_vec_raw" if components else out
-        stages.append(VectorAssembler(inputCols=inputs, outputCol=assembled, handleInvalid="error"))
-        if len(names) <= NAMED_FEATURES:
-            stages.append(FeatureNames([assembled, names]))
+        more, _ = vector_stages(df.sparkSession, copies, fills, numeric, scaling, categories, texts, levels, many, config, assembled)
+        stages += more
         if components:
             prepared = PipelineModel(stages).transform(df)
             stages += pca_stages(prepared, assembled, out, components)
@@ -387,6 +367,41 @@ class Preprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return PipelineModel(stages)
 
 
+def vector_stages(spark, copies: FeatureCopies, fills: dict, numeric: list, scaling: dict | None, categories: list, texts: list, levels: dict, many: dict, config: dict, out: str) -> tuple[list, list[str]]:
+    """Stages from the working copies to the vector, and the features' names; all fitted values are given.
+
+    ``levels`` are the sorted values of columns with few of them, ``many`` the
+    code tables of the others.
+    """
+    named = {w: n for w, _, n, _ in copies.copies()}
+    stages: list = [ImputationModel(fills)]
+    if scaling is not None:
+        stages.append(ScalingModel(scaling))
+    hot = [] if config["encoding_method"] == "ordinal" else categories
+    ordinal = hot + [c for c in categories + texts if c not in hot]
+    inputs, names = list(numeric), [named[c] for c in numeric]
+    if ordinal:
+        stages.append(OrdinalModel({"levels": {c: levels[c] for c in ordinal if c in levels}, "tables": list(many)}, many))
+        first = 1 if config["drop_first"] else 0
+        sizes = {c: (len(levels[c]) if c in levels else many[c].count()) - first for c in hot}
+        sizes = {c: n for c, n in sizes.items() if n > 0}  # a single level tells nothing
+        if sizes:
+            stages.append(OneHotPlaces({"sizes": sizes, "drop_first": bool(first)}))
+            vectors = {c: f"_vec_{c}" for c in sizes}
+            widest = spark.createDataFrame([tuple(float(n - 1) for n in sizes.values())], [*sizes])
+            # Sparse at any number of levels; the place behind the last is the one left out.
+            stages.append(OneHotEncoder(inputCols=[*sizes], outputCols=[*vectors.values()], handleInvalid="keep").fit(widest))
+            for c, n in sizes.items():
+                inputs.append(vectors[c])
+                names += [f"{named[c]}_{v}" for v in (levels[c][first:] if c in levels else range(first, n + first))]
+        inputs += [c for c in ordinal if c not in hot]
+        names += [named[c] for c in ordinal if c not in hot]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error"))
+    if len(names) <= NAMED_FEATURES:
+        stages.append(FeatureNames([out, names]))
+    return stages, names
+
+
 def pca_stages(df: DataFrame, features: str, out: str, components: int | float) -> list:
     """Centre, then project; a share below 1 keeps the fewest components that explain it."""
     centre = StandardScaler(inputCol=features, outputCol="_vec_centred", withMean=True, withStd=False).fit(df)
