@@ -126,6 +126,27 @@ QUERIES["mixed_association"] = (
         table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], ["l_returnflag", "l_linestatus"]), 6),
     _mixed_sql(),
 )
+_MANY = [f"k{i}" for i in range(1, 11)]
+
+
+def _many(s, d):
+    """Ten categories derived from one table, the even ones with gaps, and two numbers."""
+    key = F.col("p_partkey")
+    levels = [F.when((F.lit(i % 2) == 1) | (key % (i + 2) > 0), F.concat(F.lit("v"), ((key * i + F.col("p_size")) % (i + 1)).cast("string"))).alias(c) for i, c in enumerate(_MANY, 1)]
+    return table(s, d, "part").select("p_retailprice", F.col("p_size").cast("double").alias("size"), *levels)
+
+
+def _many_sql() -> str:
+    levels = ", ".join(f"CASE WHEN {i % 2} = 1 OR p_partkey % {i + 2} > 0 THEN 'v' || ((p_partkey * {i} + p_size) % {i + 1}) END AS {c}" for i, c in enumerate(_MANY, 1))
+    source = f"(SELECT p_retailprice, CAST(p_size AS DOUBLE) AS size, {levels} FROM part)"
+    parts = [f"SELECT 'p_retailprice' AS a, 'size' AS b, round(corr(p_retailprice, size), 6) AS r FROM {source}"]
+    parts += [anova_score_sql(a, b, source, "r") for a in ("p_retailprice", "size") for b in _MANY]
+    parts += [cramer_sql(a, b, f"(SELECT * FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)") for i, a in enumerate(_MANY) for b in _MANY[i + 1:]]
+    ones = union_sql([f"SELECT '{c}' AS a, '{c}' AS b, CAST(1 AS DOUBLE) AS r" for c in ["p_retailprice", "size", *_MANY]])
+    return f"WITH h AS ({union_sql(parts)}) SELECT a, b, r FROM h UNION ALL SELECT b AS a, a AS b, r FROM h UNION ALL {ones}"
+
+
+QUERIES["mixed_association_many"] = (lambda s, d: rounded(B.mixed_association(_many(s, d), ["p_retailprice", "size"], _MANY), 6), _many_sql())
 QUERIES["trend_line"] = (
     lambda s, d: rounded(B.trend_line(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"), 4),
     """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,

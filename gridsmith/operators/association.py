@@ -18,6 +18,7 @@ from gridsmith.operators.counting import (
     least_missing,
 )
 from gridsmith.operators.profile import box_by_category
+from gridsmith.session import cut_lineage
 
 # The limits of the usual views, for callers who want them.
 VIEW_CATEGORIES = 100
@@ -180,48 +181,59 @@ def cramers_v(df: DataFrame, a: str, b: str, limit: int | None = None) -> DataFr
     """
     if limit is not None and a != b and any(n is None for n in distinct_within(df, [a, b], limit).values()):
         return _score_row(df, a, b, None)
-    cells = contingency(df, a, b).withColumn("n", F.col("n").cast("double"))
-    rows = cells.groupBy("a").agg(F.sum("n").alias("row"))
-    cols = cells.groupBy("b").agg(F.sum("n").alias("col"))
-    told = cells.join(rows, "a").join(cols, "b")
-    stats = told.agg(
-        F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col"))).alias("s"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
-    )
+    return _cramers(_contingency_pairs(df, [a, b]), [a, b])
+
+
+def cramers_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, b, score`` of every pair of the columns, in their order, from one scan."""
+    return _cramers(_contingency_pairs(df, columns), columns)
+
+
+def _contingency_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``i, j, a, b, n``: how often two values of columns i < j stand in one row; only combinations that occur."""
+    values = F.array(*[as_column(c).cast("string") for c in columns])
+    first = df.select(values.alias("vs")).select("vs", F.posexplode("vs").alias("i", "a")).filter(F.col("a").isNotNull())
+    behind = F.slice("vs", F.col("i") + 2, F.lit(len(columns)))
+    both = first.select("i", "a", F.posexplode(behind).alias("k", "b")).filter(F.col("b").isNotNull())
+    return both.groupBy("i", (F.col("i") + 1 + F.col("k")).alias("j"), "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def _cramers(cells: DataFrame, columns: list[str]) -> DataFrame:
+    # Written once, as it is summed along both sides and joined to the sums.
+    cells = cut_lineage(cells)
+    rows = cells.groupBy("i", "j", "a").agg(F.sum("n").alias("row"))
+    cols = cells.groupBy("i", "j", "b").agg(F.sum("n").alias("col"))
+    told = cells.join(rows, ["i", "j", "a"]).join(cols, ["i", "j", "b"])
+    share = told.groupBy("i", "j").agg(F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("col"))).alias("s"))
+    sizes = rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("r")).join(cols.groupBy("i", "j").agg(F.count(F.lit(1)).alias("c")), ["i", "j"])
     small = F.least("r", "c") - 1
     # chi2 / n is the sum over cells of n^2 / (row * col), minus one.
     score = F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / F.nullif(small, F.lit(0)))
-    return stats.select(
-        F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(score, F.lit(0.0)).alias("score")
+    scored = share.join(sizes, ["i", "j"]).select("i", "j", score.alias("score"))
+    names, last = _strings(columns), len(columns) - 1
+    first = cells.sparkSession.range(last).select(F.col("id").cast("int").alias("i"))
+    pairs = first.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(last))).alias("j"))
+    return pairs.join(scored, ["i", "j"], "left").select(
+        F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), F.coalesce("score", F.lit(0.0)).alias("score")
     )
 
 
-def _anova(df: DataFrame, values: list[str], category: str, smallest_group: int) -> DataFrame:
-    """``value, groups, n, f`` per numeric column against one category, in one scan."""
-    kept = df.filter(as_column(category).isNotNull())
+def _anova(df: DataFrame, values: list[str], categories: list[str], smallest_group: int) -> DataFrame:
+    """``category, value, groups, n, f`` of every numeric column against every category, in one scan."""
+    numbers = [as_column(v).cast("double").alias(f"x{i}") for i, v in enumerate(values)]
+    levels = F.posexplode(F.array(*[as_column(c).cast("string") for c in categories])).alias("_c", "_g")
     aggs = []
-    for i, v in enumerate(values):
-        x = as_column(v).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    per_group = kept.groupBy(as_column(category).alias("_g")).agg(*aggs)
-    long = per_group.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(v).alias("value"),
-                        F.col(f"n{i}").alias("n"),
-                        F.col(f"m{i}").alias("m"),
-                        F.col(f"v{i}").alias("v"),
-                    )
-                    for i, v in enumerate(values)
-                ]
-            )
-        )
-    ).filter(F.col("n") >= smallest_group)
-    means = long.groupBy("value").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    for i in range(len(values)):
+        aggs += [F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.var_pop(f"x{i}").alias(f"v{i}")]
+    per_group = df.select(levels, *numbers).filter(F.col("_g").isNotNull()).groupBy("_c", "_g").agg(*aggs)
+    stacked = F.array(*[
+        F.struct(F.lit(i).alias("_v"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i in range(len(values))
+    ])
+    long = per_group.select("_c", F.inline(stacked)).filter(F.col("n") >= smallest_group)
+    means = long.groupBy("_c", "_v").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     sums = (
-        long.join(F.broadcast(means), "value")  # one row per value column
-        .groupBy("value")
+        long.join(F.broadcast(means), ["_c", "_v"])  # one row per category and value column
+        .groupBy("_c", "_v")
         .agg(
             F.count(F.lit(1)).alias("groups"),
             F.sum("n").alias("n"),
@@ -234,7 +246,8 @@ def _anova(df: DataFrame, values: list[str], category: str, smallest_group: int)
     f = F.when(
         (F.col("groups") > 1) & (F.col("n") > F.col("groups")) & (F.col("within") > 0), between / within
     )
-    return sums.select("value", "groups", "n", f.alias("f"))
+    named = lambda names, c: F.element_at(_strings(names), F.col(c) + 1)
+    return sums.select(named(categories, "_c").alias("category"), named(values, "_v").alias("value"), "groups", "n", f.alias("f"))
 
 
 def anova_scores(df: DataFrame, values: list[str], category: str, limit: int | None = None) -> DataFrame:
@@ -243,22 +256,25 @@ def anova_scores(df: DataFrame, values: list[str], category: str, limit: int | N
     With ``limit``, a category of more values is not scored and gives NULL.
     """
     df = missing_to_null(df)
-    names = F.array(*[F.lit(v) for v in values])
-    base = df.sparkSession.range(1).select(F.explode(names).alias("value"))
     if limit is not None and distinct_within(df, [category], limit)[category] is None:
-        return base.select(F.col("value").alias("a"), F.lit(category).alias("b"), F.lit(None).cast("double").alias("score"))
-    scored = base.join(_anova(df, values, category, 2), "value", "left")
+        base = df.sparkSession.range(1).select(F.explode(_strings(values)).alias("a"))
+        return base.select("a", F.lit(category).alias("b"), F.lit(None).cast("double").alias("score"))
+    return anova_matrix(df, values, [category])
+
+
+def anova_matrix(df: DataFrame, values: list[str], categories: list[str]) -> DataFrame:
+    """``a, b, score`` with F/(F+1) of every numeric column and category, from one scan; 0 where undefined."""
+    base = df.sparkSession.range(1).select(F.explode(_strings(values)).alias("value")).select("value", F.explode(_strings(categories)).alias("category"))
+    scored = base.join(_anova(missing_to_null(df), values, categories, 2), ["value", "category"], "left")
     return scored.select(
-        F.col("value").alias("a"),
-        F.lit(category).alias("b"),
-        F.coalesce(F.col("f") / (F.col("f") + 1), F.lit(0.0)).alias("score"),
+        F.col("value").alias("a"), F.col("category").alias("b"), F.coalesce(F.col("f") / (F.col("f") + 1), F.lit(0.0)).alias("score")
     )
 
 
 def mixed_association(
     df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None
 ) -> DataFrame:
-    """Association of every ordered pair: Pearson, F/(F+1) or Cramér's V by kind."""
+    """Association of every ordered pair: Pearson, F/(F+1) or Cramér's V by kind, with one scan for each kind."""
     df = missing_to_null(df)
     numeric = numeric if numeric is not None else numeric_columns(df)
     categorical = categorical if categorical is not None else other_columns(df)
@@ -266,11 +282,10 @@ def mixed_association(
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
     if pairs:
         parts.append(_pair_rows(df, pairs).select("a", "b", F.coalesce("r", F.lit(0.0)).alias("r")))
-    for i, b in enumerate(categorical):
-        if numeric:
-            parts.append(anova_scores(df, numeric, b).withColumnRenamed("score", "r"))
-        for other in categorical[i + 1 :]:
-            parts.append(cramers_v(df, b, other).withColumnRenamed("score", "r"))
+    if numeric and categorical:
+        parts.append(anova_matrix(df, numeric, categorical).withColumnRenamed("score", "r"))
+    if len(categorical) > 1:
+        parts.append(cramers_matrix(df, categorical).withColumnRenamed("score", "r"))
     ones = df.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(c) for c in numeric + categorical])).alias("a")
     )
@@ -335,11 +350,11 @@ def correlation_with_codes(df: DataFrame, target: str, features: list[str]) -> D
 def anova_test(df: DataFrame, target: str, categories: list[str]) -> DataFrame:
     """``feature, groups, n, f, p`` of a numeric target across each category column."""
     df = missing_to_null(df)
-    rows = []
-    for c in categories:
-        # One row comes back per category column.
-        for r in _anova(df, [target], c, 1).collect():
-            rows.append((c, r["groups"], r["n"], r["f"], f_tail(r["f"], r["groups"] - 1, r["n"] - r["groups"])))
+    found = _anova(df, [target], categories, 1).collect() if categories else []  # one row per category column
+    order = {c: i for i, c in enumerate(categories)}
+    rows = [
+        (r["category"], r["groups"], r["n"], r["f"], f_tail(r["f"], r["groups"] - 1, r["n"] - r["groups"])) for r in sorted(found, key=lambda r: order[r["category"]])
+    ]
     schema = "feature string, groups bigint, n bigint, f double, p double"
     return df.sparkSession.createDataFrame(rows, schema)
 

@@ -191,3 +191,30 @@ def test_constant_columns_have_no_correlation(spark, monkeypatch, few_pairs):
     assert got["a", "b"] is None and got["a", "c"] is None and got["a", "d"] > 0.9
     line = association.trend_line(df, "b", "a").first()
     assert line["slope"] is None
+
+
+def test_categories_add_no_jobs_to_an_association(spark):
+    import time
+    import uuid
+
+    from gridsmith.operators import association
+
+    names = [f"c{i}" for i in range(30)]
+    df = spark.range(500).select("id", *[(F.col("id") * (i + 3) % (i + 2)).cast("string").alias(c) for i, c in enumerate(names)])
+
+    def jobs(columns):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, group)
+        start = time.time()
+        planned = association.mixed_association(df, ["id"], columns)
+        planned._jdf.queryExecution().executedPlan()
+        took = time.time() - start
+        planned.count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), took, planned
+
+    few, _, _ = jobs(names[:2])
+    many, _, _ = jobs(names)
+    again, took, planned = jobs(names)
+    assert many <= few + 4 and again <= few + 4
+    assert took < 10 and planned.count() == 31 * 31

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -58,7 +60,7 @@ def test_numbers_merge():
 
 
 def jobs(spark, work):
-    group = f"count-{id(work)}"
+    group = uuid.uuid4().hex
     spark.sparkContext.setJobGroup(group, group)
     work()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
