@@ -207,6 +207,26 @@ QUERIES["dbscan_noise"] = (
 QUERIES["dbscan_manhattan"] = (lambda s, d: DB.dbscan(_points(s, d), "p_partkey", ["x", "z"], 0.05, 3, "manhattan"), None)
 
 
+def _sixteen(s, d):
+    """The first sixteen coordinates of the embeddings."""
+    return table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("x"))
+
+
+def _wide_noise(eps, least, metric):
+    return lambda s, d: DB.dbscan(_sixteen(s, d), "vec_id", "x", eps, least, metric).select("vec_id", (F.col("cluster") == -1).alias("noise"))
+
+
+def _wide_noise_sql(gap: str, reach: str, least: int) -> str:
+    # Equal points are copies of one another, so each pair of rows counts.
+    return f"""WITH p AS (SELECT vec_id AS k, CAST(embedding[1:16] AS DOUBLE[]) AS x FROM embeddings),
+  e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON {gap} <= {reach}), c AS (SELECT a FROM e GROUP BY a HAVING count(*) >= {least})
+  SELECT k AS vec_id, NOT EXISTS (SELECT 1 FROM e JOIN c ON e.b = c.a WHERE e.a = k) AS noise FROM p"""
+
+
+QUERIES["dbscan_wide_noise"] = (_wide_noise(0.42, 5, "euclidean"), _wide_noise_sql("list_distance(a.x, b.x)", "0.42", 5))
+QUERIES["dbscan_cosine_noise"] = (_wide_noise(0.42, 5, "cosine"), _wide_noise_sql("1 - list_cosine_similarity(a.x, b.x)", "0.42", 5))
+
+
 def _cluster_search(s, d):
     _, scores = T.cluster_search(_vectors(s, d), "p_partkey", "features", "kmeans", [{"n_clusters": k} for k in (2, 3, 4)])
     return scores

@@ -1,4 +1,4 @@
-"""DBSCAN on a grid, with exact cell links, and on blocks where a grid does not help.
+"""DBSCAN on a grid, with exact cell links, and on a grid of few projected coordinates where there are many.
 
 Equal points are folded into one weighted point. A cell is small enough that
 its points are all within reach of each other, so a crowded cell is core as a
@@ -11,18 +11,22 @@ from __future__ import annotations
 import itertools
 import math
 
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions.scalars import as_column
 from gridsmith.operators.cumulate import running_totals
-from gridsmith.operators.tiles import as_array, block_count, compare_blocks
+from gridsmith.operators.tiles import as_array
 from gridsmith.session import cut_lineage
 
 # More dimensions than this and the neighbouring cells outnumber the points.
 GRID_DIMENSIONS = 4
 # Boxes with at most this many points are compared point by point.
 POINTS_PER_BOX = 1000
+# Coordinates of wider points along which tiles may be cut.
+COORDINATES = 16
 
 
 def dbscan(
@@ -42,7 +46,7 @@ def dbscan(
     if width <= GRID_DIMENSIONS and metric in ("euclidean", "manhattan"):
         labelled = _on_grid(folded, width, eps, min_samples, metric, points_per_box)
     else:
-        labelled = _on_blocks(folded, eps, min_samples, metric)
+        labelled = _on_projections(folded, width, eps, min_samples, metric, 4 * points_per_box)
     # ``x, component`` with NULL for noise; number the components by first core key.
     firsts = labelled.filter("core").groupBy("component").agg(F.min("first").alias("first"))
     ranked = running_totals(
@@ -260,88 +264,197 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
-def _on_blocks(points: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
-    """Any metric and width: block against block, with counts and labels per point coming back."""
-    blocks = block_count(points.count())
+def _placed(points: DataFrame, width: int, metric: str) -> DataFrame:
+    """The points with ``at``: a few coordinates in which no two points are further apart than in all.
 
-    def gaps(a, b):
-        import numpy as np
+    By manhattan distance these are the columns of the largest variance, else
+    principal components. By cosine, unit vectors take the points' place: their
+    squared distance is twice the cosine distance.
+    """
+    most = min(width, COORDINATES)
+    if metric == "manhattan":
+        spread = points.agg(*[F.var_pop(F.col("x")[i]).alias(str(i)) for i in range(width)]).first()
+        chosen = sorted(range(width), key=lambda i: (-(spread[i] or 0.0), i))[:most]
+        return points.withColumn("at", F.array(*[F.col("x")[i] for i in chosen]))
+    if metric == "cosine":
+        size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))
+        points = points.withColumn("_unit", size).withColumn("x", F.transform("x", lambda v: v / F.greatest("_unit", F.lit(1e-300)))).drop("_unit")
+    if len(points.take(2)) < 2:
+        return points.withColumn("at", F.slice("x", 1, most))  # one point has no components
+    vectors = points.withColumn("_v", array_to_vector("x"))
+    axes = PCA(k=most, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors)
+    return axes.withColumn("at", vector_to_array("_p")).drop("_v", "_p")
+
+
+def _split(tiles: DataFrame, k: int, side: float) -> DataFrame:
+    """Every tile cut along coordinate ``k`` into strips of width ``side``.
+
+    Rows at home in a strip visit the strip below, so each two neighbouring
+    strips meet once; visitors of the tile visit up to three strips. Visits to
+    strips in which nobody is at home are dropped.
+    """
+    strip = F.floor(F.col("at")[k] / F.lit(side))
+    here = F.when(F.col("home"), F.array(F.struct(strip.alias("b"), F.lit(True).alias("stays")), F.struct((strip - 1).alias("b"), F.lit(False).alias("stays")))).otherwise(
+        F.transform(F.array(strip - 1, strip, strip + 1), lambda b: F.struct(b.alias("b"), F.lit(False).alias("stays")))
+    )
+    cut = tiles.select(F.explode(here).alias("_to"), "tile", "id", "at").select(
+        F.concat_ws("/", "tile", F.col("_to.b").cast("string")).alias("tile"), "id", "at", F.col("_to.stays").alias("home")
+    )
+    settled = cut.filter("home").select("tile").distinct()
+    return cut.join(settled, "tile", "left_semi")
 
-        x, y = np.stack(a), np.stack(b)
-        if metric == "cosine":
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-            return 1.0 - x @ y.T
-        total = np.zeros((len(x), len(y)))
-        for i in range(x.shape[1]):
-            d = np.abs(x[:, i : i + 1] - y[None, :, i])
-            total += d if metric == "manhattan" else d * d
-        return total if metric == "manhattan" else np.sqrt(total)
-
-    def count(a, b):
-        import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "near": []})
-        return pd.DataFrame({"id": a["id"], "near": (gaps(a["x"], b["x"]) <= eps) @ b["w"].to_numpy()})
+def _tiles(points: DataFrame, width: int, reach: float, per_tile: int) -> DataFrame:
+    """``tile, id, home, own``: rows that have to be compared, in tiles of bounded size.
 
-    slim = points.select("id", "x", "w")
-    near = compare_blocks(slim, slim, "id", blocks, blocks, count, "id string, near bigint")
-    core_ids = near.groupBy("id").agg((F.sum("near") >= min_samples).alias("core"))
-    state = cut_lineage(
-        points.join(core_ids, "id").select("id", "x", "first", "core", F.when(F.col("core"), F.col("id")).alias("component"))
+    All rows are cut along the first two coordinates, and tiles of more than
+    ``per_tile`` rows along further ones. What is crowded in all coordinates is
+    cut into blocks by hash. ``own`` tells whether the tile's home rows are
+    compared with each other too.
+    """
+    most = min(width, COORDINATES)
+    tiles = points.select(F.lit("").alias("tile"), "id", "at", F.lit(True).alias("home"))
+    done = None
+    for k in range(most):
+        tiles = cut_lineage(_split(tiles, k, reach))
+        if k + 1 < min(2, most):
+            continue
+        large = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > per_tile).select("tile")
+        fit = tiles.join(large, "tile", "left_anti").select("tile", "id", "home", F.col("home").alias("own"))
+        done = fit if done is None else done.unionByName(fit)
+        tiles = cut_lineage(tiles.join(large, "tile", "left_semi"))
+        if tiles.isEmpty():
+            return done
+    sizes = tiles.groupBy("tile", "home").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_tile)).alias("blocks"))
+    at_home = sizes.filter("home").select("tile", F.col("blocks").alias("_h"))
+    guests = sizes.filter("not home").select("tile", F.col("blocks").alias("_g"))
+    blocked = tiles.join(sizes, ["tile", "home"]).join(at_home, "tile").join(guests, "tile", "left")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    steps = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    one = F.lit(1).cast("bigint")
+    # Home block i meets itself, the home blocks behind it and all blocks of visitors.
+    meets = lambda mark, i, j, home, own: F.struct(F.concat_ws("#", "tile", F.lit(mark), i.cast("string"), j.cast("string")).alias("tile"), F.lit(home).alias("home"), F.lit(own).alias("own"))
+    as_home = F.concat(
+        F.array(meets("h", block, block, True, True)),
+        F.transform(steps(block + 1, F.col("_h") - one), lambda j: meets("h", block, j, True, False)),
+        F.transform(steps(one - 1, block - 1), lambda i: meets("h", i, block, False, False)),
+        F.transform(steps(one - 1, F.coalesce("_g", F.lit(0).cast("bigint")) - one), lambda j: meets("g", block, j, True, False)),
     )
+    as_guest = F.transform(steps(one - 1, F.col("_h") - one), lambda i: meets("g", i, block, False, False))
+    dealt = blocked.select("id", F.explode(F.when(F.col("home"), as_home).otherwise(as_guest)).alias("_m")).select("_m.tile", "id", "_m.home", "_m.own")
+    return dealt if done is None else done.unionByName(dealt)
+
+
+def _within(a, b, eps: float, metric: str):
+    """Which rows of ``a`` and ``b`` are within reach of each other."""
+    import numpy as np
+
+    if metric == "cosine":  # of unit vectors
+        return 1.0 - a @ b.T <= eps
+    if metric == "manhattan":
+        total = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            total += np.abs(a[:, i : i + 1] - b[None, :, i])
+        return total <= eps
+    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    gap = size - 2 * (a @ b.T)
+    near = gap <= eps * eps
+    # Products round where differences do not; what lies on the edge is worked out from these.
+    i, j = np.nonzero(np.abs(gap - eps * eps) <= 1e-12 * (size + eps * eps) * a.shape[1])
+    for at in range(0, len(i), 100_000):
+        d = a[i[at : at + 100_000]] - b[j[at : at + 100_000]]
+        near[i[at : at + 100_000], j[at : at + 100_000]] = (d * d).sum(axis=1) <= eps * eps
+    return near
+
+
+def _smallest(n: int, i, j):
+    """For each of ``n`` places the smallest one it is linked to, by links ``i, j``."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root != (up := root[root])).any():
+            root = up
 
-    def smallest(a, b):
-        import numpy as np
-        import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "m": []})
-        order = np.argsort(b["component"].to_numpy().astype(str), kind="stable")
-        reach = gaps(a["x"], b["x"].iloc[order]) <= eps
-        hit = reach.any(axis=1)
-        best = b["component"].to_numpy()[order][reach.argmax(axis=1)]
-        return pd.DataFrame({"id": a["id"].to_numpy()[hit], "m": best[hit]})
+def _on_projections(points: DataFrame, width: int, eps: float, min_samples: int, metric: str, per_tile: int) -> DataFrame:
+    """Any width and metric: a grid on few coordinates tells which rows may be near, and tiles of them are compared in full.
 
-    def reached(left: DataFrame, right: DataFrame) -> DataFrame:
-        found = compare_blocks(left, right, "id", blocks, blocks, smallest, "id string, m string")
-        return found.groupBy(F.col("id").alias("_id")).agg(F.min("m").alias("_m"))
+    A tile returns counts for its rows, then a spanning forest of its core points
+    and the core points near each other point, which are fewer than
+    ``min_samples``; never all pairs.
+    """
+    reach = (math.sqrt(2 * eps) if metric == "cosine" else eps) * (1 + 1e-9) + 1e-12
+    placed = cut_lineage(_placed(points, width, metric))
+    tiles = cut_lineage(_tiles(placed.select("id", "at"), width, reach, per_tile))
+    slim = placed.select("id", "x", "w")
 
-    while True:
-        core = state.filter("core").select("id", "x", "component")
-        step = reached(core, core)
-        stepped = cut_lineage(core.join(step, F.col("id") == F.col("_id")).select("id", F.least("component", "_m").alias("new"), "component"))
-        jump = stepped.select(F.col("id").alias("_id"), F.col("new").alias("_m"))
-        moved = cut_lineage(
-            stepped.join(jump, F.col("new") == F.col("_id"), "left").select(
-                F.col("id").alias("_i"), F.least("new", "_m").alias("_n"), "component"
-            )
-        )
-        state = cut_lineage(
-            state.join(moved.select("_i", "_n"), F.col("id") == F.col("_i"), "left").select(
-                "id", "x", "first", "core", F.col("_n").alias("component")
-            )
-        )
-        if moved.filter(F.col("_n") != F.col("component")).isEmpty():
-            break
-    core = state.filter("core").select("id", "x", "component")
+    def sides(part):
+        import numpy as np
 
-    def components(a, b):
+        home, guests = part[part["home"]], part[~part["home"]]
+        a = np.stack(home["x"].to_numpy())
+        return home, guests, a, (np.stack(guests["x"].to_numpy()) if len(guests) else a[:0])
+
+    def count(part):
         import numpy as np
         import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "c": []})
-        reach = gaps(a["x"], b["x"]) <= eps
-        names = b["component"].to_numpy()
-        rows = [(i, c) for i, r in zip(a["id"], reach) for c in np.unique(names[r].astype(str))]
-        return pd.DataFrame(rows, columns=["id", "c"])
+        home, guests, a, b = sides(part)
+        near = np.zeros(len(home), dtype=np.int64)
+        if home["own"].iloc[0]:
+            near += _within(a, a, eps, metric) @ home["w"].to_numpy()
+        back = np.zeros(len(guests), dtype=np.int64)
+        if len(guests):
+            met = _within(a, b, eps, metric)
+            near += met @ guests["w"].to_numpy()
+            back = home["w"].to_numpy() @ met
+        return pd.DataFrame({"id": np.concatenate([home["id"], guests["id"]]), "near": np.concatenate([near, back])})
+
+    met = tiles.join(slim, "id")
+    near = met.groupBy("tile").applyInPandas(count, "id string, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+    core = cut_lineage(near.select("id", (F.col("near") >= min_samples).alias("core")))
+
+    def link(part):
+        import numpy as np
+        import pandas as pd
 
-    loose = state.filter(~F.col("core")).select("id", "x", F.lit(None).cast("string").alias("component"))
-    found = compare_blocks(loose, core, "id", blocks, blocks, components, "id string, c string")
-    reach = found.groupBy("id").agg(F.collect_set("c").alias("reach"))
+        home, guests, a, b = sides(part)
+        ids = np.concatenate([home["id"], guests["id"]])
+        cores = np.concatenate([home["core"], guests["core"]]).astype(bool)
+        found = []
+        if home["own"].iloc[0]:
+            i, j = np.nonzero(np.triu(_within(a, a, eps, metric), 1))
+            found.append((i, j))
+        if len(guests):
+            i, j = np.nonzero(_within(a, b, eps, metric))
+            found.append((i, j + len(home)))
+        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+        both = cores[i] & cores[j]
+        first = _smallest(len(ids), i[both], j[both])
+        ends = np.flatnonzero(first != np.arange(len(ids)))
+        one = cores[i] != cores[j]
+        loose, near_core = np.where(cores[i[one]], j[one], i[one]), np.where(cores[i[one]], i[one], j[one])
+        return pd.DataFrame({
+            "a": np.concatenate([ids[first[ends]], ids[loose]]), "b": np.concatenate([ids[ends], ids[near_core]]),
+            "core": np.concatenate([np.ones(len(ends), dtype=bool), np.zeros(len(loose), dtype=bool)]),
+        })
+
+    told = met.join(core, "id").groupBy("tile").applyInPandas(link, "a string, b string, core boolean")
+    edges = cut_lineage(told.distinct())
+    state = points.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    nodes = state.filter("core").select(F.col("id").alias("node"))
+    named = connected_components(nodes, edges.filter("core").select("a", "b"))
+    components = named.select(F.col("node").alias("_n"), "component")
+    reach_of = (
+        edges.filter("not core").join(components, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_l")).agg(F.collect_set("component").alias("reach"))
+    )
     nothing = F.array().cast("array<string>")
-    return state.join(reach, "id", "left").select(
-        "x", "first", "core", "component", F.coalesce("reach", nothing).alias("reach")
+    return (
+        state.join(components, F.col("id") == F.col("_n"), "left").join(reach_of, F.col("id") == F.col("_l"), "left")
+        .select("x", "first", "core", "component", F.coalesce("reach", nothing).alias("reach"))
     )

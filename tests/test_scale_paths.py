@@ -124,7 +124,8 @@ def brute_dbscan(x, eps, least, metric):
 
 @pytest.mark.parametrize(
     "width,eps,least,metric,per_box",
-    [(2, 0.25, 6, "euclidean", 3), (3, 0.5, 5, "manhattan", 1000), (5, 0.9, 5, "euclidean", 1000), (3, 0.01, 5, "cosine", 1000)],
+    [(2, 0.25, 6, "euclidean", 3), (3, 0.5, 5, "manhattan", 1000), (5, 0.9, 5, "euclidean", 1000), (3, 0.01, 5, "cosine", 1000),
+     (16, 2.4, 5, "euclidean", 1000), (16, 2.4, 5, "euclidean", 4), (6, 3.5, 4, "manhattan", 3), (3, 0.01, 5, "cosine", 2)],
 )
 def test_dbscan_by_brute_force(spark, width, eps, least, metric, per_box):
     rng = np.random.default_rng(0)
@@ -218,3 +219,22 @@ def test_categories_add_no_jobs_to_an_association(spark):
     again, took, planned = jobs(names)
     assert many <= few + 4 and again <= few + 4
     assert took < 10 and planned.count() == 31 * 31
+
+
+def test_wide_points_are_copied_a_bounded_number_of_times(spark):
+    """Groups along a line: each row is compared in the tiles around it, however many rows there are."""
+    rng = np.random.default_rng(2)
+    centres = np.arange(60)[:, None] * 40.0 * np.ones((1, 8))
+    x = np.vstack([c + rng.normal(0, 0.2, size=(50, 8)) for c in centres])
+    points = spark.createDataFrame([(str(i), [float(v) for v in p], 1, i) for i, p in enumerate(x)], "id string, x array<double>, w bigint, first bigint")
+    tiles = density._tiles(density._placed(points, 8, "euclidean").select("id", "at"), 8, 1.5, 200)
+    assert tiles.count() <= 5 * len(x) and tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_odd_wide_points(spark):
+    schema = "id bigint, x array<double>"
+    wide = [0.5] * 9
+    assert {r["cluster"] for r in density.dbscan(spark.createDataFrame([(1, wide), (2, wide)], schema), "id", "x", 0.1, 2).collect()} == {0}
+    assert [r["cluster"] for r in density.dbscan(spark.createDataFrame([(1, wide)], schema), "id", "x", 0.1, 2).collect()] == [-1]
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])], schema)
+    assert {r["id"]: r["cluster"] for r in density.dbscan(zero, "id", "x", 0.2, 2, "cosine").collect()} == {1: -1, 2: 0, 3: 0}
