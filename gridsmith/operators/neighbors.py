@@ -27,6 +27,8 @@ TILE_ROWS = 20_000
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
 MAX_TILES = 200_000
+# Patterns of missing coordinates with an index of their own; rows of rarer ones are filed under the widest that they cover.
+MAX_PATTERNS = 64
 
 NEIGHBOR_SCHEMA = "qid {q}, feature int, tid {t}, distance double, payload array<double>"
 
@@ -68,22 +70,31 @@ def _search(q, t, k: int):
         shared = known.astype(float) @ y_known.T.astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.where(shared > 0, np.sqrt(gap * width / shared), np.inf)
-        for r in range(len(x)):
-            gaps = np.flatnonzero(~known[r])
-            for feature in gaps if len(gaps) else [-1]:
-                row = distance[r] if feature < 0 else np.where(y_known[:, feature], distance[r], np.inf)
-                take = min(k, len(row))
-                edge = np.partition(row, take - 1)[take - 1]
-                # Candidates are in id order, so a stable sort settles ties by id.
-                near = np.flatnonzero(row <= edge)
-                near = near[np.argsort(row[near], kind="stable")][:take]
-                near = near[np.isfinite(row[near])]
-                parts.append((np.repeat(qids[r], len(near)), np.full(len(near), feature), tids[near], row[near], payload[near]))
+        whole = known.all(axis=1)
+        asked = [(-1, np.flatnonzero(whole))] + [(i, np.flatnonzero(~known[:, i])) for i in range(width)]
+        for feature, rows in asked:
+            if len(rows):
+                r, c = _smallest(distance[rows] if feature < 0 else np.where(y_known[:, feature], distance[rows], np.inf), k)
+                parts.append((qids[rows[r]], np.full(len(r), feature), tids[c], distance[rows[r], c], payload[c]))
     if not parts:
         return pd.DataFrame({c: [] for c in columns})
     return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
 
 
+def _smallest(distance, k: int):
+    """Row and column of the ``k`` smallest finite values of every row, in order; of equal values the first columns."""
+    import numpy as np
+
+    take = min(k, distance.shape[1])
+    edge = np.partition(distance, take - 1, axis=1)[:, take - 1 : take]
+    r, c = np.nonzero((distance <= edge) & np.isfinite(distance))
+    order = np.lexsort((c, distance[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, r, side="left")  # where the row's values begin
+    kept = np.arange(len(r)) - first < take
+    return r[kept], c[kept]
+
+
 def nearest(
     queries: DataFrame,
     candidates: DataFrame,
@@ -142,7 +153,71 @@ def _nearest_broadcast(queries, candidates, k, schema):
         for batch in batches:
             yield _search(batch, shared.value, k)
 
-    return queries.mapInPandas(search, schema)
+    # Written, so that nothing needs the broadcast again once it is destroyed.
+    found = cut_lineage(queries.mapInPandas(search, schema))
+    shared.destroy()
+    return found
+
+
+def _known(x) -> F.Column:
+    """Which coordinates a row has, as a text of ones and zeros."""
+    return F.array_join(F.transform(x, lambda v: F.when(F.isnan(v) | v.isNull(), "0").otherwise("1")), "")
+
+
+class _Tiles:
+    """Where candidates lie: tiles of an index pattern, pivot and ring, and how far they can be from a row.
+
+    Rows of a tile are indexed by the coordinates of its pattern, which all of
+    them have. ``exact`` tiles hold rows with those coordinates and no others, so
+    their distances to a row are known up to the triangle's bounds; rows of
+    other tiles may have more, so only the lower bound holds.
+    """
+
+    def __init__(self, centre, patterns, tiles):
+        import numpy as np
+
+        self.centre = centre
+        self.patterns = np.array([[v == "1" for v in p] for p in patterns], dtype=bool).reshape(len(patterns), centre.shape[1])
+        of = lambda i, kind: np.array([t[i] for t in tiles], dtype=kind)
+        self.pattern, self.exact, self.pivot = of(0, int), of(1, bool), of(2, int)
+        self.rows, self.low, self.high = of(3, float), of(4, float), of(5, float)
+
+    def visits(self, x, k: int):
+        """Pairs (row, tile) of which the tile may hold one of the row's ``k`` nearest, for rows ``x`` with the same gaps."""
+        import numpy as np
+
+        known = ~np.isnan(x[0])
+        width = len(known)
+        low, high = np.zeros((len(x), len(self.pattern))), np.full((len(x), len(self.pattern)), np.inf)
+        for number, has in enumerate(self.patterns):
+            mine = np.flatnonzero(self.pattern == number)
+            both = has & known
+            if not len(mine):
+                continue
+            at = np.sqrt(((x[:, None, both] - self.centre[None, :, both]) ** 2).sum(axis=2))[:, self.pivot[mine]]
+            near = np.maximum(at - self.high[mine], 0.0)
+            if both.sum() == has.sum():
+                # The inner side of a ring bounds too, but only where the row has all its coordinates.
+                near = np.maximum(near, self.low[mine] - at)
+            exact = self.exact[mine]
+            # Few shared coordinates are scaled up to the full width; others have no more of them than the row.
+            scale = np.where(exact, np.sqrt(width / max(both.sum(), 1)), np.sqrt(width / max(known.sum(), 1)))
+            low[:, mine] = near * scale
+            if both.any():
+                high[:, mine] = np.where(exact, (at + self.high[mine]) * scale, np.inf)
+            else:
+                low[:, mine[exact]] = np.inf  # nothing shared, no distance
+        wanted = np.zeros(low.shape, dtype=bool)
+        for feature in np.flatnonzero(~known) if not known.all() else [-1]:
+            has = np.ones(len(self.pattern), dtype=bool) if feature < 0 else self.patterns[self.pattern, feature]
+            side = np.where(has, high, np.inf)
+            order = np.argsort(side, axis=1)
+            total = np.cumsum(np.take_along_axis(np.where(np.isfinite(side), self.rows, 0.0), order, axis=1), axis=1)
+            enough = (total < k).sum(axis=1)
+            bound = np.where(enough < side.shape[1], np.take_along_axis(side, np.take_along_axis(order, np.minimum(enough, side.shape[1] - 1)[:, None], axis=1), axis=1)[:, 0], np.inf)
+            fits = low <= bound[:, None] * (1 + 1e-9) + 1e-12
+            wanted |= fits & np.isfinite(low) & (has | ~self.exact)
+        return np.nonzero(wanted)
 
 
 def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
@@ -152,88 +227,80 @@ def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
     spark = queries.sparkSession
     tile_rows = max(tile_rows, math.ceil(n / MAX_TILES))
     pivots = pivots or min(MAX_PIVOTS, max(2, int(math.sqrt(n / tile_rows)) * 4))
-    complete = ~F.exists("x", lambda v: F.isnan(v) | v.isNull())
-    picked = candidates.filter(complete).select("id", "x").orderBy(hash_order(["id"])).limit(pivots).toPandas()
-    centre = np.stack(picked["x"]) if len(picked) else np.zeros((0, 1))
+    # The most frequent patterns of known coordinates have an index of their own.
+    told = candidates.groupBy(_known("x").alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(MAX_PATTERNS).collect()
+    patterns = [r["p"] for r in told]
+    masks = np.array([[v == "1" for v in p] for p in patterns], dtype=bool)
+    width = masks.shape[1]
+    picked = np.stack(candidates.select("id", "x").orderBy(hash_order(["id"])).limit(pivots).toPandas()["x"])
+    # Gaps of a pivot are filled: any place will do.
+    known = ~np.isnan(picked)
+    mean = np.where(known, picked, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+    centre = np.where(known, picked, mean)
+    none = np.zeros(width, dtype=bool)
 
     def place(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = np.stack(batch["x"])
-            whole = ~np.isnan(x).any(axis=1)
-            cell, gap = np.full(len(x), -1), np.zeros(len(x))
-            if len(centre) and whole.any():
-                d = np.stack([np.sqrt(((x[whole] - c) ** 2).sum(axis=1)) for c in centre], axis=1)
-                cell[whole], gap[whole] = d.argmin(axis=1), d.min(axis=1)
-            yield batch.assign(cell=cell, gap=gap)
+            known = ~np.isnan(x)
+            index, exact = np.full(len(x), len(patterns)), np.zeros(len(x), dtype=bool)
+            cell, gap = np.zeros(len(x), dtype=int), np.zeros(len(x))
+            distinct, which = np.unique(known, axis=0, return_inverse=True)
+            for number, has in enumerate(distinct):
+                rows = np.flatnonzero(which.reshape(-1) == number)
+                # Its own index, else the widest whose coordinates the row has, else the one without coordinates.
+                fits = np.flatnonzero(~(masks & ~has).any(axis=1))
+                best = fits[np.argmax(masks[fits].sum(axis=1))] if len(fits) else len(patterns)
+                used = masks[best] if len(fits) else none
+                index[rows], exact[rows] = best, bool((used == has).all())
+                d = np.sqrt(((x[rows][:, None, used] - centre[None, :, used]) ** 2).sum(axis=2))
+                cell[rows], gap[rows] = d.argmin(axis=1), d.min(axis=1)
+            yield batch.assign(index=index, exact=exact, cell=cell, gap=gap)
 
     base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select("id", "x", "payload").schema)
-    placed = cut_lineage(candidates.select("id", "x", "payload").mapInPandas(place, base + ", cell int, gap double"))
-    # At most one row per pivot comes back.
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("gap").alias("far"),
-        F.percentile_approx("gap", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("marks"),
+    placed = cut_lineage(candidates.select("id", "x", "payload").mapInPandas(place, base + ", index int, exact boolean, cell int, gap double"))
+    spot = ["index", "exact", "cell"]
+    # At most one row per pattern and pivot comes back, twice where a pattern also holds rows of rarer ones.
+    cells = placed.groupBy(*spot).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("gap", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("marks"),
     ).collect()
-    rings, far, count = {}, np.full(len(centre), -np.inf), np.zeros(len(centre))
+    rings = []
     for r in cells:
-        wanted = min(64, math.ceil(r["n"] / tile_rows)) if r["cell"] >= 0 else 1
-        rings[r["cell"]] = sorted({r["marks"][round(64 * i / wanted) - 1] for i in range(1, wanted)})
-        if r["cell"] >= 0:
-            far[r["cell"]], count[r["cell"]] = r["far"], r["n"]
-    # Pivots times at most 64 ring ends.
-    ends = spark.createDataFrame([(c, v) for c, v in rings.items()], "cell int, ends array<double>")
-    ringed = placed.join(F.broadcast(ends), "cell").withColumn(
-        "ring", F.size(F.filter("ends", lambda e: e < F.col("gap")))
-    )
-    sizes = ringed.groupBy("cell", "ring").agg(
-        F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")
-    )
-    tiles, number = [], 0
-    for r in sizes.orderBy("cell", "ring").collect():  # pivots times 64 rows at most
+        wanted = min(64, math.ceil(r["n"] / tile_rows))
+        rings.append((*(r[c] for c in spot), sorted({r["marks"][round(64 * i / wanted) - 1] for i in range(1, wanted)})))
+    # Patterns times pivots times at most 64 ring ends.
+    ends = spark.createDataFrame(rings, "index int, exact boolean, cell int, ends array<double>")
+    ringed = placed.join(F.broadcast(ends), spot).withColumn("ring", F.size(F.filter("ends", lambda e: e < F.col("gap"))))
+    sizes = ringed.groupBy(*spot, "ring").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
+    tiles, first = [], []
+    for r in sizes.orderBy(*spot, "ring").collect():
         salts = math.ceil(r["n"] / (2 * tile_rows))
-        tiles.append((r["cell"], r["ring"], salts, number, r["low"], r["high"]))
-        number += salts
-    index = spark.createDataFrame([t[:4] for t in tiles], "cell int, ring int, salts int, first int")
-    tiled = ringed.join(F.broadcast(index), ["cell", "ring"]).select(
+        first.append((*(r[c] for c in spot), r["ring"], salts, len(tiles)))
+        tiles += [(r["index"], r["exact"], r["cell"], r["n"] / salts, r["low"], r["high"])] * salts
+    index = spark.createDataFrame(first, "index int, exact boolean, cell int, ring int, salts int, first int")
+    tiled = ringed.join(F.broadcast(index), [*spot, "ring"]).select(
         "id", "x", "payload",
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("tile"),
     )
-    tile_cell = np.array([t[0] for t in tiles for _ in range(t[2])])
-    tile_low = np.array([t[4] for t in tiles for _ in range(t[2])])
-    tile_high = np.array([t[5] for t in tiles for _ in range(t[2])])
+    where = _Tiles(centre, [*patterns, "0" * width], tiles)
 
     def route(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            out_row, out_tile = [], []
             x = np.stack(batch["x"])
-            known = ~np.isnan(x)
-            x0 = np.where(known, x, 0.0)
-            for r in range(len(x)):
-                visit = tile_cell < 0
-                if len(centre):
-                    d = np.sqrt((((x0[r] - centre) * known[r]) ** 2).sum(axis=1))
-                    # Upper bound: enough candidates lie in the cells whose far side is nearest.
-                    side = np.where(count > 0, d + far, np.inf)
-                    order = np.argsort(side)
-                    enough = np.searchsorted(np.cumsum(count[order]), k)
-                    bound = side[order[min(enough, len(order) - 1)]] if count.sum() >= k else np.inf
-                    at = d[np.maximum(tile_cell, 0)]
-                    nearest_side = at - tile_high
-                    if known[r].all():
-                        # The inner side of a ring bounds too, but only in the full space.
-                        nearest_side = np.maximum(nearest_side, tile_low - at)
-                    visit = visit | (nearest_side <= bound * (1 + 1e-9) + 1e-12)
-                chosen = np.flatnonzero(visit)
-                out_row.append(np.full(len(chosen), r))
-                out_tile.append(chosen)
-            rows = np.concatenate(out_row)
-            yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[rows], "x": batch["x"].to_numpy()[rows], "tile": np.concatenate(out_tile).astype("int32"),
-            })
+            distinct, which = np.unique(~np.isnan(x), axis=0, return_inverse=True)
+            step = max(1, 2_000_000 // max(len(tiles), len(centre) * width))
+            for number in range(len(distinct)):
+                same = np.flatnonzero(which.reshape(-1) == number)
+                for start in range(0, len(same), step):
+                    rows = same[start : start + step]
+                    r, tile = where.visits(x[rows], k)
+                    yield pd.DataFrame({
+                        "id": batch["id"].to_numpy()[rows[r]], "x": batch["x"].to_numpy()[rows[r]], "tile": tile.astype("int32"),
+                    })
 
     id_type = queries.schema["id"].dataType.simpleString()
     routed = cut_lineage(queries.select("id", "x").mapInPandas(route, f"id {id_type}, x array<double>, tile int"))

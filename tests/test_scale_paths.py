@@ -238,3 +238,34 @@ def test_odd_wide_points(spark):
     assert [r["cluster"] for r in density.dbscan(spark.createDataFrame([(1, wide)], schema), "id", "x", 0.1, 2).collect()] == [-1]
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])], schema)
     assert {r["id"]: r["cluster"] for r in density.dbscan(zero, "id", "x", 0.2, 2, "cosine").collect()} == {1: -1, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("patterns", [3, 64])
+def test_nearest_under_gaps_visits_few_tiles(spark, monkeypatch, patterns):
+    """Groups far apart, a third of the cells missing: exact answers, and no tile that all rows visit."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.uniform(0, 4000, size=(30, 5)), 30, axis=0) + rng.normal(size=(900, 5))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:40] = np.nan_to_num(x[:40], nan=7.0)
+    x[40] = np.nan
+    routed = []
+    monkeypatch.setattr(neighbors, "MAX_PATTERNS", patterns)
+    keep = neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda df: routed.append(keep(df)) or routed[-1])
+    rows = [(i, [float(v) for v in p], [float(i)]) for i, p in enumerate(x)]
+    t = spark.createDataFrame(rows, "id bigint, x array<double>, payload array<double>")
+    got = {}
+    for r in neighbors.nearest(t.select("id", "x"), t, 4, broadcast_cells=0, tile_rows=20, pivots=200).collect():
+        got.setdefault((r["qid"], r["feature"]), []).append((r["rank"], r["distance"]))
+    known = ~np.isnan(x)
+    for i in range(len(x)):
+        both = known[i] & known
+        shared = both.sum(1)
+        gap = np.where(both, (np.nan_to_num(x) - np.nan_to_num(x[i])) ** 2, 0).sum(1)
+        d = np.where(shared > 0, np.sqrt(gap * 5 / np.maximum(shared, 1)), np.inf)
+        for f in np.flatnonzero(~known[i]) if not known[i].all() else [-1]:
+            want = np.sort(d if f < 0 else np.where(known[:, f], d, np.inf))[:4]
+            assert np.allclose([v for _, v in sorted(got.get((i, f), []))], want[np.isfinite(want)])
+    tiles = next(r for r in routed if "tile" in r.columns)
+    visits = tiles.groupBy("tile").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
+    assert patterns < 64 or visits < 0.6 * len(x)
