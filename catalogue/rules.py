@@ -109,6 +109,36 @@ QUERIES["rule_boosted_auc"] = (
 )
 
 
+def _margins(s, d):
+    """Calibrated chances of a margin classifier: they rank rows as the only feature does, and lie on the right side of one half."""
+    data = _sides(s, d)
+    model = T.fit_model(data, "c_custkey", {"numeric": ["mark"]}, "classification", "svm", {"max_iter": 40})
+    folder = scratch_folder(s)
+    model.write().overwrite().save(folder)
+    chance = vector_to_array("probability")[1]
+    placed = PipelineModel.load(folder).transform(data).groupBy("mark").agg(F.min(chance).alias("low"), F.max(chance).alias("high"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("low")  # one row for each of the twenty marks
+    return placed.select("mark", F.row_number().over(order).alias("place"), (F.col("low") > 0.5).alias("likely"), (F.col("low") == F.col("high")).alias("same"), "n")
+
+
+QUERIES["rule_svm_probabilities"] = (
+    _margins,
+    """WITH m AS (SELECT CAST(((floor(c_acctbal) % 10) + 10) % 10 + CASE WHEN c_custkey % 2 = 1 THEN 100 ELSE 0 END AS DOUBLE) AS mark FROM customer)
+  SELECT mark, CAST(row_number() OVER (ORDER BY mark) AS INT) AS place, mark >= 100 AS likely, true AS same, count(*) AS n FROM m GROUP BY mark""",
+)
+
+
+def _svm_runs(s, d):
+    runs, _ = T.train_models(_thirds(s, d).drop("label"), "c_custkey", PLACES, "tens", "classification", ["svm"], {"svm": {"max_iter": 30, "calibration_folds": 2}})
+    return runs.select("model_name", "status", F.col("metrics")["accuracy"].alias("accuracy"), F.col("metrics")["roc_auc"].alias("roc_auc"))
+
+
+QUERIES["rule_svm_auc"] = (
+    _svm_runs,
+    "SELECT DISTINCT 'svm' AS model_name, 'FINISHED' AS status, CAST(1 AS DOUBLE) AS accuracy, CAST(count(DISTINCT c_custkey % 3) / 3 AS DOUBLE) AS roc_auc FROM customer",
+)
+
+
 def _decoded(s, d):
     """Text classes go in and come out, after saving and loading too."""
     data = _sides(s, d).drop("label")

@@ -8,11 +8,9 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -24,6 +22,7 @@ from pyspark.ml.regression import (
 )
 
 from gridsmith.operators.boosting import AdaBoostClassifier, AdaBoostRegressor
+from gridsmith.operators.calibration import CalibratedSVC
 from gridsmith.operators.discriminant import LinearDiscriminant
 from gridsmith.operators.softmax import SoftmaxBoosting
 
@@ -160,8 +159,7 @@ def build(task: str, name: str, params: dict | None = None, rows: int = 1, class
                 patience=p.get("n_iter_no_change") or 0, validation=p.get("validation_fraction", 0.1), tolerance=p.get("tol", 1e-4),
             )
         if name == "svm":
-            machine = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), standardization=False, maxIter=p.get("max_iter", 100))
-            return machine if classes <= 2 else OneVsRest(classifier=machine)
+            return CalibratedSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=p.get("max_iter", 100), folds=p.get("calibration_folds", 3))
         if name == "decision_tree":
             return DecisionTreeClassifier(**_tree_settings(p))
         if name == "adaboost":
