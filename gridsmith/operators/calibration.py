@@ -53,21 +53,26 @@ class CalibratedSVC(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         slim = df.select(as_column(of["featuresCol"]).alias("features"), as_column(of["labelCol"]).cast("double").alias("label")).dropna(subset=["label"])
         # A row's fold is told by its content: copies stay together, and a lost task deals the same.
         data = slim.withColumn("fold", F.pmod(F.xxhash64("features", "label", F.lit(of["seed"])), F.lit(of["folds"]))).persist()
-        counts = {int(r["label"]): r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows, places = sum(counts.values()), max(counts, default=1) + 1
+        cells = {(int(r["label"]), r["fold"]): r["n"] for r in data.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rows, places = sum(cells.values()), max((k for k, _ in cells), default=1) + 1
+        counts = {k: sum(n for (c, _), n in cells.items() if c == k) for k in range(places)}
         sides = [1] if places <= 2 else list(range(places))
 
+        def parted(side, fold):
+            """Whether both kinds of rows lie outside the fold; if not, its margins are those of the machine fitted to all rows."""
+            return fold is None or len({c == side for c, f in cells if f != fold}) == 2
+
         def machine(side, fold=None):
             part = data if fold is None else data.filter(F.col("fold") != fold)
             one = part.select("features", (F.col("label") == side).cast("double").alias("label"))
             return LinearSVC(regParam=of["regParam"], maxIter=of["maxIter"], standardization=False).fit(one)
 
-        wanted = [(side, fold) for side in sides for fold in [None, *range(of["folds"])]]
+        wanted = [(side, fold) for side in sides for fold in [None, *range(of["folds"])] if parted(side, fold)]
         try:
             with ThreadPool(max(1, min(of["parallelism"], len(wanted)))) as pool:
                 work = inheritable_thread_target(df.sparkSession)
                 fitted = dict(zip(wanted, pool.map(work(lambda w: machine(*w)), wanted, chunksize=1), strict=True))
-                curves = pool.map(work(lambda side: self._curve(data, side, [fitted[side, f] for f in range(of["folds"])], counts.get(side, 0), rows)), sides, chunksize=1)
+                curves = pool.map(work(lambda side: self._curve(data, side, [fitted.get((side, f), fitted[side, None]) for f in range(of["folds"])], counts.get(side, 0), rows)), sides, chunksize=1)
         finally:
             data.unpersist()
         return CalibratedSVCModel([fitted[side, None] for side in sides], {"curves": curves})._set(featuresCol=of["featuresCol"])
