@@ -284,6 +284,51 @@ QUERIES["svd_projection"] = (
     lambda s, d: S.truncated_svd(_vectors(s, d), "vec_id", "features", 3)[0].select("vec_id", F.size("svd").alias("width")),
     "SELECT vec_id, CAST(3 AS INTEGER) AS width FROM embeddings",
 )
+_EDGE = 600
+
+
+def _wide_rows(s, d):
+    """Rows with a single value each, in one of 600 columns: products of columns vanish, so column sums tell the singular values."""
+    place = (F.col("p_partkey") % _EDGE).cast("int")
+    value = F.col("p_size") / (1 + place)
+    return table(s, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(_EDGE - 1)), lambda i: F.when(i == place, value).otherwise(0.0)).alias("features"))
+
+
+def _wide_svd(s, d):
+    out, _ = S.truncated_svd(_wide_rows(s, d), "p_partkey", "features", 3)
+    # Each row lies along one of the leading directions, or along none.
+    return out.select("p_partkey", F.posexplode("svd").alias("component", "v")).select("p_partkey", "component", F.round(F.abs("v"), 4).alias("value"))
+
+
+QUERIES["svd_wide_projection"] = (
+    _wide_svd,
+    f"""WITH r AS (SELECT p_partkey, p_partkey % {_EDGE} AS place, p_size / CAST(1 + p_partkey % {_EDGE} AS DOUBLE) AS v FROM part),
+  c AS (SELECT place, row_number() OVER (ORDER BY sum(v * v) DESC) - 1 AS component FROM r GROUP BY place QUALIFY component < 3)
+  SELECT p_partkey, CAST(c.component AS INT) AS component, round(CASE WHEN r.place = c.place THEN v ELSE 0 END, 4) AS value FROM r, c""",
+)
+_TURN = "(SELECT atan2(2 * b, a - c) / 2 AS t FROM m)"
+QUERIES["svd_projection_values"] = (
+    lambda s, d: S.truncated_svd(_keyed_plane(s, d), "k", "features", 2)[0].select("k", F.transform("svd", lambda v: F.round(v, 4)).alias("svd"))
+    .select("k", F.col("svd")[0].alias("first"), F.abs(F.col("svd")[1]).alias("second")),
+    f"""WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+  m AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM p), t AS {_TURN}
+  SELECT k, round(x * cos(t) + y * sin(t), 4) AS first, abs(round(y * cos(t) - x * sin(t), 4)) AS second FROM p, t""",
+)
+QUERIES["cluster_projection_values"] = (
+    lambda s, d: S.cluster_projection(_keyed_plane(s, d).withColumn("side", F.col("k") % 3), "features", "side", "k")[0]
+    .select("k", "side", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2")),
+    f"""WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+  p AS (SELECT k, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM q), m AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM p), t AS {_TURN}
+  SELECT k, k % 3 AS side, round(abs(x * cos(t) + y * sin(t)), 4) AS pc1, round(abs(y * cos(t) - x * sin(t)), 4) AS pc2 FROM p, t""",
+)
+
+
+def _keyed_plane(s, d):
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")
+    from pyspark.ml.feature import VectorAssembler
+
+    plane = table(s, d, "lineitem").select(key, F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(plane)
 
 
 def _projection(s, d):

@@ -224,6 +224,10 @@ QUERIES["groups_kmeans"] = (_named("kmeans", {"n_clusters": 3}), _FIRST)
 QUERIES["groups_hierarchical"] = (_named("hierarchical", {"n_clusters": 3}), _FIRST)
 QUERIES["groups_dbscan"] = (_named("dbscan", {"eps": 3.0, "min_samples": 2}), _FIRST)
 QUERIES["groups_dbscan_manhattan"] = (_named("dbscan", {"eps": 4.5, "min_samples": 2, "metric": "manhattan"}), _FIRST)
+for _rule in ("ward", "average", "complete", "single"):
+    QUERIES[f"groups_linkage_{_rule}"] = (_named("hierarchical", {"n_clusters": 3, "linkage": _rule}), _FIRST)
+# Nine of the twelve points are drawn, so each line has one at least.
+QUERIES["groups_linkage_gathered"] = (_named("hierarchical", {"n_clusters": 3, "linkage": "average", "metric": "manhattan", "micro": 9}), _FIRST)
 QUERIES["groups_cluster_search"] = (
     lambda s, d: s.createDataFrame([(T.cluster_search(_points(s, d), "c_custkey", "features", "kmeans", [{"n_clusters": k} for k in (2, 3, 5)])[0]["n_clusters"],)], "n_clusters long"),
     "SELECT count(DISTINCT c_custkey % 3) AS n_clusters FROM customer",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
@@ -434,31 +435,67 @@ def cluster_projection(df: DataFrame, features: str, label: str, key: str) -> tu
     return projected.select(as_column(key), as_column(label), xy[0].alias("pc1"), xy[1].alias("pc2")), shares
 
 
-def truncated_svd(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[DataFrame, list[float]]:
+# Up to this many columns the sums of all products of two columns are taken in one scan.
+GRAM_WIDTH = 512
+# Directions followed beside the wanted ones, and how often they are refined at most.
+EXTRA_DIRECTIONS, MOST_ROUNDS = 10, 60
+
+
+def truncated_svd(df: DataFrame, key: str, features: str, k: int = 2, gram_width: int = GRAM_WIDTH) -> tuple[DataFrame, list[float]]:
     """Uncentred projection on the leading right singular vectors: ``key, svd`` and the singular values.
 
-    Each partition reduces its rows to one width-by-width Gram matrix; only the
-    sum of those reaches the driver, which takes its eigenvectors.
+    Up to ``gram_width`` columns each partition reduces its rows to one
+    width-by-width Gram matrix, and the driver takes the eigenvectors of their
+    sum. Wider rows are never squared: k and a few more directions are refined by
+    subspace iteration, one scan and width times directions numbers a round.
     """
     import numpy as np
 
     x = as_array(df, features)
+    rows = df.select(x.alias("x"))
+    width = rows.select(F.size("x")).first()
+    width = width[0] if width else 0
+    if width <= gram_width:
+        values, vectors = _gram_directions(rows)
+    else:
+        rows = rows.persist()
+        try:
+            values, vectors = _followed_directions(rows, width, min(width, k + EXTRA_DIRECTIONS), k)
+        finally:
+            rows.unpersist()
+    order = np.argsort(values)[::-1][:k]
+    chosen = vectors[:, order]
+    if chosen.size:
+        # The largest entry of a direction is positive, so its sign is settled.
+        chosen = chosen * np.where(chosen[np.argmax(np.abs(chosen), axis=0), np.arange(chosen.shape[1])] > 0, 1.0, -1.0)
+
+    @F.pandas_udf("array<double>")
+    def project(column: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(list(np.stack(column.to_numpy()) @ chosen) if len(column) else [], dtype=object)
+
+    singular = [float(np.sqrt(max(values[j], 0.0))) for j in order]
+    return df.select(as_column(key), project(x).alias("svd")), singular
+
+
+def _summed_rows(rows: DataFrame, part_of):
+    """The sum over partitions of a matrix that ``part_of(block, total)`` adds a block of rows to, row by row of the matrix."""
+    import numpy as np
 
-    def gram(batches):
+    def run(batches):
         import numpy as np
         import pandas as pd
 
         total = None
         for batch in batches:
             if len(batch):
-                block = np.stack(batch["x"])
-                total = block.T @ block if total is None else total + block.T @ block
+                total = part_of(np.stack(batch["x"]), total)
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
 
     cells = (
-        df.select(x.alias("x"))
-        .mapInPandas(gram, "i int, row array<double>")
+        rows.mapInPandas(run, "i int, row array<double>")
         .select("i", F.posexplode("row").alias("j", "v"))
         .groupBy("i", "j")
         .agg(F.sum("v").alias("v"))
@@ -467,13 +504,36 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[D
         .select("i", "row.v")
         .orderBy("i")
     )
-    matrix = np.array([r["v"] for r in cells.toLocalIterator()])
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(values)[::-1][:k]
-    parts = []
-    for j in order:
-        v = vectors[:, j] * (1.0 if vectors[np.argmax(np.abs(vectors[:, j])), j] > 0 else -1.0)
-        weights = F.array(*[F.lit(float(w)) for w in v])
-        parts.append(F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda t, s: t + s))
-    singular = [float(np.sqrt(max(values[j], 0.0))) for j in order]
-    return df.select(as_column(key), F.array(*parts).alias("svd")), singular
+    return np.array([r["v"] for r in cells.toLocalIterator()])
+
+
+def _gram_directions(rows: DataFrame):
+    """Eigenvalues and vectors of the sum of all products of two columns."""
+    import numpy as np
+
+    matrix = _summed_rows(rows, lambda block, total: block.T @ block if total is None else total + block.T @ block)
+    return np.linalg.eigh(matrix) if len(matrix) else (np.zeros(0), np.zeros((0, 0)))
+
+
+def _followed_directions(rows: DataFrame, width: int, followed: int, k: int):
+    """Leading eigenvalues and vectors, refined until the k largest values stand still."""
+    import numpy as np
+
+    basis = np.linalg.qr(np.random.default_rng(42).normal(size=(width, followed)))[0]
+    context, before = rows.sparkSession.sparkContext, None
+    for _ in range(MOST_ROUNDS):
+        shared = context.broadcast(basis)
+
+        def add(block, total, shared=shared):
+            part = block.T @ (block @ shared.value)
+            return part if total is None else total + part
+
+        image = _summed_rows(rows, add)
+        shared.destroy()
+        values, turn = np.linalg.eigh(basis.T @ image)
+        leading = np.sort(values)[::-1][:k]
+        found = values, basis @ turn
+        if followed == width or before is not None and np.allclose(leading, before, rtol=1e-12, atol=0):
+            break
+        before, basis = leading, np.linalg.qr(image)[0]
+    return found

@@ -24,6 +24,7 @@ from pyspark.ml.regression import (
 from gridsmith.operators.boosting import AdaBoostClassifier, AdaBoostRegressor
 from gridsmith.operators.calibration import CalibratedSVC
 from gridsmith.operators.discriminant import LinearDiscriminant
+from gridsmith.operators.linkage import Agglomerative
 from gridsmith.operators.softmax import SoftmaxBoosting
 
 SEED = 42
@@ -76,7 +77,7 @@ GRIDS = {
     "clustering": {
         "kmeans": {"n_clusters": [2, 3, 4, 5, 6, 7, 8]},
         "dbscan": {"eps": [0.3, 0.5, 0.7, 1.0], "min_samples": [5, 10, 15], "metric": ["euclidean", "manhattan", "cosine"]},
-        "hierarchical": {"n_clusters": [2, 3, 4, 5]},
+        "hierarchical": {"n_clusters": [2, 3, 4, 5], "linkage": ["ward", "complete", "average", "single"]},
     },
 }
 
@@ -174,6 +175,10 @@ def build(task: str, name: str, params: dict | None = None, rows: int = 1, class
     if task == "clustering":
         if name == "kmeans":
             return KMeans(k=p.get("n_clusters", 8), seed=SEED, maxIter=p.get("max_iter", 300), predictionCol="cluster")
+        if name == "hierarchical" and "linkage" in p:
+            return Agglomerative(
+                k=p.get("n_clusters", 2), linkage=p["linkage"], metric=p.get("metric", "euclidean"), **({"micro": p["micro"]} if "micro" in p else {})
+            )
         if name == "hierarchical":
             return BisectingKMeans(k=p.get("n_clusters", 2), seed=SEED, predictionCol="cluster")
     raise ValueError(f"no estimator {name} for {task}")

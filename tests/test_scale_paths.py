@@ -269,3 +269,18 @@ def test_nearest_under_gaps_visits_few_tiles(spark, monkeypatch, patterns):
     tiles = next(r for r in routed if "tile" in r.columns)
     visits = tiles.groupBy("tile").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
     assert patterns < 64 or visits < 0.6 * len(x)
+
+
+def test_wide_singular_values_without_a_square_matrix(spark):
+    from gridsmith.operators.stages import truncated_svd
+
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(400, 30)) * 0.7 ** np.arange(30)) @ rng.normal(size=(30, 600))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>").repartition(6)
+    out, found = truncated_svd(df, "id", "features", 4)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(found, s[:4], rtol=1e-9)
+    got = np.array([r["svd"] for r in out.orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-4 * s[0])
+    empty = truncated_svd(df.limit(0), "id", "features", 2)
+    assert empty[1] == [] and empty[0].collect() == []
