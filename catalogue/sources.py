@@ -148,3 +148,23 @@ def _store(s, d):
 QUERIES["feature_store"] = (
     _store, """SELECT * FROM (VALUES ('same', false), ('shifted', true), ('consistent', true), ('two versions', true)) t("case", drift_detected)""",
 )
+
+
+def _store_drift(s, d):
+    """Distance of a stored feature's columns to another table, and a check against other values."""
+    store = FeatureStore(s, scratch_folder(s))
+    early, late = (table(s, d, "events").filter(f"ts {side} timestamp'2024-01-15'").select("value", "user_id") for side in ("<", ">="))
+    store.register("activity", early)
+    told = store.drift("activity", late).select("feature_name", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
+    changed = store.check("activity", early.withColumn("value", F.col("value") + 1)).select("differing_columns", "is_valid")
+    return told.crossJoin(changed)  # one row each
+
+
+QUERIES["feature_drift_score"] = (
+    _store_drift,
+    """WITH k AS (""" + " UNION ALL ".join(f"""SELECT max(abs(a / CAST(na AS DOUBLE) - b / CAST(nb AS DOUBLE))) AS gap FROM
+    (SELECT sum(a) OVER w AS a, sum(b) OVER w AS b, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM
+      (SELECT {c} AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1)
+      WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""" for c in ("value", "user_id")) + """)
+  SELECT 'activity' AS feature_name, round(max(gap), 6) AS drift_score, max(gap) > 0.1 AS drift_detected, CAST(1 AS BIGINT) AS differing_columns, false AS is_valid FROM k""",
+)

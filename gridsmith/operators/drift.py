@@ -20,24 +20,25 @@ def ks_distances(base: DataFrame, current: DataFrame, columns: list[str] | None
     if columns is None:
         shared = set(numeric_columns(current))
         columns = [c for c in numeric_columns(base) if c in shared]
+    return ks_from_counts(numeric_counts(base, columns), numeric_counts(current, columns))
 
-    def long(df: DataFrame, side: int) -> DataFrame:
-        wide = missing_to_null(df.select(*[as_column(c).cast("double").alias(c) for c in columns]))
-        return (
-            wide.unpivot([], columns, "column", "value")
-            .filter(F.col("value").isNotNull())
-            .withColumn("side", F.lit(side))
-        )
 
-    counts = (
-        long(base, 0)
-        .unionByName(long(current, 1))
-        .groupBy("column", "value")
-        .agg(
-            F.count_if(F.col("side") == 0).alias("n_base"),
-            F.count_if(F.col("side") == 1).alias("n_current"),
-        )
+def numeric_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, n``: how often each present value of the numeric columns occurs; tables of disjoint rows add up."""
+    wide = missing_to_null(df.select(*[as_column(c).cast("double").alias(c) for c in columns]))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value double, n bigint")
+    long = wide.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ks_from_counts(base: DataFrame, current: DataFrame) -> DataFrame:
+    """``column, statistic, n_base, n_current`` of two tables given as ``numeric_counts``."""
+    none = F.lit(0).cast("bigint")
+    sides = base.select("column", "value", F.col("n").alias("n_base"), none.alias("n_current")).unionByName(
+        current.select("column", "value", none.alias("n_base"), F.col("n").alias("n_current"))
     )
+    counts = sides.groupBy("column", "value").agg(F.sum("n_base").alias("n_base"), F.sum("n_current").alias("n_current"))
     totals = running_totals(counts, "column", "value", ["n_base", "n_current"])
     gap = F.abs(
         (F.col("n_base_below") + F.col("n_base")) / F.nullif(F.col("n_base_total"), F.lit(0))

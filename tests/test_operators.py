@@ -120,6 +120,24 @@ def test_feature_store(spark, people):
     assert moved["drift_detected"] and moved["drift_score"] > moved["threshold"]
 
 
+def test_feature_checks_read_summaries_alone(spark, people, monkeypatch):
+    store = FeatureStore(spark, scratch_folder(spark))
+    data = people.select("numeric_col", "categorical_col", (F.col("numeric_col") * 0).cast("string").alias("text"), F.lit(None).cast("double").alias("empty"))
+    version = store.register("f", data)
+    read = []
+    table = store.get
+    monkeypatch.setattr(store, "get", lambda *a: read.append(a) or table(*a))
+    drifted = store.drift("f", data)
+    assert drifted.first()["drift_score"] == 0 and not read
+    assert not any("/data/" in f for f in drifted.inputFiles())
+    schema_only = store.check("f", data)
+    assert schema_only.first()["is_valid"] and not any("/data/" in f for f in schema_only.inputFiles())
+    # A feature without summaries is compared all the same.
+    bare = FeatureStore(spark, scratch_folder(spark))
+    data.write.parquet(bare._folder("f", version))
+    assert bare.check("f", data, version).first()["is_valid"] and bare.drift("f", data, version=version).first()["drift_score"] == 0
+
+
 def test_load_refuses_bad_input(spark):
     with pytest.raises(ValueError):
         tables.read_table(spark, "/tmp/x.xyz")
