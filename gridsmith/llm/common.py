@@ -51,13 +51,26 @@ def small_side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without_rows(docs: DataFrame, key: str, text: str, bad: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not in ``bad``, a key and a ``text_tie`` each; rows with a NULL key stay."""
-    rows = small_side(bad.toDF("_bad", "_tie").filter("_bad is not null").distinct())
-    return docs.join(rows, (F.col(key).cast("long") == F.col("_bad")) & (text_tie(text) == F.col("_tie")), "left_anti")
+    """Rows of ``docs`` that are not in ``bad``, a key and a ``text_tie`` each; NULL keys are compared like any other."""
+    bad_key, bad_tie = free_names(docs, "_bad", "_tie")
+    rows = small_side(bad.toDF(bad_key, bad_tie).distinct())
+    return docs.join(rows, F.col(key).cast("long").eqNullSafe(F.col(bad_key)) & (text_tie(text) == F.col(bad_tie)), "left_anti")
 
 
 def without_keys(docs: DataFrame, key: str, bad: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is not in the one column of ``bad``; rows with a NULL key stay."""
-    keys = small_side(bad.select(F.col(bad.columns[0]).alias("_bad")).filter("_bad is not null").distinct())
-    return docs.join(keys, F.col(key).cast("long") == F.col("_bad"), "left_anti")
+    (bad_key,) = free_names(docs, "_bad")
+    keys = small_side(bad.toDF(bad_key).filter(F.col(bad_key).isNotNull()).distinct())
+    return docs.join(keys, F.col(key).cast("long") == F.col(bad_key), "left_anti")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import BLANKS, saved, small_side, without_keys
+from gridsmith.llm.common import BLANKS, free_names, saved, small_side, without_keys
 
 SALTS = 8
 #: A task hands its local groups on when their texts or rows exceed these.
@@ -121,19 +121,22 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """``docs`` with one row of each group of equal texts, as ``exact_groups`` chooses it, with all its columns.
 
     Rows that share a key are told apart by their text; of rows alike in both one
-    stays.
+    stays, and NULL keys count as one key. NULL and empty texts are equal; an
+    empty table gives no rows; other columns may have any names.
     """
     found = saved(exact_groups(docs, key, text).select("doc_id", "kept", "text_sha256"))
     mixed = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null").select("doc_id")
     dropped = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
     if mixed.isEmpty():
         return without_keys(docs, key, dropped)
-    doubtful = saved(mixed.select(F.col("doc_id").alias("_key")))
-    own = F.col(key).cast("long").eqNullSafe(F.col("_key"))
+    # Helper columns take names that are no columns of the table.
+    name, sha, place = free_names(docs, "_key", "_sha", "_place")
+    doubtful = saved(mixed.select(F.col("doc_id").alias(name)))
+    own = F.col(key).cast("long").eqNullSafe(F.col(name))
     clear = without_keys(docs.join(doubtful, own, "left_anti"), key, dropped)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
+    kept = found.filter("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(f"{sha}_kept"))
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    order = Window.partitionBy(key, "_sha").orderBy(F.desc_nulls_last(F.char_length(text)))
-    rest = docs.join(doubtful, own, "left_semi").withColumn("_sha", digest).withColumn("_place", F.row_number().over(order)).filter("_place = 1")
-    chosen = rest.join(kept, own & (rest["_sha"] == kept["_sha"]), "left_semi").drop("_sha", "_place")
+    order = Window.partitionBy(key, sha).orderBy(F.desc_nulls_last(F.char_length(text)))
+    rest = docs.join(doubtful, own, "left_semi").withColumn(sha, digest).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    chosen = rest.join(kept, own & (F.col(sha) == F.col(f"{sha}_kept")), "left_semi").drop(sha, place)
     return clear.unionByName(chosen)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.common import text_tie, without_rows
+from gridsmith.llm.common import free_names, text_tie, without_rows
 
 #: Texts drawn for a language, and the characters taken from each: the bounded sample that is learned.
 SAMPLE = 384
@@ -123,7 +123,13 @@ def classify(
 
 
 def drop_unknown(docs: DataFrame, teachers: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, with all their columns; rows with a NULL key stay."""
+    """The rows of ``docs`` whose language is not rejected, with all their columns.
+
+    A decision holds for all rows of the same key and text, NULL keys too. Texts
+    without a letter, NULL and empty ones among them, are rejected; an empty
+    table gives no rows; other columns may have any names.
+    """
     dictionaries = learn_dictionaries(teachers, key, text, lang)
-    found = classify(docs.withColumn("_tie", text_tie(text)), dictionaries, key, text, tie="_tie")
-    return without_rows(docs, key, text, found.filter("rejected").select("doc_id", "_tie"))
+    (tie,) = free_names(docs, "_tie")
+    found = classify(docs.withColumn(tie, text_tie(text)), dictionaries, key, text, tie=tie)
+    return without_rows(docs, key, text, found.filter("rejected").select("doc_id", tie))

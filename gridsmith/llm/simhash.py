@@ -358,8 +358,9 @@ def _proposed(cells: DataFrame, sets: DataFrame, named: DataFrame | None, simila
 def _similar(own: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose sets of shingles are similar enough."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = small_side(sets.join(named, "node", "left_semi").select("first.doc_id", "first.tie"))
-    found = shingle_sets(own.join(first, ["doc_id", "tie"], "left_semi"), width).dropDuplicates(["node"])
+    first = small_side(sets.join(named, "node", "left_semi").select(F.col("first.doc_id").alias("_first"), F.col("first.tie").alias("_tie")))
+    chosen = own.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("tie") == F.col("_tie")), "left_semi")
+    found = shingle_sets(chosen, width).dropDuplicates(["node"])
     found = saved(found)
     both = pairs.join(found.withColumnsRenamed({"node": "a", "marks": "p"}), "a").join(found.withColumnsRenamed({"node": "b", "marks": "q"}), "b")
     common = F.size(F.array_intersect("p", "q"))
@@ -377,11 +378,11 @@ def near_rows(
     pairs are one group; all pairs count. Such sets share one of their rarest
     shingles, so the rows of one of these are a cell. First each row proposes its
     nearest one of another group in every cell, until a round joins nothing;
-    then all pairs of different groups are verified that are left. Rows with a NULL key are left out; repeated
-    rows share key and text and are never copies of themselves.
+    then all pairs of different groups are verified that are left. NULL keys are keys
+    like any other, behind all of them; repeated rows share key and text and are
+    never copies of themselves.
     """
-    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = own.select("doc_id", text_tie("text").alias("tie"), "text")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), text_tie(text).alias("tie"), F.col(text).cast("string").alias("text"))
     held = saved(prefix_sets(own, width, similarity, common_marks(own, width)))
     sets = saved(
         held.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sketch", "rare")])
@@ -402,7 +403,7 @@ def near_rows(
             break
         every = not new
     rows = held.select("doc_id", "tie", "node").distinct().join(named, "node", "left").select("doc_id", "tie", F.coalesce("component", "node").alias("group"))
-    keeps = rows.groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keeps = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rows.join(keeps, "group").select("doc_id", "tie", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tie").alias("keep_tie"))
 
 
@@ -412,6 +413,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the smallest key, with all its columns."""
-    found = near_rows(docs, key, text, **options).filter("doc_id != keep_id or tie != keep_tie")
+    """``docs`` with one document of each group of near copies, the one with the smallest key, with all its columns.
+
+    NULL keys come behind all others and are dropped like any; rows alike in key
+    and text stay together. Texts without a word are alike; an empty table
+    gives no rows; other columns may have any names.
+    """
+    found = near_rows(docs, key, text, **options).filter("not (doc_id <=> keep_id and tie <=> keep_tie)")
     return without_rows(docs, key, text, found.select("doc_id", "tie"))

