@@ -29,6 +29,11 @@ QUERIES["class_report"] = (
   UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
     round(sum(f1_score * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM c""",
 )
+QUERIES["class_report_with_accuracy"] = (
+    lambda s, d: rounded(M.class_report(predictions(s, d), "flag", "flag_guess", with_accuracy=True), 6),
+    f"""{QUERIES["class_report"][1]}
+  UNION ALL SELECT 'accuracy', NULL, NULL, round(count(*) FILTER (flag = flag_guess) / CAST(count(*) AS DOUBLE), 6), count(*) FROM p WHERE flag IS NOT NULL AND flag_guess IS NOT NULL""",
+)
 QUERIES["confusion_matrix"] = (
     lambda s, d: M.confusion_matrix(predictions(s, d), "flag", "flag_guess"),
     f"""{_P}, v AS (SELECT flag AS x FROM p UNION SELECT flag_guess FROM p)

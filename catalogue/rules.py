@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogue.inputs import rounded, table, union_sql
+from gridsmith.operators.sampling import split_rows
 from gridsmith.plans import training as T
 from gridsmith.session import scratch_folder
 
@@ -109,6 +110,24 @@ QUERIES["rule_boosted_auc"] = (
 )
 
 
+def _grown(s, d):
+    """Predictions for each test row, by a saved pipeline whose small class was grown on the training side only."""
+    small = F.col("c_custkey") % 5 == 0
+    data = _sides(s, d).withColumn("mark", F.pmod(F.col("mark"), F.lit(100)) + F.when(small, 100.0).otherwise(0.0)).withColumn("label", small.cast("double"))
+    parts = split_rows(data, ["c_custkey"])
+    model = T.fit_model(parts.filter("part = 'train'"), "c_custkey", {"numeric": ["mark"]}, "classification", "decision_tree", {"max_depth": 3}, None, {"k": 3})
+    folder = scratch_folder(s)
+    model.write().overwrite().save(folder)
+    return PipelineModel.load(folder).transform(parts.filter("part = 'test'")).select("c_custkey", "prediction")
+
+
+QUERIES["rule_leak_free"] = (
+    _grown,
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS prediction FROM
+  (SELECT c_custkey, row_number() OVER (ORDER BY md5(concat_ws('|', '42', c_custkey))) <= floor(count(*) OVER () * 0.2 + 0.5) AS test FROM customer) WHERE test""",
+)
+
+
 def _margins(s, d):
     """Calibrated chances of a margin classifier: they rank rows as the only feature does, and lie on the right side of one half."""
     data = _sides(s, d)

@@ -70,6 +70,10 @@ def _pair_rows_by_blocks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
     constant = {c for i, c in enumerate(columns) if stats[len(columns) + i] in (None, True)}
     left = [place[a] for a, _ in pairs]
     right = [place[b] for _, b in pairs]
+    # Only the rows of the matrix that are asked for are multiplied.
+    asked = sorted(set(left))
+    number = {i: n for n, i in enumerate(asked)}
+    row = [number[i] for i in left]
 
     def products(batches):
         import numpy as np
@@ -80,9 +84,8 @@ def _pair_rows_by_blocks(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
             x = batch.to_numpy(dtype=float) - np.array(centre)
             known = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
-            sums = x.T @ known
-            squares = (x * x).T @ known
-            part = np.stack([known.T @ known, sums, sums.T, squares, squares.T, x.T @ x])[:, left, right]
+            a, has = x[:, asked], known[:, asked]
+            part = np.stack([has.T @ known, a.T @ known, has.T @ x, (a * a).T @ known, has.T @ (x * x), a.T @ x])[:, row, right]
             total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"pair": np.arange(len(left)), **{f"s{i}": total[i] for i in range(6)}})
@@ -417,12 +420,11 @@ def mean_correlation(df: DataFrame, features: list[str] | None = None, suggest:
     df = missing_to_null(df)
     numeric = numeric_columns(df)
     features = features if features is not None else numeric
-    means = (
-        pearson_matrix(df, numeric)
-        .filter((F.col("a") != F.col("b")) & F.col("a").isin(features))
-        .groupBy(F.col("a").alias("feature"))
-        .agg(F.avg(F.abs("r")).alias("mean_abs_r"))
-    )
+    # Rows of the matrix for the features asked about, not the whole of it.
+    pairs = [(a, b) for a in numeric if a in set(features) for b in numeric if a != b]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature string, mean_abs_r double, suggested boolean")
+    means = _pair_rows(df, pairs).groupBy(F.col("a").alias("feature")).agg(F.avg(F.abs("r")).alias("mean_abs_r"))
     low = F.coalesce(F.col("mean_abs_r") < LOW_CORRELATION, F.lit(False))
     if suggest is None:
         return means.withColumn("suggested", low)

@@ -35,8 +35,11 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     return grid.join(counts, ["label", "prediction"], "left").fillna(0, ["n"])
 
 
-def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``class, precision, recall, f1_score, support`` per class plus macro and weighted means."""
+def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction", with_accuracy: bool = False) -> DataFrame:
+    """``class, precision, recall, f1_score, support`` per class plus macro and weighted means.
+
+    ``with_accuracy`` adds the share of hits as the ``f1_score`` of a row ``accuracy``, over all rows.
+    """
     per_class = _per_class(confusion_counts(df, label, prediction))
     weight = F.col("support") / F.sum("support").over(Window.partitionBy(F.lit(1)))
     # One row per class: a label set, not data rows.
@@ -50,7 +53,13 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
         *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in names],
         F.sum("support").alias("support"),
     )
-    return per_class.select("class", *names, "support").unionByName(macro).unionByName(average)
+    report = per_class.select("class", *names, "support").unionByName(macro).unionByName(average)
+    if not with_accuracy:
+        return report
+    nothing = F.lit(None).cast("double")
+    share = _share(F.sum("hit"), F.sum("support"))
+    hits = per_class.agg(F.lit("accuracy").alias("class"), nothing.alias("precision"), nothing.alias("recall"), share.alias("f1_score"), F.sum("support").alias("support"))
+    return report.unionByName(hits)
 
 
 def _per_class(counts: DataFrame) -> DataFrame:
