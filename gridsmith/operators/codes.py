@@ -13,6 +13,8 @@ from gridsmith.operators.cumulate import running_totals
 # Up to this many values the mapping becomes part of the plan; above it a table.
 CODES_IN_PLAN = 1000
 MAX_CLASSES = 10_000
+# Up to this many values a literal map is quicker than a join.
+LITERAL_LEVELS = 64
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
@@ -50,12 +52,25 @@ def code_lookup(column: Column | str, levels: list[str]) -> Column:
     return F.create_map(*pairs)[as_column(column).cast("string")].cast("bigint")
 
 
+def with_lookup(df: DataFrame, column: str, out: str, levels: list[str]) -> DataFrame:
+    """Add the code of a value among ``levels``, NULL when it is none of them.
+
+    A literal map is searched entry by entry for every row, so above
+    ``LITERAL_LEVELS`` a broadcast table of the levels is joined by hash.
+    """
+    if len(levels) <= LITERAL_LEVELS:
+        return df.withColumn(out, code_lookup(column, levels))
+    rows = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(levels)], "_value string, _place bigint")
+    joined = df.join(F.broadcast(rows), as_column(column).cast("string") == F.col("_value"), "left")
+    return joined.withColumn(out, F.col("_place")).drop("_value", "_place")
+
+
 def with_code(df: DataFrame, column: str, out: str, table: DataFrame | None = None) -> DataFrame:
     """Add the sorted code of a column, missing kept; many values go through a join."""
     if table is None:
         levels = few_levels(df, [column])
         if column in levels:
-            return df.withColumn(out, code_lookup(column, levels[column]))
+            return with_lookup(df, column, out, levels[column])
         table = code_table(df, column)
     renamed = table.select(F.col("value").alias("_value"), F.col("code").alias(out))
     return df.join(renamed, as_column(column).cast("string") == F.col("_value"), "left").drop("_value")
@@ -76,7 +91,7 @@ def encode_labels(df: DataFrame, target: str, out: str = "label", classes: list[
     Without ``classes`` numeric targets pass through, as values to predict.
     """
     if classes is not None:
-        return df.withColumn(out, code_lookup(target, classes).cast("double"))
+        return with_lookup(df, target, out, classes).withColumn(out, as_column(out).cast("double"))
     if is_numeric(df.schema[target].dataType):
         return df.withColumn(out, as_column(target).cast("double"))
     return with_code(df, target, out).withColumn(out, F.col(out).cast("double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from gridsmith.session import cut_lineage
 # range buckets; below it one sorted window per group is cheaper.
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
+# Characters of a text range end, behind what all values begin with.
+END_CHARACTERS = 64
 ACCURACY = 10_000
 # A coarser sketch is quicker and keeps few enough values of a small table.
 SMALL_ACCURACY = 2_000
@@ -55,8 +58,11 @@ def running_totals(
             {f"{s}_below": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums}
             | {f"{s}_total": F.sum(s).over(whole) for s in sums}
         )
+    value = F.col(order)
     if isinstance(df.schema[order].dataType, T.StringType):
-        placed = df.withColumn("_bounds", F.lit(_text_bounds(df, order, buckets, largest)))
+        shared, ends = _text_bounds(df, order, buckets, largest)
+        value = F.substr(F.col(order), F.lit(shared + 1))
+        placed = df.withColumn("_bounds", F.lit(ends).cast("array<string>"))
     else:
         cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         bounds = df.groupBy(F.col(group).alias("_g")).agg(
@@ -65,7 +71,7 @@ def running_totals(
         # One array of at most MAX_BUCKETS numbers per group, and few groups.
         placed = df.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+        "_bucket", F.size(F.filter("_bounds", lambda b: b < value))
     ).drop("_bounds")
     totals = placed.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(
         *[F.sum(s).alias(f"_{s}") for s in sums]
@@ -93,14 +99,17 @@ def running_totals(
     ).drop("_g", "_b", "_bucket", *[f"_{s}_before" for s in sums])
 
 
-def _text_bounds(df: DataFrame, order: str, buckets: int, rows: int) -> list[str]:
-    """Range ends for text from a sample of about fifty values per bucket.
+def _text_bounds(df: DataFrame, order: str, buckets: int, rows: int) -> tuple[int, list[str]]:
+    """Characters that all values begin with, and range ends of what follows, from a sample of about fifty values per bucket.
 
-    The ends only balance the work; any choice gives the same totals.
+    The ends only balance the work; any choice gives the same totals. Values such
+    as paths or addresses differ behind a long common beginning, so an end is
+    ``END_CHARACTERS`` of what comes behind it.
     """
-    picked = df.select(F.substring(order, 1, 32).alias(order)).sample(min(1.0, 50 * buckets / rows), 7)
-    values = sorted(r[0] for r in picked.limit(100 * MAX_BUCKETS).collect() if r[0] is not None)
-    return [values[len(values) * i // buckets] for i in range(1, buckets)] if values else []
+    shared = len(os.path.commonprefix([v or "" for v in df.agg(F.min(order), F.max(order)).first()]))
+    picked = df.select(F.substring(order, shared + 1, END_CHARACTERS).alias(order)).sample(min(1.0, 50 * buckets / rows), 7)
+    values = sorted((r[0] for r in picked.limit(100 * MAX_BUCKETS).collect() if r[0] is not None), key=str.encode)
+    return shared, [values[len(values) * i // buckets] for i in range(1, buckets)] if values else []
 
 
 def _bracket_probs(probs: list[float], accuracy: int = ACCURACY) -> list[float]:

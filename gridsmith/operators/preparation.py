@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsmith.functions.scalars import as_column, date_parts, missing_to_null, nan_to_null
-from gridsmith.operators.codes import code_lookup, code_table
+from gridsmith.operators.codes import code_table, with_lookup
 from gridsmith.operators.columns import is_numeric, numeric_columns, simple_columns
 from gridsmith.operators.counting import distinct_near, value_counts
 from gridsmith.operators.cumulate import exact_quantiles
@@ -130,7 +130,7 @@ def impute(df: DataFrame, numeric_strategy: str = "mean", categorical_strategy:
 def ordinal_encode(df: DataFrame, column: str, out: str, levels: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
     """Code of each value among the fitted sorted values, -1 when unseen or missing."""
     if levels is not None:
-        return df.withColumn(out, F.coalesce(code_lookup(column, levels), F.lit(-1)).cast("double"))
+        return with_lookup(df, column, out, levels).withColumn(out, F.coalesce(as_column(out), F.lit(-1)).cast("double"))
     pairs = (table if table is not None else code_table(df, column)).select(
         F.col("value").alias("_value"), F.col("code").alias("_code")
     )

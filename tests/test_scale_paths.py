@@ -284,3 +284,28 @@ def test_wide_singular_values_without_a_square_matrix(spark):
     assert np.allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-4 * s[0])
     empty = truncated_svd(df.limit(0), "id", "features", 2)
     assert empty[1] == [] and empty[0].collect() == []
+
+
+def test_paths_with_a_long_common_beginning_are_cut_into_ranges(spark):
+    start = "https://example.org/" + "folder/" * 20
+    rows = [(0, f"{start}é{i:05d}/page", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v string, n bigint")
+    shared, ends = cumulate._text_bounds(df, "v", 10, 3000)
+    assert shared >= len(start) and len(set(ends)) == 9
+    got = {r["v"]: (r["n_below"], r["n_total"]) for r in running_totals(df, "g", "v", ["n"], 300).collect()}
+    assert got == {v: (i, 3000) for i, (_, v, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("literal", [0, 64])
+def test_codes_by_join_and_by_map_agree(spark, monkeypatch, literal):
+    from gridsmith.operators import codes, preparation
+
+    monkeypatch.setattr(codes, "LITERAL_LEVELS", literal)
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"w{i % 7}") for i in range(40)], "id bigint, `a.b` string")
+    levels = ["w1", "w2", "w5"]
+    place = lambda v: levels.index(v) if v in levels else -1
+    got = {r["id"]: r["a.b"] for r in preparation.ordinal_encode(df, "a.b", "a.b", levels).collect()}
+    assert got == {i: float(place(None if i % 5 == 0 else f"w{i % 7}")) for i in range(40)}
+    labels = {r["id"]: r["label"] for r in codes.encode_labels(df, "a.b", classes=levels).collect()}
+    assert labels == {i: None if v < 0 else v for i, v in got.items()}
+    assert preparation.ordinal_encode(df, "a.b", "o", levels).columns == ["id", "a.b", "o"]
