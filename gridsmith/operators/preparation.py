@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 from gridsmith.functions.scalars import as_column, date_parts, missing_to_null, nan_to_null
 from gridsmith.operators.codes import code_table, with_lookup
-from gridsmith.operators.columns import is_numeric, numeric_columns, simple_columns
-from gridsmith.operators.counting import distinct_near, value_counts
+from gridsmith.operators.columns import is_numeric, numeric_columns, simple_columns, stacked
+from gridsmith.operators.counting import distinct_near
 from gridsmith.operators.cumulate import exact_quantiles
+from gridsmith.session import cut_lineage
+
+#: Longer texts are counted as digests.
+WHOLE_TEXT = 64
 
 
 def columns_to_drop(
@@ -72,11 +76,26 @@ def zero_variance_columns(df: DataFrame) -> list[str]:
 
 
 def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent value per column, the smallest on ties; one shuffle for all."""
+    """Most frequent value per column, the smallest on ties; one shuffle for all.
+
+    Long texts are counted as digests. Only if one of them is as frequent as any
+    value is it looked up, by a second scan.
+    """
     if not columns:
         return {}
-    best = value_counts(df, columns).groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
-    return {r["column"]: r["b"]["value"] for r in best.collect()}
+    values = stacked(df.select(*[as_column(c).cast("string").alias(f"{i}") for i, c in enumerate(columns)])).filter(F.col("v").isNotNull())
+    is_long = F.length("v") > WHOLE_TEXT
+    keyed = values.select("i", is_long.alias("is_long"), F.when(is_long, F.sha2("v", 256)).otherwise(F.col("v")).alias("key"), "v")
+    counts = cut_lineage(keyed.groupBy("i", "is_long", "key").agg(F.count(F.lit(1)).alias("n")))
+    most = counts.groupBy("i").agg(F.max("n").alias("n"))
+    tied = counts.join(F.broadcast(most), ["i", "n"])  # one row per column
+    best = {r["i"]: r["v"] for r in tied.filter("not is_long").groupBy("i").agg(F.min("key").alias("v")).collect()}
+    wanted = tied.filter("is_long").select("i", "is_long", "key")
+    if not wanted.isEmpty():
+        found = keyed.filter("is_long").join(wanted, ["i", "is_long", "key"], "left_semi").groupBy("i").agg(F.min("v").alias("v"))
+        for r in found.collect():
+            best[r["i"]] = min(r["v"], best.get(r["i"], r["v"]))
+    return {columns[i]: v for i, v in sorted(best.items())}
 
 
 def imputation_values(

@@ -309,3 +309,13 @@ def test_codes_by_join_and_by_map_agree(spark, monkeypatch, literal):
     labels = {r["id"]: r["label"] for r in codes.encode_labels(df, "a.b", classes=levels).collect()}
     assert labels == {i: None if v < 0 else v for i, v in got.items()}
     assert preparation.ordinal_encode(df, "a.b", "o", levels).columns == ["id", "a.b", "o"]
+
+
+def test_mode_of_long_texts(spark):
+    from gridsmith.operators.preparation import most_frequent
+
+    long_a, long_b = "a" * 500, "b" * 500
+    rows = [(long_b, "x", None, long_a)] * 3 + [(long_a, "y", None, "short")] * 3 + [("z", "y", None, "short")] * 2 + [(None, long_a, None, long_a)] * 2
+    df = spark.createDataFrame(rows, "p string, `q.r` string, s string, t string")
+    assert most_frequent(df, df.columns) == {"p": long_a, "q.r": "y", "t": long_a}
+    assert most_frequent(df.limit(0), ["p"]) == {} == most_frequent(df, [])
