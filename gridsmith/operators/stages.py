@@ -403,6 +403,14 @@ def vector_stages(spark, copies: FeatureCopies, fills: dict, numeric: list, scal
     return stages, names
 
 
+def set_places(df: DataFrame, key: str, features: str) -> DataFrame:
+    """``key, place, value`` for every entry of a vector that is not zero; a sparse vector is never written out in full."""
+    v = F.unwrap_udt(as_column(features))
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    entries = F.arrays_zip(places.alias("place"), v["values"].alias("value"))
+    return df.select(as_column(key), F.inline(entries).alias("place", "value")).filter("value != 0")
+
+
 def pca_stages(df: DataFrame, features: str, out: str, components: int | float) -> list:
     """Centre, then project; a share below 1 keeps the fewest components that explain it."""
     centre = StandardScaler(inputCol=features, outputCol="_vec_centred", withMean=True, withStd=False).fit(df)
