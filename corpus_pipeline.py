@@ -34,8 +34,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest key, NULL behind all others; repeated rows stay together."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies: the smallest key, NULL behind all others; repeated rows stay together.
+
+    Near copies have SimHash fingerprints that link, as in ``op10_simhash``, or at least 0.8 of their shingles in common.
+    """
+    return simhash.drop_near_copies(docs, radius=simhash.RADIUS)
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ COMMON_TEXTS, COMMON = 20_000, 200_000
 #: 64-bit words of the parity sketch of a set; two sets differ in at least as many shingles as their sketches in bits.
 SKETCH = 16
 
-_SET = "doc_id long, tie long, node long, size int, sketch binary, rare array<long>"
+_SET = "doc_id long, tie long, node long, bits long, size int, sketch binary, rare array<long>"
 
 
 def _marks(text: str | None, width: int):
@@ -240,8 +240,8 @@ def common_marks(own: DataFrame, width: int, texts: int = COMMON_TEXTS, limit: i
     return [(r.mark, r.n) for r in seen.filter("n > 1").orderBy(F.desc("n"), "mark").limit(limit).collect()]
 
 
-def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
-    """Each row of ``doc_id, tie, text`` with the name, size and sketch of its set and its rarest shingles.
+def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tuple[int, int]], printed: bool = False) -> DataFrame:
+    """Each row of ``doc_id, tie, text`` with the name, size and sketch of its set and its rarest shingles; if ``printed``, its fingerprint too.
 
     Two sets that are at least ``similarity`` alike share one of those: they are
     one more than a set can lack of another that is so similar, in one order for all.
@@ -265,11 +265,12 @@ def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tupl
                     at[known[np.minimum(at, len(known) - 1)] != signed] = len(known)
                 rarest = np.lexsort((signed, times[at]))[: n - math.ceil(similarity * n - 1e-6) + 1 if n else 0]
                 parity = np.bincount((marks >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
-                out.append((_node(marks), n, np.packbits(parity.astype(np.uint8)).tobytes(), signed[rarest]))
+                bits = _signed(fingerprint(text.as_py())) if printed else None
+                out.append((_node(marks), bits, n, np.packbits(parity.astype(np.uint8)).tobytes(), signed[rarest]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)]
-                + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))],
-                ["doc_id", "tie", "node", "size", "sketch", "rare"],
+                + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))],
+                ["doc_id", "tie", "node", "bits", "size", "sketch", "rare"],
             )
 
     return own.select("doc_id", "tie", "text").mapInArrow(run, _SET)
@@ -360,16 +361,64 @@ def _similar(own: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, simi
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = small_side(sets.join(named, "node", "left_semi").select(F.col("first.doc_id").alias("_first"), F.col("first.tie").alias("_tie")))
     chosen = own.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("tie") == F.col("_tie")), "left_semi")
-    found = shingle_sets(chosen, width).dropDuplicates(["node"])
-    found = saved(found)
-    both = pairs.join(found.withColumnsRenamed({"node": "a", "marks": "p"}), "a").join(found.withColumnsRenamed({"node": "b", "marks": "q"}), "b")
-    common = F.size(F.array_intersect("p", "q"))
-    together = F.size("p") + F.size("q") - common
-    return both.filter(common >= similarity * together).select("a", "b")
+    found = saved(_packed_texts(chosen, width).dropDuplicates(["node"]))
+    both = pairs.join(found.withColumnsRenamed({"node": "a", "blob": "p"}), "a").join(found.withColumnsRenamed({"node": "b", "blob": "q"}), "b")
+
+    def run(batches):
+        import numpy as np
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            alike = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                one, other = (_marks(open_(x.as_py()).decode(), width) for x in (p, q))
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                alike.append(common >= similarity * (len(one) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(np.array(alike, dtype=bool))
+
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _packed_texts(docs: DataFrame, width: int) -> DataFrame:
+    """``node, blob`` of every row of ``text``: the name of its set and the compressed text, which is a fraction of the hashes of its shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(0)]
+            nodes = pa.array([_node(_marks(t, width)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([press(t.encode()) for t in texts], pa.binary())], ["node", "blob"])
+
+    return docs.select("text").mapInArrow(run, "node long, blob binary")
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """``node, mark``: the rows of every rare shingle that several have; of shingles with the same rows one stands for all."""
+    # Marks are dealt out once, to be counted and to be joined.
+    cells = sets.select("node", F.explode("rare").alias("mark")).repartition("mark")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    shared = cells.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1")
+    return cells.join(shared.groupBy("n", "h1", "h2").agg(F.min("mark").alias("mark")).select("mark"), "mark").select("node", "mark")
+
+
+def _linked_sets(held: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect the sets whose texts' fingerprints hang together by at most ``radius`` bits."""
+    placed = held.select("node", "bits").distinct()
+    found = saved(links(placed.select("bits").distinct(), radius, radius + BLOCKS - RADIUS))
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reached = connected_components(ends, found).select(F.col("node").alias("bits"), F.col("component").alias("root"))
+    rooted = placed.join(reached, "bits", "left").select("node", F.coalesce("root", "bits").alias("root"))
+    several = rooted.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    return rooted.join(several, "root").filter("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_rows(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, tile: int = TILE,
+    radius: int | None = None,
 ) -> DataFrame:
     """``doc_id, tie, keep_id, keep_tie`` for the rows that have a near copy; ``tie`` is the hash of the text.
 
@@ -378,19 +427,22 @@ def near_rows(
     pairs are one group; all pairs count. Such sets share one of their rarest
     shingles, so the rows of one of these are a cell. First each row proposes its
     nearest one of another group in every cell, until a round joins nothing;
-    then all pairs of different groups are verified that are left. NULL keys are keys
+    then all pairs of different groups are verified that are left. With a ``radius``
+    texts whose SimHash fingerprints link within so many bits are near copies too:
+    their components come first, and shingles complete them. NULL keys are keys
     like any other, behind all of them; repeated rows share key and text and are
     never copies of themselves.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), text_tie(text).alias("tie"), F.col(text).cast("string").alias("text"))
-    held = saved(prefix_sets(own, width, similarity, common_marks(own, width)))
+    held = saved(prefix_sets(own, width, similarity, common_marks(own, width), radius is not None))
     sets = saved(
         held.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sketch", "rare")])
     )
-    cells = sets.select("node", F.explode("rare").alias("mark"))
-    shared = cells.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    cells = saved(cells.join(shared, "mark"))
+    cells = saved(_cells(sets))
     named = linked = None
+    if radius is not None:
+        linked = saved(_linked_sets(held, radius))
+        named = connected_components(linked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), linked)
     every = False
     while True:
         found = saved(_similar(own, sets, saved(_proposed(cells, sets, named, similarity, tile, every)), width, similarity))

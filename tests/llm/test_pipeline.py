@@ -166,3 +166,31 @@ def test_near_copies_without_keys(spark):
     docs = spark.createDataFrame([(None, text), (None, text + " end"), (5, "something else " * 9), (None, text)], "doc_id long, text string")
     left = [(r["doc_id"], r["text"]) for r in drop_near_copies(docs).collect()]
     assert (5, "something else " * 9) in left and len({t for _, t in left}) == 2
+
+
+def test_near_copies_stage_links_fingerprints(spark):
+    """Fingerprints within four bits link texts that have fewer shingles in common; shingles link others to any member."""
+    from gridsmith.llm.simhash import fingerprint
+
+    base = words(41, 60)
+    many = [[*base[:at], f"y{at}_{k}", *base[at + 1 :]] for at in range(20, 41, 2) for k in range(60)]
+    one = fingerprint(" ".join(base))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, *many)]
+    twice = [[*t[:8], f"z{k}", *t[9:]] for k, t in enumerate(many)]
+    far = next(
+        t for t in twice
+        if (fingerprint(" ".join(t)) ^ one).bit_count() <= 4
+        and len(sets[0] & (s := {tuple(t[i : i + 5]) for i in range(len(t) - 4)})) < 0.8 * len(sets[0] | s)
+    )
+    rows = [(1, " ".join(base)), (2, " ".join(far)), (3, " ".join(words(42, 60))), (4, " ".join([*far[:-1], "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 2, 3]
+
+
+def test_cells_with_the_same_rows_are_told_once(spark):
+    from gridsmith.llm.simhash import _cells
+
+    sets = spark.createDataFrame([(1, [10, 11, 12, 13]), (2, [10, 11, 12]), (3, [12, 14])], "node long, rare array<long>")
+    assert sorted(map(tuple, _cells(sets).collect())) == [(1, 10), (1, 12), (2, 10), (2, 12), (3, 12)]
