@@ -304,26 +304,39 @@ def _split(tiles: DataFrame, k: int, side: float) -> DataFrame:
     return cut.join(settled, "tile", "left_semi")
 
 
+def _comparisons(tiles: DataFrame) -> float:
+    """Pairs of rows that the tiles compare; every tile has rows at home."""
+    home = F.count_if("home").cast("double")
+    each = tiles.groupBy("tile").agg((home * (F.count(F.lit(1)) - home / 2)).alias("pairs"))
+    return each.agg(F.sum("pairs")).first()[0] or 0.0
+
+
 def _tiles(points: DataFrame, width: int, reach: float, per_tile: int) -> DataFrame:
     """``tile, id, home, own``: rows that have to be compared, in tiles of bounded size.
 
     All rows are cut along the first two coordinates, and tiles of more than
-    ``per_tile`` rows along further ones. What is crowded in all coordinates is
-    cut into blocks by hash. ``own`` tells whether the tile's home rows are
+    ``per_tile`` rows along further ones, as long as a cut saves half of the
+    comparisons: where rows are within reach along a coordinate it would only
+    copy visitors. What is crowded then is cut into blocks by hash. ``own`` tells whether the tile's home rows are
     compared with each other too.
     """
     most = min(width, COORDINATES)
     tiles = points.select(F.lit("").alias("tile"), "id", "at", F.lit(True).alias("home"))
-    done = None
+    done = before = None
     for k in range(most):
-        tiles = cut_lineage(_split(tiles, k, reach))
+        cut = cut_lineage(_split(tiles, k, reach))
         if k + 1 < min(2, most):
+            tiles = cut
             continue
+        if before is not None and 2 * _comparisons(cut) > before:
+            break
+        tiles = cut
         large = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > per_tile).select("tile")
         fit = tiles.join(large, "tile", "left_anti").select("tile", "id", "home", F.col("home").alias("own"))
         done = fit if done is None else done.unionByName(fit)
         tiles = cut_lineage(tiles.join(large, "tile", "left_semi"))
-        if tiles.isEmpty():
+        before = _comparisons(tiles)
+        if not before:
             return done
     sizes = tiles.groupBy("tile", "home").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_tile)).alias("blocks"))
     at_home = sizes.filter("home").select("tile", F.col("blocks").alias("_h"))

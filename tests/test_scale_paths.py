@@ -319,3 +319,24 @@ def test_mode_of_long_texts(spark):
     df = spark.createDataFrame(rows, "p string, `q.r` string, s string, t string")
     assert most_frequent(df, df.columns) == {"p": long_a, "q.r": "y", "t": long_a}
     assert most_frequent(df.limit(0), ["p"]) == {} == most_frequent(df, [])
+
+
+def test_tiles_are_not_cut_where_all_rows_are_within_reach(spark):
+    """Cutting along every coordinate would only copy the visitors, again and again."""
+    x = np.random.default_rng(8).normal(0, 0.1, size=(600, 16))
+    points = spark.createDataFrame([(str(i), [float(v) for v in p]) for i, p in enumerate(x)], "id string, at array<double>")
+    tiles = density._tiles(points, 16, 0.3, 100).collect()
+    assert len(tiles) < 60 * len(x)
+    together = {}
+    for r in tiles:
+        together.setdefault(r["tile"], []).append(r)
+    met = set()
+    for rows in together.values():
+        home, guests = [int(r["id"]) for r in rows if r["home"]], [int(r["id"]) for r in rows if not r["home"]]
+        own = next(r["own"] for r in rows if r["home"])
+        found = [(a, b) for a in home for b in guests] + [(a, b) for a in home for b in home if own and a < b]
+        pairs = {(min(p), max(p)) for p in found}
+        assert len(pairs) == len(found) and not pairs & met  # no pair is counted twice
+        met |= pairs
+    near = np.abs(x[:, None] - x[None]).max(axis=2) <= 0.3
+    assert all((i, j) in met for i, j in zip(*np.nonzero(np.triu(near, 1))))
