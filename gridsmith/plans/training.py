@@ -8,6 +8,7 @@ other are submitted together, a bounded number at a time.
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Callable
@@ -32,12 +33,15 @@ from gridsmith.operators.neighbors import knn_predict, smote
 from gridsmith.operators.sampling import SEED, assign_folds, hash_order, train_test_split
 from gridsmith.operators.stages import DecodeLabels, Preprocessor, RestoreLabels
 from gridsmith.plans.catalog import build, search_grid
+from gridsmith.session import cut_lineage
 from gridsmith.sources.runs import RUN_SCHEMA
 
 SCORES = {"classification": "accuracy", "regression": "r2"}
 TRAIN_SHARES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 #: Fits that are submitted at once.
 PARALLEL = 4
+#: Numbers of training rows that one task reads at least, where there are more tasks than cores: 32 MB.
+TASK_CELLS = 4_000_000
 #: Classes up to which a run holds the report of each and the cells of the confusion matrix.
 REPORTED_CLASSES = 100
 
@@ -128,8 +132,12 @@ class TrainingSide:
                 grown = smote(labelled, key, "features", "label", **smote_options)
                 ready = grown.select(as_column(key), array_to_vector("x").alias("features"), "label")
             ready = ready.select(as_column(key), "features", as_column("label").cast("double").alias("label")).dropna(subset=["label"])
-            self.ready = ready.persist()
+            # Learners read these rows once an iteration, and each task of it answers the driver with counters of all
+            # steps that made the rows: they are written once, and dealt to no more tasks than they need.
+            self.ready = cut_lineage(ready)
             self._shape()
+            cores = train.sparkSession.sparkContext.defaultParallelism
+            self.ready = self.ready.coalesce(max(cores, math.ceil(self.rows * (self.width or 1) / TASK_CELLS))).persist()
         finally:
             if own:
                 train.unpersist()

@@ -110,3 +110,15 @@ def test_large_samples_take_no_single_task(spark, monkeypatch):
     small = {r["k"] for r in sampling.sample_rows(df, ["k"], 0.2).collect()}
     monkeypatch.setattr(sampling, "ONE_TASK", 10)
     assert {r["k"] for r in sampling.sample_rows(df, ["k"], 0.2).collect()} == small
+
+
+def test_learners_read_few_tasks_with_a_short_lineage(spark):
+    rows = [(i, float(i % 50), float(i % 2)) for i in range(400)]
+    data = spark.createDataFrame(rows, "id long, a double, label double").repartition(97, "id")
+    side = T.TrainingSide(data, "id", {"numeric": ["a"]}, "classification")
+    try:
+        assert side.ready.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert "Shuffled" not in side.ready._jdf.queryExecution().toRdd().toDebugString()
+        assert side.rows == side.ready.count() == 400
+    finally:
+        side.close()
