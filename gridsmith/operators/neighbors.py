@@ -21,9 +21,10 @@ from gridsmith.operators.sampling import hash_order
 from gridsmith.operators.tiles import as_array
 from gridsmith.session import cut_lineage
 
-# Candidates up to this many numbers (rows times width) are broadcast: 64 MB.
-BROADCAST_CELLS = 8_000_000
-TILE_ROWS = 20_000
+# Candidates up to this many numbers (rows times width) are broadcast; every row meets all of them.
+BROADCAST_CELLS = 80_000
+# A row meets the rows of the tiles it visits and the bounds of all tiles.
+TILE_ROWS = 2_000
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
 MAX_TILES = 200_000
@@ -154,11 +155,16 @@ def _nearest_broadcast(queries, candidates, k, schema):
             yield _search(batch, shared.value, k)
 
     # Written, so that nothing needs the broadcast again once it is destroyed.
-    found = cut_lineage(queries.mapInPandas(search, schema))
+    found = cut_lineage(_spread(queries).mapInPandas(search, schema))
     shared.destroy()
     return found
 
 
+def _spread(queries: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: they are few bytes but much work, which the planner cannot know."""
+    return queries.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def _known(x) -> F.Column:
     """Which coordinates a row has, as a text of ones and zeros."""
     return F.array_join(F.transform(x, lambda v: F.when(F.isnan(v) | v.isNull(), "0").otherwise("1")), "")
@@ -303,21 +309,25 @@ def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
                     })
 
     id_type = queries.schema["id"].dataType.simpleString()
-    routed = cut_lineage(queries.select("id", "x").mapInPandas(route, f"id {id_type}, x array<double>, tile int"))
+    routed = cut_lineage(_spread(queries.select("id", "x")).mapInPandas(route, f"id {id_type}, x array<double>, tile int"))
     visits = routed.groupBy("tile").agg(F.count(F.lit(1)).alias("v")).select(
         "tile", F.ceil(F.col("v") / BLOCK_ROWS).cast("int").alias("blocks")
     )
     # One row per tile, at most MAX_TILES and the salted rest.
-    visits = F.broadcast(spark.createDataFrame(visits.collect(), "tile int, blocks int"))
+    counted = visits.collect()
+    visits = F.broadcast(spark.createDataFrame(counted, "tile int, blocks int"))
     left = routed.join(visits, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     right = tiled.join(visits, "tile").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
+    groups = sum(r["blocks"] for r in counted)
+    tasks = max(1, min(groups, max(8 * spark.sparkContext.defaultParallelism, groups // 64)))
+
     def search(q, t):
         return _search(q, t, k)
 
     return (
-        left.select("id", "x", "tile", "block").groupBy("tile", "block")
-        .cogroup(right.select("id", "x", "payload", "tile", "block").groupBy("tile", "block"))
+        left.select("id", "x", "tile", "block").repartition(tasks, "tile", "block").groupBy("tile", "block")
+        .cogroup(right.select("id", "x", "payload", "tile", "block").repartition(tasks, "tile", "block").groupBy("tile", "block"))
         .applyInPandas(search, schema)
     )
 

@@ -340,3 +340,14 @@ def test_tiles_are_not_cut_where_all_rows_are_within_reach(spark):
         met |= pairs
     near = np.abs(x[:, None] - x[None]).max(axis=2) <= 0.3
     assert all((i, j) in met for i, j in zip(*np.nonzero(np.triu(near, 1))))
+
+
+def test_many_candidates_are_not_sent_to_every_task(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(30_000, 2))
+    t = spark.createDataFrame([(i, p.tolist(), [float(i)]) for i, p in enumerate(points)], "id long, x array<double>, payload array<double>")
+    monkeypatch.setattr(neighbors, "_nearest_broadcast", lambda *a: pytest.fail("all candidates sent to every task"))
+    found = {(r["qid"], r["rank"]): r["tid"] for r in neighbors.nearest(t.filter("id % 1000 = 0").select("id", "x"), t, 3).collect()}
+    for q in range(0, 30_000, 1000):
+        want = np.argsort(((points - points[q]) ** 2).sum(axis=1), kind="stable")[:3]
+        assert [found[q, r] for r in (1, 2, 3)] == want.tolist()
