@@ -9,6 +9,7 @@ for unigram models, and for merge models the best-scored merge again and again.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -23,6 +24,8 @@ FOLDED = 60
 #: Most frequent units of a sample of texts, whose ids every task gets; all others are joined.
 FREQUENT = 200_000
 SAMPLE = 20_000
+#: Texts of a bucket on average, and the fewest buckets: the units of one are held by a task.
+BUCKET_TEXTS, BUCKETS = 2_000, 32
 
 
 @dataclass
@@ -88,14 +91,14 @@ def read_model(path: str) -> Pieces:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit, edges``: all matches of pieces in each unit, and every single character, ordered by rank and place."""
+    """``unit, edges``: all matches of pieces in each unit, and every single character, ordered by rank and place; other columns stay."""
     spark = units.sparkSession
     rows = [(t, i, float(pieces.scores[i])) for t, i in pieces.usable.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # as long as the vocabulary
     longest = max((len(t) for t in pieces.usable), default=1)
-    n = F.char_length("unit")
-    starts = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("n")))).alias("e"))
+    n, kept = F.char_length("unit"), [c for c in units.columns if c != "unit"]
+    starts = units.select("unit", *kept, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("unit", *kept, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("n")))).alias("e"))
     spans = spans.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("e") - F.col("s")))
     met = spans.join(table, "piece", "left").filter("id is not null or e - s = 1")
     least = min((pieces.scores[i] for i in pieces.usable.values()), default=0.0)
@@ -115,7 +118,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
         (-score).alias("rank"), "s", "e", bit(F.col("s")).bitwiseOR(bit(F.col("e"))).alias("ends"), inner.alias("inner"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"), score.alias("score"),
     )
-    return met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in kept])
 
 
 def fold_merges(edges: Column, n: Column) -> Column:
@@ -206,10 +209,12 @@ def viterbi_long(unit: str, pieces: Pieces) -> list[int]:
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit, ids`` for distinct units. Rows already dealt out by unit are not shuffled again."""
-    n = F.char_length("unit")
+    """``unit, ids`` for distinct units, with their other columns. Rows already dealt out by unit are not shuffled again."""
+    n = F.col("n") if "n" in units.columns else F.char_length("unit")
+    others = [f for f in units.schema.fields if f.name not in ("unit", "n")]
+    kept = [f.name for f in others]
     fold = fold_viterbi if pieces.unigram else fold_merges
-    short = lattice(units.filter(n.between(1, FOLDED)), pieces).select("unit", fold(F.col("edges"), n).alias("ids"))
+    short = lattice(units.filter(n.between(1, FOLDED)).select("unit", *kept), pieces).select("unit", *kept, fold(F.col("edges"), F.char_length("unit")).alias("ids"))
     shared = units.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
@@ -218,27 +223,28 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         encode = viterbi_long if shared.value.unigram else merge_long
         for batch in batches:
             ids = [encode(u, shared.value) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["unit", *kept, "ids"])
 
-    return short.unionByName(units.filter(n > FOLDED).select("unit").mapInArrow(run, "unit string, ids array<int>"))
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    return short.unionByName(units.filter(n > FOLDED).select("unit", *kept).mapInArrow(run, f"unit string{schema}, ids array<int>"))
 
 
-def _unit_rows(texts: DataFrame, pieces: Pieces, frequent) -> DataFrame:
-    """``doc_id, mark, unit, at`` for the different units of each text that are not frequent, numbered by first occurrence."""
+def _unit_rows(texts: DataFrame, pieces: Pieces, frequent, merged: bool = False) -> DataFrame:
+    """``bucket, unit`` for the different units of each text of ``bucket, text`` that are not frequent; if ``merged``, once for the texts of a bucket that lie together."""
 
     def run(batches):
         import pyarrow as pa
 
         known, (split, prepared) = frequent.value, (pieces.splitter().findall, pieces.prepared)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rare = dict.fromkeys(u for u in split(prepared(text.as_py())) if u not in known)
-                out += [(doc, mark, u, i) for i, u in enumerate(rare)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], ["doc_id", "mark", "unit", "at"])
+            found: dict[int, list[str]] = {}
+            for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.setdefault(bucket, []).extend({u for u in split(prepared(text.as_py())) if u not in known})
+            for bucket, units in found.items():
+                units = sorted(set(units) if merged else units)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(units), pa.int32()), pa.array(units, pa.string())], ["bucket", "unit"])
 
-    return texts.mapInArrow(run, "doc_id long, mark long, unit string, at int")
+    return texts.select("bucket", "text").mapInArrow(run, "bucket int, unit string")
 
 
 def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
@@ -247,62 +253,85 @@ def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str
     ``ids`` are those the SentencePiece library gives, and ``round_trip`` tells
     whether they decode to the text. NULL and empty texts have no ids. Which
     units count as frequent is told by a sample of the texts and changes the
-    speed only. Repeated rows and NULL keys are rows like any other.
+    speed only. Repeated rows and NULL keys are rows like any other. Texts are
+    dealt into buckets by key and content; a bucket's texts meet the ids of its
+    units, each once, in one task.
     """
     spark = docs.sparkSession
-    own = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    )
-    share = min(1.0, sample / max(1, own.count()))
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), value).alias("mark"), value.alias("text"))
+    rows = own.count()
+    share = min(1.0, sample / max(1, rows))
+    own = own.withColumn("bucket", F.pmod("mark", F.lit(max(BUCKETS, math.ceil(rows / BUCKET_TEXTS)))).cast("int"))
     nothing = spark.sparkContext.broadcast(frozenset())
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", "mark", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = own.filter(F.pmod(F.xxhash64("mark", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     counted = _unit_rows(drawn, pieces, nothing).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "unit").limit(frequent).select("unit")
-    known = spark.sparkContext.broadcast({r.unit: tuple(r.ids) for r in encode_units(saved(top), pieces).toLocalIterator()})
+    known = spark.sparkContext.broadcast({r.unit: tuple(r.ids) for r in encode_units(saved(top).repartition("unit"), pieces).toLocalIterator()})
+
+    # The length is an aggregate, so the short and the long units read one shuffle.
+    rare = _unit_rows(own, pieces, known, merged=True).repartition("unit")
+    units = rare.groupBy("unit").agg(F.collect_set("bucket").alias("buckets"), F.max(F.char_length("unit")).alias("n"))
+    encoded = encode_units(units, pieces).select("buckets", "unit", "ids")
+
+    def dealt(batches):
+        import json
 
-    rare = _unit_rows(own, pieces, known).repartition("unit")
-    encoded = encode_units(rare.select("unit").distinct(), pieces)
-    found = rare.join(encoded, "unit").select("doc_id", "mark", F.struct("at", "ids").alias("part"), F.lit(None).cast("binary").alias("blob"))
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            told: dict[int, list] = {}
+            for buckets, unit, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bucket in buckets:
+                    told.setdefault(bucket, []).append((unit, ids))
+            blobs = [press(json.dumps(dict(x), ensure_ascii=False, separators=(",", ":")).encode()) for x in told.values()]
+            none = pa.nulls(len(told), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array([False] * len(told)), none, pa.array(blobs, pa.binary())], ["bucket", "is_text", "doc_id", "blob"])
 
     def packed(batches):
         import pyarrow as pa
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=6)
+        press = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            blobs = [press.compress(t.as_py().encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["doc_id", "mark", "blob"])
+            blobs = [press(t.as_py().encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * len(blobs)), batch.column(1), pa.array(blobs, pa.binary())], ["bucket", "is_text", "doc_id", "blob"])
 
-    texts = own.mapInArrow(packed, "doc_id long, mark long, blob binary").select("doc_id", "mark", F.lit(None).cast("struct<at: int, ids: array<int>>").alias("part"), "blob")
-    together = found.unionByName(texts).groupBy("doc_id", "mark").agg(
-        F.collect_list("part").alias("parts"), F.first("blob", ignorenulls=True).alias("blob"), F.count("blob").alias("rows")
-    )
+    schema = "bucket int, is_text boolean, doc_id long, blob binary"
+    texts = own.select("bucket", "doc_id", "text").mapInArrow(packed, schema)
+    together = encoded.mapInArrow(dealt, schema).unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "is_text", "doc_id")
 
     def assembled(batches):
+        import json
+
         import pyarrow as pa
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
         split, ids_of, written = pieces.splitter().findall, known.value, pieces.written()
+        at, here, last, done = None, {}, None, ([], True)
         for batch in batches:
             out = []
-            for parts, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = open_(blob).decode()
-                rare = {p["at"]: p["ids"] for p in parts}
-                place: dict[str, int] = {}
-                ids: list[int] = []
-                for unit in split(pieces.prepared(text)):
-                    if (got := ids_of.get(unit)) is None:
-                        # Repeated rows bring their units again; they have the same numbers.
-                        got = rare[place.setdefault(unit, len(place))]
-                    ids += got
-                out.append((ids, pieces.decode(ids, written) == text))
+            for bucket, is_text, doc, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at:
+                    at, here, last = bucket, {}, None
+                if not is_text:
+                    here.update(json.loads(open_(blob)))
+                    continue
+                if blob != last:
+                    whole = open_(blob).decode()
+                    ids: list[int] = []
+                    for unit in split(pieces.prepared(whole)):
+                        ids += here[unit] if (got := ids_of.get(unit)) is None else got
+                    last, done = blob, (ids, pieces.decode(ids, written) == whole)
+                out.append((doc, *done))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.bool_()), batch.column(3)], ["doc_id", "ids", "round_trip", "rows"]
+                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.bool_()))], ["doc_id", "ids", "round_trip"]
             )
 
-    done = together.select("doc_id", "parts", "blob", "rows").mapInArrow(assembled, "doc_id long, ids array<int>, round_trip boolean, rows long")
-    each = done.select("doc_id", "ids", "round_trip", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row"))
+    each = together.mapInArrow(assembled, "doc_id long, ids array<int>, round_trip boolean")
     return each.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -66,3 +66,13 @@ def test_unigram_paths_are_the_best(spark):
         assert abs(score(ids) - best(unit)) < 1e-9
         if "x" not in unit:
             assert "".join(pieces.texts[i] for i in ids) == unit
+
+
+def test_units_are_shuffled_once_for_short_and_long_ones(spark):
+    pieces = Pieces(["<unk>", "a", "b", "ab"], [0.0, -1.0, -2.0, -0.5], [2, 1, 1, 1])
+    docs = spark.createDataFrame([(i, "ab " * (i % 3) + "b" * (70 if i % 5 == 0 else 3)) for i in range(40)] + [(7, "ab"), (7, "ab"), (None, None)], "doc_id long, text string")
+    out = encode_texts(docs, pieces, frequent=1)
+    rows = out.collect()
+    assert len(rows) == 43 and all(r.round_trip or pieces.unknown in r.ids for r in rows)
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
