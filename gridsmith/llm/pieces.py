@@ -26,6 +26,10 @@ FREQUENT = 200_000
 SAMPLE = 20_000
 #: Texts of a bucket on average, and the fewest buckets: the units of one are held by a task.
 BUCKET_TEXTS, BUCKETS = 2_000, 32
+#: Bytes of text whose rare units share a partition: the edges of their lattices stay in a task's memory instead of being spilled.
+UNIT_BYTES = 2_000_000
+#: Ids that are handed on together: a task never holds those of all its texts.
+HANDED_IDS = 300_000
 
 
 @dataclass
@@ -247,7 +251,9 @@ def _unit_rows(texts: DataFrame, pieces: Pieces, frequent, merged: bool = False)
     return texts.select("bucket", "text").mapInArrow(run, "bucket int, unit string")
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE, unit_bytes: int = UNIT_BYTES,
+) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id, n_tokens, ids, round_trip``.
 
     ``ids`` are those the SentencePiece library gives, and ``round_trip`` tells
@@ -260,7 +266,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str
     spark = docs.sparkSession
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), value).alias("mark"), value.alias("text"))
-    rows = own.count()
+    rows, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     share = min(1.0, sample / max(1, rows))
     own = own.withColumn("bucket", F.pmod("mark", F.lit(max(BUCKETS, math.ceil(rows / BUCKET_TEXTS)))).cast("int"))
     nothing = spark.sparkContext.broadcast(frozenset())
@@ -270,7 +276,8 @@ def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str
     known = spark.sparkContext.broadcast({r.unit: tuple(r.ids) for r in encode_units(saved(top).repartition("unit"), pieces).toLocalIterator()})
 
     # The length is an aggregate, so the short and the long units read one shuffle.
-    rare = _unit_rows(own, pieces, known, merged=True).repartition("unit")
+    # A number given is not coalesced, so the edges of a partition are bounded whatever the size of the table.
+    rare = _unit_rows(own, pieces, known, merged=True).repartition(max(1, math.ceil(size / unit_bytes)), "unit")
     units = rare.groupBy("unit").agg(F.collect_set("bucket").alias("buckets"), F.max(F.char_length("unit")).alias("n"))
     encoded = encode_units(units, pieces).select("buckets", "unit", "ids")
 
@@ -312,8 +319,14 @@ def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str
         open_ = zstandard.ZstdDecompressor().decompress
         split, ids_of, written = pieces.splitter().findall, known.value, pieces.written()
         at, here, last, done = None, {}, None, ([], True)
+
+        def handed(out):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.bool_()))], ["doc_id", "ids", "round_trip"]
+            )
+
         for batch in batches:
-            out = []
+            out, held = [], 0
             for bucket, is_text, doc, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     at, here, last = bucket, {}, None
@@ -327,9 +340,11 @@ def encode_texts(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str
                         ids += here[unit] if (got := ids_of.get(unit)) is None else got
                     last, done = blob, (ids, pieces.decode(ids, written) == whole)
                 out.append((doc, *done))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.int32()), pa.bool_()))], ["doc_id", "ids", "round_trip"]
-            )
+                held += len(done[0])
+                if held >= HANDED_IDS:
+                    yield handed(out)
+                    out, held = [], 0
+            yield handed(out)
 
     each = together.mapInArrow(assembled, "doc_id long, ids array<int>, round_trip boolean")
     return each.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

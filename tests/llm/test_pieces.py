@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,14 @@ def test_units_are_shuffled_once_for_short_and_long_ones(spark):
     assert len(rows) == 43 and all(r.round_trip or pieces.unknown in r.ids for r in rows)
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
+
+
+def test_units_are_dealt_into_more_partitions_for_more_text(spark):
+    pieces = Pieces(["<unk>", "a", "b", "ab"], [0.0, -1.0, -2.0, -0.5], [2, 1, 1, 1])
+    docs = spark.createDataFrame([(i, "ab" * (i + 1) + " " + "ba" * 45) for i in range(30)] + [(30, None)], "doc_id long, text string")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    one, many = (encode_texts(docs, pieces, frequent=1, unit_bytes=n) for n in (10**9, 500))
+    assert sorted(one.collect()) == sorted(many.collect())
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # Spark never coalesces a repartition by a given number.
+    assert re.search(rf"hashpartitioning\(unit#\d+, {-(-size // 500)}\), REPARTITION_BY_NUM", plan)
