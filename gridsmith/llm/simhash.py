@@ -439,7 +439,7 @@ def near_rows(
         held.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("first"), *[F.first(c).alias(c) for c in ("size", "sketch", "rare")])
     )
     cells = saved(_cells(sets))
-    named = linked = None
+    named = None
     if radius is not None:
         linked = saved(_linked_sets(held, radius))
         named = connected_components(linked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), linked)
@@ -447,10 +447,12 @@ def near_rows(
     while True:
         found = saved(_similar(own, sets, saved(_proposed(cells, sets, named, similarity, tile, every)), width, similarity))
         new = not found.isEmpty()
-        if new or linked is None:
-            linked = found if linked is None else linked.unionByName(found)
-            nodes = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            named = connected_components(nodes, linked)
+        if new or named is None:
+            # One link per row stands for all that made its component.
+            if named is not None:
+                found = found.unionByName(named.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+            nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            named = connected_components(nodes, found)
         if every:
             break
         every = not new

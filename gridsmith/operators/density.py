@@ -238,30 +238,29 @@ def _exact_links(core: DataFrame, pairs: DataFrame, side: float, eps: float, met
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node name each node can reach.
 
-    Every round takes the smallest label among neighbours and then the label of
-    that label, so long chains shorten by halves. Rounds are written to the
-    checkpoint folder.
+    Every round lets each node point at its smallest neighbour, follows the
+    pointers to their ends by halves, and goes on with the links between
+    different ends only, so a link inside a group is joined in one round. Rounds
+    are written to the checkpoint folder.
     """
-    both = cut_lineage(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
-    labels = nodes.select("node", F.col("node").alias("component"))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("_n")).agg(
-            F.min("component").alias("_m")
-        )
-        stepped = labels.join(seen, F.col("node") == F.col("_n"), "left").select(
-            "node", F.least("component", "_m").alias("component"), F.col("component").alias("old")
-        )
-        stepped = cut_lineage(stepped)
-        jump = stepped.select(F.col("node").alias("_n"), F.col("component").alias("_m"))
-        jumped = stepped.join(jump, F.col("component") == F.col("_n"), "left").select(
-            "node", F.least("component", "_m").alias("component"), "old"
-        )
-        labels = cut_lineage(jumped)
-        if labels.filter(F.col("component") != F.col("old")).isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+    links = cut_lineage(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = nodes.select("node", F.col("node").alias("component"))
+    while not links.isEmpty():
+        sides = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("by")), F.struct(F.col("b").alias("node"), F.col("a").alias("by"))))
+        near = links.select(sides.alias("_s")).select("_s.*").groupBy("node").agg(F.min("by").alias("by"))
+        heads = cut_lineage(near.select("node", F.least("node", "by").alias("head")))
+        while True:
+            up = heads.select(F.col("node").alias("_n"), F.col("head").alias("_h"))
+            stepped = cut_lineage(heads.join(up, F.col("head") == F.col("_n")).select("node", F.col("_h").alias("head"), F.col("head").alias("old")))
+            heads = stepped.select("node", "head")
+            if stepped.filter(F.col("head") != F.col("old")).isEmpty():
+                break
+        ends = heads.select(F.col("node").alias("_n"), F.col("head").alias("_h"))
+        named = cut_lineage(named.join(ends, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_h", "component").alias("component")))
+        left = links.join(ends, F.col("a") == F.col("_n")).select(F.col("_h").alias("a"), "b")
+        left = left.join(ends, F.col("b") == F.col("_n")).select("a", F.col("_h").alias("b")).filter("a != b")
+        links = cut_lineage(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return named
 
 
 def _placed(points: DataFrame, width: int, metric: str) -> DataFrame:

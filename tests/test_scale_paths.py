@@ -1,5 +1,7 @@
 """The routes large tables take, forced on small ones and checked by brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +353,30 @@ def test_many_candidates_are_not_sent_to_every_task(spark, monkeypatch):
     for q in range(0, 30_000, 1000):
         want = np.argsort(((points - points[q]) ** 2).sum(axis=1), kind="stable")[:3]
         assert [found[q, r] for r in (1, 2, 3)] == want.tolist()
+
+
+def test_a_link_inside_a_component_is_joined_in_one_round(spark, monkeypatch):
+    rng = random.Random(4)
+    # A long chain in ascending order, and a group in which many pairs are linked.
+    links = [(i, i + 1) for i in range(300)] + [(rng.randint(1000, 1099), rng.randint(1000, 1099)) for _ in range(900)] + [(None, 5), (2000, 2000)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    nodes = spark.createDataFrame([(n,) for n in [*range(301), *range(1000, 1100), 2000, 3000, None]], "node long")
+    joined = []
+    kind = type(edges)
+    plain = kind.join
+
+    def watched(self, *args, **kwargs):
+        if "b" in self.columns:
+            joined.append(self.count())
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "join", watched)
+    found = {r.node: r.component for r in density.connected_components(nodes, edges).collect()}
+    expected = {n: 0 if n < 301 else n for n in [*range(301), 2000, 3000]}
+    root = {n: n for n in range(1000, 1100)}
+    for _ in root:
+        for a, b in links:
+            if a is not None and 1000 <= a < 1100:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found == expected | root | {None: None}
+    assert sum(joined) <= 4 * len(links)
