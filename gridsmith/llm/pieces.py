@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding as joins over a lattice of pieces.
 
 Texts fall into units that no piece reaches across. The bounded-length
-substrings of every different unit are joined to the piece table; the matches
-are the edges of the unit's lattice, which a fold over an array walks: Viterbi
-for unigram models, and for merge models the best-scored merge again and again.
+substrings of every different unit meet the piece table, which every task has;
+the matches are the edges of the unit's lattice, which a fold over an array walks:
+Viterbi for unigram models, and for merge models the best-scored merge again and again.
 """
 
 from __future__ import annotations
@@ -95,34 +95,53 @@ def read_model(path: str) -> Pieces:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit, edges``: all matches of pieces in each unit, and every single character, ordered by rank and place; other columns stay."""
-    spark = units.sparkSession
-    rows = [(t, i, float(pieces.scores[i])) for t, i in pieces.usable.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # as long as the vocabulary
+    """``unit, edges``: all matches of pieces in each unit, and every single character, ordered by rank and place; other columns stay.
+
+    Every task has the piece table, so its matches are met inside a unit: one row goes in and out, whatever its length.
+    """
+    others = [f for f in units.schema.fields if f.name != "unit"]
+    shared = units.sparkSession.sparkContext.broadcast(pieces)  # as long as the vocabulary
     longest = max((len(t) for t in pieces.usable), default=1)
-    n, kept = F.char_length("unit"), [c for c in units.columns if c != "unit"]
-    starts = units.select("unit", *kept, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("unit", *kept, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("n")))).alias("e"))
-    spans = spans.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("e") - F.col("s")))
-    met = spans.join(table, "piece", "left").filter("id is not null or e - s = 1")
     least = min((pieces.scores[i] for i in pieces.usable.values()), default=0.0)
-    if len(pieces.bytes_from) == 256:
-        places = F.array(*[F.lit(pieces.bytes_from[b]) for b in range(256)])
-        code = F.hex(F.encode("piece", "utf-8"))
-        fallback = F.transform(
-            F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.element_at(places, F.conv(F.substr(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1)
-        )
-    else:
-        fallback = F.array(F.lit(pieces.unknown))
-    one = F.lit(1).cast("long")
-    bit = lambda at: F.call_function("shiftleft", one, at)
-    inner = F.when(F.col("e") - F.col("s") > 1, bit(F.col("e")) - bit(F.col("s") + 1)).otherwise(F.lit(0).cast("long"))
-    score = F.coalesce("score", F.lit(least - 10.0))
-    edge = F.struct(
-        (-score).alias("rank"), "s", "e", bit(F.col("s")).bitwiseOR(bit(F.col("e"))).alias("ends"), inner.alias("inner"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"), score.alias("score"),
-    )
-    return met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in kept])
+
+    def run(batches):
+        import pyarrow as pa
+
+        table, scores, fallback = shared.value.usable, shared.value.scores, shared.value.fallback
+        kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, pa.float64())
+        for batch in batches:
+            ends, id_ends, found = [0], [0], [[] for _ in kinds]
+            rank, starts, stops, cuts, inner, ids, worth = found
+            for unit in batch.column(0).to_pylist():
+                n = len(unit)
+                for s in range(n):
+                    for e in range(s + 1, min(s + longest, n) + 1):
+                        at = table.get(unit[s:e])
+                        if at is None and e > s + 1:
+                            continue
+                        score = least - 10.0 if at is None else float(scores[at])
+                        ids.extend(fallback(unit[s]) if at is None else (at,))
+                        id_ends.append(len(ids))
+                        rank.append(-score)
+                        starts.append(s)
+                        stops.append(e)
+                        cuts.append(1 << s | 1 << e)
+                        inner.append((1 << e) - (1 << s + 1) if e > s + 1 else 0)
+                        worth.append(score)
+                ends.append(len(rank))
+            told = [
+                pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(ids, pa.int32())) if kind is None else pa.array(values, kind)
+                for values, kind in zip(found, kinds, strict=True)
+            ]
+            edges = pa.StructArray.from_arrays(told, ["rank", "s", "e", "ends", "inner", "ids", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), edges)], [*batch.schema.names, "edges"]
+            )
+
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    edge = "rank double, s int, e int, ends long, inner long, ids array<int>, score double"
+    met = units.select("unit", *[f.name for f in others]).mapInArrow(run, f"unit string{schema}, edges array<struct<{edge}>>")
+    return met.withColumn("edges", F.array_sort("edges"))
 
 
 def fold_merges(edges: Column, n: Column) -> Column:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.llm.pieces import Pieces, decode_texts, encode_texts, encode_units, read_model
+from gridsmith.llm.pieces import Pieces, decode_texts, encode_texts, encode_units, lattice, read_model
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TEXTS = [
@@ -88,3 +88,18 @@ def test_units_are_dealt_into_more_partitions_for_more_text(spark):
     plan = many._jdf.queryExecution().executedPlan().toString()
     # Spark never coalesces a repartition by a given number.
     assert re.search(rf"hashpartitioning\(unit#\d+, {-(-size // 500)}\), REPARTITION_BY_NUM", plan)
+
+
+def test_matches_stay_inside_the_row_of_their_unit(spark):
+    pieces = Pieces(["<unk>", "a", "b", "ab", "ba"], [0.0, -1.0, -2.0, -0.5, -0.7], [2, 1, 1, 1, 1])
+    units = spark.createDataFrame([("ab" * 30, 1), ("x", 2), ("aéb", None)], "unit string, n_docs int")
+    met = lattice(units, pieces)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Exchange" not in plan
+    rows = {r.unit: r for r in met.collect()}
+    assert {u: r.n_docs for u, r in rows.items()} == {"ab" * 30: 1, "x": 2, "aéb": None}
+    assert len(rows["ab" * 30].edges) == 60 + 59
+    assert [(e.s, e.e, e.ends, e.inner, e.ids, e.score) for e in rows["aéb"].edges] == [
+        (0, 1, 3, 0, [1], -1.0), (2, 3, 12, 0, [2], -2.0), (1, 2, 6, 0, [0], -12.0),
+    ]
+    assert [(e.s, e.e, e.inner) for e in rows["ab" * 30].edges[:2]] == [(0, 2, 2), (2, 4, 8)]
