@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions.scalars import as_column
 from gridsmith.operators.tiles import ROWS_PER_BLOCK, as_array, block_count, compare_blocks
 
+#: Blocks of points grow up to this many times their rows, as long as there are so many blocks.
+WIDEST, MANY_BLOCKS = 4, 32
+#: Points whose distances a task takes at once, and from how many others.
+PAIRS_HIGH, PAIRS_WIDE = 32, 4096
 MIN_CLUSTER_ROWS = 5
 MIN_ROWS = 10
 
@@ -123,7 +129,9 @@ def silhouette_points(
         as_column(key).alias("key"), as_column(label).cast("bigint").alias("c"), as_array(df, features).alias("x")
     ).filter(F.col("c") >= 0)
     sizes = points.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    blocks = block_count(points.count(), rows_per_block)
+    n = points.count()
+    # Rows are sent to every block; blocks of a large table hold more of them, up to a bound.
+    blocks = block_count(n, max(rows_per_block, min(WIDEST * rows_per_block, math.ceil(n / MANY_BLOCKS))))
 
     def sums(a, b):
         import numpy as np
@@ -136,13 +144,20 @@ def silhouette_points(
         found, place = np.unique(labels, return_inverse=True)
         onehot = np.zeros((len(labels), len(found)))
         onehot[np.arange(len(labels)), place] = 1.0
-        parts = []
-        for start in range(0, len(x), 512):
-            gap = np.zeros((min(512, len(x) - start), len(y)))
-            for i in range(x.shape[1]):
-                gap += (x[start : start + 512, i : i + 1] - y[None, :, i]) ** 2
-            parts.append(np.sqrt(gap) @ onehot)
-        total = np.vstack(parts)
+        total = np.zeros((len(x), len(found)))
+        columns = np.ascontiguousarray(y.T)
+        # Squares of so few pairs at a time stay in the processor's cache.
+        for first in range(0, len(y), PAIRS_WIDE):
+            near, some = columns[:, first : first + PAIRS_WIDE], onehot[first : first + PAIRS_WIDE]
+            step = np.empty((PAIRS_HIGH, near.shape[1]))
+            for start in range(0, len(x), PAIRS_HIGH):
+                mine = x[start : start + PAIRS_HIGH]
+                gap, apart = np.zeros((len(mine), near.shape[1])), step[: len(mine)]
+                for i in range(x.shape[1]):
+                    np.subtract(mine[:, i : i + 1], near[i], out=apart)
+                    np.multiply(apart, apart, out=apart)
+                    np.add(gap, apart, out=gap)
+                total[start : start + PAIRS_HIGH] += np.sqrt(gap, out=gap) @ some
         return pd.DataFrame(
             {
                 "key": np.repeat(a["key"].to_numpy(), len(found)),

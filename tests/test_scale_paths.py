@@ -380,3 +380,30 @@ def test_a_link_inside_a_component_is_joined_in_one_round(spark, monkeypatch):
                 root[a] = root[b] = min(root[a], root[b])
     assert found == expected | root | {None: None}
     assert sum(joined) <= 4 * len(links)
+
+
+def test_silhouette_blocks_of_a_large_table_hold_more_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)) + np.arange(400)[:, None] % 3
+    df = spark.createDataFrame([(i, v.tolist(), i % 4 - 1) for i, v in enumerate(x)], "id long, x array<double>, cluster long")
+    counts = []
+    plain = cluster_metrics.compare_blocks
+
+    def watched(left, right, key, left_blocks, right_blocks, *more):
+        counts.append((left_blocks, right_blocks))
+        return plain(left, right, key, left_blocks, right_blocks, *more)
+
+    monkeypatch.setattr(cluster_metrics, "compare_blocks", watched)
+    monkeypatch.setattr(cluster_metrics, "MANY_BLOCKS", 4)
+    monkeypatch.setattr(cluster_metrics, "PAIRS_WIDE", 30)
+    small = {r.id: r.silhouette for r in cluster_metrics.silhouette_points(df, "id", "x", rows_per_block=20).collect()}
+    whole = {r.id: r.silhouette for r in cluster_metrics.silhouette_points(df, "id", "x").collect()}
+    # 300 points without noise: blocks of 75 rows, where those of 20 rows made 15.
+    assert counts == [(4, 4), (1, 1)]
+    assert small.keys() == whole.keys() and all(abs(small[k] - whole[k]) < 1e-12 for k in whole)
+    clustered = {i: [j for j in range(400) if j % 4 == i] for i in (1, 2, 3)}
+    for k in (1, 6, 399):
+        away = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        a = away[clustered[k % 4]].sum() / (len(clustered[k % 4]) - 1)
+        b = min(away[rows].mean() for c, rows in clustered.items() if c != k % 4)
+        assert abs(whole[k] - (b - a) / max(a, b)) < 1e-12
