@@ -11,7 +11,8 @@ returns a spanning forest of its links, not its pairs.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections import OrderedDict
+from itertools import combinations, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,32 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def _digests(words: list[bytes], width: int, repeats: bool = True):
+    """XXH64 values of the shingles, as ``shingles`` gives them, in one big-endian array."""
+    import numpy as np
+    import xxhash
+
+    found = shingles(words, width) if len(words) <= width else map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, found if repeats else set(found), repeat(42))), dtype=">u8")
+
+
 def fingerprint(text: str | None, width: int = WIDTH, repeats: bool = True) -> int:
     """64 bits, each set if it is set in over half the XXH64 values of the shingles; no word gives zero.
 
     Without ``repeats`` a shingle that occurs again does not count again.
     """
+    return _fingerprint(words_of(text), width, repeats)
+
+
+def _fingerprint(words: list[bytes], width: int = WIDTH, repeats: bool = True) -> int:
     import numpy as np
-    import xxhash
 
-    found = shingles(words_of(text), width)
-    values = [xxhash.xxh64_intdigest(s, 42) for s in (found if repeats else set(found))]
-    if not values:
+    values = _digests(words, width, repeats)
+    if not len(values):
         return 0
     votes = np.zeros(64, dtype=np.int64)
     for start in range(0, len(values), 65_536):
-        part = np.array(values[start : start + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
+        part = values[start : start + 65_536].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(values)).tobytes(), "big")
 
@@ -196,18 +208,19 @@ def simhash_components(
 NEAR_WIDTH, SIMILARITY = 5, 0.8
 #: Texts drawn to learn which shingles are common, and how many of those are told to every task. They only balance the work.
 COMMON_TEXTS, COMMON = 20_000, 200_000
+#: Sets of shingles that a task keeps while it verifies pairs.
+HELD = 64
 #: 64-bit words of the parity sketch of a set; two sets differ in at least as many shingles as their sketches in bits.
 SKETCH = 16
 
 _SET = "doc_id long, tie long, node long, bits long, size int, sketch binary, rare array<long>"
 
 
-def _marks(text: str | None, width: int):
-    """The different shingles of ``text`` as ascending 64-bit hashes."""
+def _marks(words: list[bytes], width: int):
+    """The different shingles of a text's ``words`` as ascending 64-bit hashes."""
     import numpy as np
-    import xxhash
 
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words_of(text), width)], dtype=np.uint64))
+    return np.unique(_digests(words, width).astype(np.uint64))
 
 
 def _node(marks) -> int:
@@ -225,7 +238,7 @@ def shingle_sets(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            marks = [_marks(t.as_py(), width) for t in batch.column(0)]
+            marks = [_marks(words_of(t.as_py()), width) for t in batch.column(0)]
             nodes = pa.array([_node(m) for m in marks], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([m.view(np.int64) for m in marks], pa.list_(pa.int64()))], ["node", "marks"])
 
@@ -257,7 +270,8 @@ def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tupl
         for batch in batches:
             out = []
             for text in batch.column(2):
-                marks = _marks(text.as_py(), width)
+                words = words_of(text.as_py())
+                marks = _marks(words, width)
                 n = len(marks)
                 signed = marks.view(np.int64)
                 at = np.searchsorted(known, signed)
@@ -265,7 +279,7 @@ def prefix_sets(own: DataFrame, width: int, similarity: float, common: list[tupl
                     at[known[np.minimum(at, len(known) - 1)] != signed] = len(known)
                 rarest = np.lexsort((signed, times[at]))[: n - math.ceil(similarity * n - 1e-6) + 1 if n else 0]
                 parity = np.bincount((marks >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
-                bits = _signed(fingerprint(text.as_py())) if printed else None
+                bits = _signed(_fingerprint(words)) if printed else None
                 out.append((_node(marks), bits, n, np.packbits(parity.astype(np.uint8)).tobytes(), signed[rarest]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)]
@@ -359,20 +373,36 @@ def _proposed(cells: DataFrame, sets: DataFrame, named: DataFrame | None, simila
 def _similar(own: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose sets of shingles are similar enough."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = small_side(sets.join(named, "node", "left_semi").select(F.col("first.doc_id").alias("_first"), F.col("first.tie").alias("_tie")))
-    chosen = own.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("tie") == F.col("_tie")), "left_semi")
-    found = saved(_packed_texts(chosen, width).dropDuplicates(["node"]))
-    both = pairs.join(found.withColumnsRenamed({"node": "a", "blob": "p"}), "a").join(found.withColumnsRenamed({"node": "b", "blob": "q"}), "b")
+    first = small_side(sets.join(named, "node", "left_semi").select("node", F.col("first.doc_id").alias("_first"), F.col("first.tie").alias("_tie")))
+    chosen = own.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("tie") == F.col("_tie"))).select("node", "text")
+    found = saved(_packed_texts(chosen).dropDuplicates(["node"]))
+    # Pairs are few bytes but much work, which the planner cannot know: they are dealt to all cores.
+    spark = own.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    half = pairs.join(found.withColumnsRenamed({"node": "a", "blob": "p"}), "a").repartition(parts, "b")
+    both = half.join(found.withColumnsRenamed({"node": "b", "blob": "q"}).repartition(parts, "b"), "b")
 
     def run(batches):
         import numpy as np
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
+        held = OrderedDict()
+
+        def marks(node, blob):
+            # A text meets several others one after the other.
+            if node in held:
+                held.move_to_end(node)
+                return held[node]
+            found = held[node] = _marks(words_of(open_(blob.as_py()).decode()), width)
+            if len(held) > HELD:
+                held.popitem(last=False)
+            return found
+
         for batch in batches:
             alike = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                one, other = (_marks(open_(x.as_py()).decode(), width) for x in (p, q))
+            for a, b, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                one, other = marks(a, p), marks(b, q)
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 alike.append(common >= similarity * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(np.array(alike, dtype=bool))
@@ -380,8 +410,8 @@ def _similar(own: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, simi
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _packed_texts(docs: DataFrame, width: int) -> DataFrame:
-    """``node, blob`` of every row of ``text``: the name of its set and the compressed text, which is a fraction of the hashes of its shingles."""
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """``node, blob`` of every row of ``node, text``: the compressed text, which is a fraction of the hashes of its shingles."""
 
     def run(batches):
         import pyarrow as pa
@@ -389,11 +419,10 @@ def _packed_texts(docs: DataFrame, width: int) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(0)]
-            nodes = pa.array([_node(_marks(t, width)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([press(t.encode()) for t in texts], pa.binary())], ["node", "blob"])
+            blobs = [press((t.as_py() or "").encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "blob"])
 
-    return docs.select("text").mapInArrow(run, "node long, blob binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, blob binary")
 
 
 def _cells(sets: DataFrame) -> DataFrame:
@@ -443,9 +472,13 @@ def near_rows(
     if radius is not None:
         linked = saved(_linked_sets(held, radius))
         named = connected_components(linked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), linked)
-    every = False
+    every, judged = False, None
     while True:
-        found = saved(_similar(own, sets, saved(_proposed(cells, sets, named, similarity, tile, every)), width, similarity))
+        pairs = _proposed(cells, sets, named, similarity, tile, every)
+        # A pair that was refused is proposed again for as long as its rows are apart, and need not be verified again.
+        pairs = saved(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"))
+        judged = pairs if judged is None else judged.unionByName(pairs)
+        found = saved(_similar(own, sets, pairs, width, similarity))
         new = not found.isEmpty()
         if new or named is None:
             # One link per row stands for all that made its component.

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from gridsmith.llm import simhash
 from gridsmith.llm.simhash import block_masks, fingerprint, links, simhash_components
 
 
@@ -101,3 +102,22 @@ def test_components(spark):
     expected = sorted([(d, f"{slow_fingerprint(t):016x}", first[label[slow_fingerprint(t)]]) for d, t in rows], key=str)
     assert sorted([(r.doc_id, r.fingerprint, r.component_id) for r in found], key=str) == expected
     assert simhash_components(docs.limit(0)).collect() == []
+
+
+def test_refused_pairs_are_verified_once(spark, monkeypatch):
+    """Texts of 500 shingles that share 440 of 560: their sketches let them pass, their sets do not, round after round."""
+    rows = []
+    for group in range(6):
+        words = [f"g{group}w{i}" for i in range(504)]
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join("new" + w if i % 40 == 20 and i < 480 else w for i, w in enumerate(words)))]
+    asked = []
+    plain = simhash._similar
+
+    def watched(own, sets, pairs, *more):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return plain(own, sets, pairs, *more)
+
+    monkeypatch.setattr(simhash, "_similar", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.near_groups(docs).count() == 0
+    assert asked and len(asked) == len(set(asked))
