@@ -5,7 +5,9 @@ first) is broadcast and each task searches it. A large one is cut into tiles
 around sampled pivots: bounds on the distance to a tile decide which tiles a
 row must visit, and each visit is a task that holds one tile of candidates and
 one block of rows. A crowded pivot is cut into rings by distance, and a ring of
-equal distances by hash, so no task holds an unbounded group.
+equal distances by hash, so no task holds an unbounded group. Rows without gaps
+know a bound on their distances from a sample of the candidates, visit only tiles
+that may lie within it, and in a tile meet only the boxes that may.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ from gridsmith.session import cut_lineage
 BROADCAST_CELLS = 80_000
 # A row meets the rows of the tiles it visits and the bounds of all tiles.
 TILE_ROWS = 2_000
+# Candidates without gaps are searched box by box, so their tiles may be larger, as long as there are tiles for all cores.
+FULL_TILE_ROWS = 16_000
+# Rows of a box, and numbers of the candidates from which bounds are told.
+BOX_ROWS = 128
+SAMPLE_CELLS = 160_000
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
 MAX_TILES = 200_000
@@ -56,6 +63,12 @@ def _search(q, t, k: int):
     y0 = np.where(y_known, y, 0.0)
     width = y.shape[1]
     parts = []
+    if y_full:
+        x, qids = np.stack(q["x"]), q["id"].to_numpy()
+        easy = np.isfinite(x).all(axis=1) if np.isfinite(y).all() else np.zeros(len(x), dtype=bool)
+        for r, c, distance in _search_boxes(x[easy], y, k):
+            parts.append((qids[easy][r], np.full(len(r), -1), tids[c], distance, payload[c]))
+        q = q[~easy]
     step = max(1, 4_000_000 // len(y))
     for start in range(0, len(q), step):
         part = q.iloc[start : start + step]
@@ -82,6 +95,74 @@ def _search(q, t, k: int):
     return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
 
 
+def _boxes(x, size: int) -> list:
+    """Numbers of the rows ``x`` in groups of at most ``size`` that lie together: halves along the widest coordinate."""
+    import numpy as np
+
+    left, out = [np.arange(len(x))], []
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        part = x[rows]
+        half = len(rows) // 2
+        order = np.argpartition(part[:, np.argmax(part.max(axis=0) - part.min(axis=0))], half)
+        left += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
+def _search_boxes(x, y, k: int):
+    """Row of ``x``, row of ``y`` and distance of the ``k`` nearest in ``y``, some rows of ``x`` after the other; neither has gaps.
+
+    The box nearest to a row gives a bound on its k-th distance, which tells the
+    boxes that can hold one of the k nearest.
+    """
+    import numpy as np
+
+    width = y.shape[1]
+
+    def distances(one, other):
+        gap = np.zeros((len(one), len(other)))
+        for i in range(width):
+            gap += (one[:, i : i + 1] - other[None, :, i]) ** 2
+        return np.sqrt(gap * width / float(width))
+
+    boxes = _boxes(y, max(BOX_ROWS, 2 * k))
+    low, high = np.stack([y[b].min(axis=0) for b in boxes]), np.stack([y[b].max(axis=0) for b in boxes])
+    step = max(1, 1_000_000 // len(boxes))
+    for start in range(0, len(x), step):
+        part = x[start : start + step]
+        away = np.zeros((len(part), len(boxes)))
+        for i in range(width):
+            apart = np.maximum(low[None, :, i] - part[:, i : i + 1], part[:, i : i + 1] - high[None, :, i])
+            np.maximum(apart, 0.0, out=apart)
+            away += apart * apart
+        np.sqrt(away, out=away)
+        own = away.argmin(axis=1)
+        reach = np.full(len(part), np.inf)
+        for box in np.unique(own):
+            if len(boxes[box]) >= k:
+                rows = np.flatnonzero(own == box)
+                reach[rows] = np.partition(distances(part[rows], y[boxes[box]]), k - 1, axis=1)[:, k - 1]
+        reach = reach * (1 + 1e-9) + 1e-12
+        met = np.ascontiguousarray((away <= reach[:, None]).T)
+        found = []
+        for box, columns in enumerate(boxes):
+            rows = np.flatnonzero(met[box])
+            if len(rows):
+                near = distances(part[rows], y[columns])
+                i, j = np.nonzero((near <= reach[rows][:, None]) & np.isfinite(near))
+                found.append((rows[i], columns[j], near[i, j]))
+        if found:
+            r, c, distance = (np.concatenate(f) for f in zip(*found, strict=True))
+            # In the order of ``y``, by which ties are settled.
+            order = np.lexsort((c, distance, r))
+            r, c, distance = r[order], c[order], distance[order]
+            kept = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+            yield r[kept] + start, c[kept], distance[kept]
+
+
 def _smallest(distance, k: int):
     """Row and column of the ``k`` smallest finite values of every row, in order; of equal values the first columns."""
     import numpy as np
@@ -102,7 +183,7 @@ def nearest(
     k: int,
     exclude_self: bool = False,
     broadcast_cells: int = BROADCAST_CELLS,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """``qid, feature, tid, distance, payload, rank`` of the k nearest candidates.
@@ -188,8 +269,11 @@ class _Tiles:
         self.pattern, self.exact, self.pivot = of(0, int), of(1, bool), of(2, int)
         self.rows, self.low, self.high = of(3, float), of(4, float), of(5, float)
 
-    def visits(self, x, k: int):
-        """Pairs (row, tile) of which the tile may hold one of the row's ``k`` nearest, for rows ``x`` with the same gaps."""
+    def visits(self, x, k: int, reach=None):
+        """Pairs (row, tile) of which the tile may hold one of the row's ``k`` nearest, for rows ``x`` with the same gaps.
+
+        ``reach`` is a bound on the k-th distance of every row, where one is known.
+        """
         import numpy as np
 
         known = ~np.isnan(x[0])
@@ -200,9 +284,20 @@ class _Tiles:
             both = has & known
             if not len(mine):
                 continue
-            at = np.sqrt(((x[:, None, both] - self.centre[None, :, both]) ** 2).sum(axis=2))[:, self.pivot[mine]]
+            every = np.sqrt(((x[:, None, both] - self.centre[None, :, both]) ** 2).sum(axis=2))
+            at = every[:, self.pivot[mine]]
             near = np.maximum(at - self.high[mine], 0.0)
             if both.sum() == has.sum():
+                # Rows of a tile are no nearer to the row's own pivot than to theirs: they lie behind the plane between.
+                spots = self.centre[:, has]
+                own = every.argmin(axis=1)
+                between = np.stack([np.sqrt(((spots - c) ** 2).sum(axis=1)) for c in spots])[own][:, self.pivot[mine]]
+                mine_own, theirs = every[np.arange(len(x)), own][:, None] ** 2, at**2
+                # Squares round, where pivots are close beside their distance from the rows.
+                round_off = 1e-14 * width * (theirs + mine_own + self.high[mine] ** 2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    behind = (theirs - mine_own - round_off) / (2 * between)
+                near = np.fmax(near, np.where(between > 0, behind, 0.0))
                 # The inner side of a ring bounds too, but only where the row has all its coordinates.
                 near = np.maximum(near, self.low[mine] - at)
             exact = self.exact[mine]
@@ -216,6 +311,9 @@ class _Tiles:
         wanted = np.zeros(low.shape, dtype=bool)
         for feature in np.flatnonzero(~known) if not known.all() else [-1]:
             has = np.ones(len(self.pattern), dtype=bool) if feature < 0 else self.patterns[self.pattern, feature]
+            if reach is not None:
+                wanted |= (low <= reach[:, None] * (1 + 1e-9) + 1e-12) & (has | ~self.exact)
+                continue
             side = np.where(has, high, np.inf)
             order = np.argsort(side, axis=1)
             total = np.cumsum(np.take_along_axis(np.where(np.isfinite(side), self.rows, 0.0), order, axis=1), axis=1)
@@ -231,13 +329,18 @@ def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
     import pandas as pd
 
     spark = queries.sparkSession
-    tile_rows = max(tile_rows, math.ceil(n / MAX_TILES))
-    pivots = pivots or min(MAX_PIVOTS, max(2, int(math.sqrt(n / tile_rows)) * 4))
     # The most frequent patterns of known coordinates have an index of their own.
     told = candidates.groupBy(_known("x").alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(MAX_PATTERNS).collect()
     patterns = [r["p"] for r in told]
     masks = np.array([[v == "1" for v in p] for p in patterns], dtype=bool)
     width = masks.shape[1]
+    full = len(patterns) == 1 and bool(masks.all())
+    if tile_rows is None:
+        tile_rows = max(TILE_ROWS, min(FULL_TILE_ROWS, n // (4 * spark.sparkContext.defaultParallelism))) if full else TILE_ROWS
+        if full:
+            pivots = pivots or min(MAX_PIVOTS, max(2, math.ceil(2 * n / tile_rows)))
+    tile_rows = max(tile_rows, math.ceil(n / MAX_TILES))
+    pivots = pivots or min(MAX_PIVOTS, max(2, int(math.sqrt(n / tile_rows)) * 4))
     picked = np.stack(candidates.select("id", "x").orderBy(hash_order(["id"])).limit(pivots).toPandas()["x"])
     # Gaps of a pivot are filled: any place will do.
     known = ~np.isnan(picked)
@@ -291,6 +394,13 @@ def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("tile"),
     )
     where = _Tiles(centre, [*patterns, "0" * width], tiles)
+    # The k-th distance to some of the candidates bounds that to all of them.
+    some = np.zeros((0, width))
+    if full:
+        share = F.lit(1_000_000 * min(1.0, SAMPLE_CELLS / (width * n)))
+        drawn = candidates.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share).select("x").toPandas()
+        some = np.stack(drawn["x"]) if len(drawn) >= k else some
+        some = some if np.isfinite(some).all() else some[:0]
 
     def route(batches):
         for batch in batches:
@@ -301,9 +411,14 @@ def _nearest_tiled(queries, candidates, k, schema, n, tile_rows, pivots):
             step = max(1, 2_000_000 // max(len(tiles), len(centre) * width))
             for number in range(len(distinct)):
                 same = np.flatnonzero(which.reshape(-1) == number)
+                reach = None
+                if len(some) and np.isfinite(x[same]).all():
+                    reach = np.zeros(len(x))
+                    for r, _, distance in _search_boxes(x[same], some, k):
+                        np.maximum.at(reach, same[r], distance)
                 for start in range(0, len(same), step):
                     rows = same[start : start + step]
-                    r, tile = where.visits(x[rows], k)
+                    r, tile = where.visits(x[rows], k, None if reach is None else reach[rows])
                     yield pd.DataFrame({
                         "id": batch["id"].to_numpy()[rows[r]], "x": batch["x"].to_numpy()[rows[r]], "tile": tile.astype("int32"),
                     })

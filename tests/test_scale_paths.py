@@ -273,6 +273,26 @@ def test_nearest_under_gaps_visits_few_tiles(spark, monkeypatch, patterns):
     assert patterns < 64 or visits < 0.6 * len(x)
 
 
+def test_nearest_without_gaps_visits_few_tiles(spark, monkeypatch):
+    """Dense points, copies among them: a row knows from a sample how far its neighbours can be and visits its surroundings only."""
+    rng = np.random.default_rng(6)
+    x = np.hstack([rng.normal(size=(6000, 2)), rng.integers(0, 4, size=(6000, 1))])
+    x[:50], x[50:60] = x[100:150], x[50]
+    routed = []
+    keep = neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda df: routed.append(keep(df)) or routed[-1])
+    t = spark.createDataFrame([(i, p.tolist(), [float(i)]) for i, p in enumerate(x)], "id bigint, x array<double>, payload array<double>")
+    got = {}
+    for r in neighbors.nearest(t.select("id", "x"), t, 4, exclude_self=True, broadcast_cells=0, tile_rows=300, pivots=40).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["distance"], r["tid"], r["payload"][0]))
+    for i in [*range(120), *range(120, 6000, 37)]:
+        d = np.sqrt((((x - x[i]) ** 2)[:, 0] + ((x - x[i]) ** 2)[:, 1] + ((x - x[i]) ** 2)[:, 2]) * 3 / 3.0)
+        near = [j for j in np.lexsort((np.arange(6000), d)) if j != i][:4]
+        assert sorted(got[i]) == [(n + 1, d[j], j, float(j)) for n, j in enumerate(near)]
+    tiles = next(r for r in routed if "tile" in r.columns)
+    assert tiles.count() < 3 * len(x)
+
+
 def test_wide_singular_values_without_a_square_matrix(spark):
     from gridsmith.operators.stages import truncated_svd
 
