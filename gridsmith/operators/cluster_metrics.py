@@ -11,9 +11,13 @@ from gridsmith.functions.scalars import as_column
 from gridsmith.operators.tiles import ROWS_PER_BLOCK, as_array, block_count, compare_blocks
 
 #: Blocks of points grow up to this many times their rows, as long as there are so many blocks.
-WIDEST, MANY_BLOCKS = 4, 32
+WIDEST, MANY_BLOCKS = 8, 16
 #: Points whose distances a task takes at once, and from how many others.
 PAIRS_HIGH, PAIRS_WIDE = 32, 4096
+#: Sums per point and cluster that a block of more rows may hold.
+SUMS = 4_000_000
+#: Squared distances below this share of the squared lengths are taken from differences, not from a product.
+CLOSE = 1e-4
 MIN_CLUSTER_ROWS = 5
 MIN_ROWS = 10
 
@@ -122,16 +126,19 @@ def silhouette_points(
     """Exact Euclidean silhouette of every clustered point: ``key, cluster, silhouette``.
 
     The measure itself needs every distance, so the work grows with the square
-    of the rows; ``silhouette_sq_euclidean`` is the linear-cost figure. Blocks
-    return distance sums per point and cluster, not distances.
+    of the rows; ``silhouette_sq_euclidean`` is the linear-cost figure. Each two
+    blocks meet once and return distance sums per point of either and cluster, not
+    distances.
     """
     points = df.select(
         as_column(key).alias("key"), as_column(label).cast("bigint").alias("c"), as_array(df, features).alias("x")
     ).filter(F.col("c") >= 0)
     sizes = points.groupBy(F.col("c").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    n = points.count()
-    # Rows are sent to every block; blocks of a large table hold more of them, up to a bound.
-    blocks = block_count(n, max(rows_per_block, min(WIDEST * rows_per_block, math.ceil(n / MANY_BLOCKS))))
+    n, clusters = points.agg(F.count(F.lit(1)), F.count_distinct("c")).first()
+    # Rows are sent to every block; blocks of a large table hold more of them, up to a bound, and a task the sums of few clusters.
+    blocks = block_count(n, max(rows_per_block, min(WIDEST * rows_per_block, math.ceil(n / MANY_BLOCKS), SUMS // max(clusters, 1))))
+
+    kind = points.schema["key"].dataType.simpleString()
 
     def sums(a, b):
         import numpy as np
@@ -139,37 +146,56 @@ def silhouette_points(
 
         if not len(a) or not len(b):
             return pd.DataFrame({"key": a["key"][:0], "c": [], "other": [], "total": []})
+        alone = a["_i"].iloc[0] == a["_j"].iloc[0]
+        # Rows of a cluster lie side by side, so sums over a cluster are sums over a run of rows or columns.
+        a, b = a.sort_values("c", kind="stable"), b.sort_values("c", kind="stable")
         x, y = np.stack(a["x"]), np.stack(b["x"])
-        labels = b["c"].to_numpy()
-        found, place = np.unique(labels, return_inverse=True)
-        onehot = np.zeros((len(labels), len(found)))
-        onehot[np.arange(len(labels)), place] = 1.0
-        total = np.zeros((len(x), len(found)))
-        columns = np.ascontiguousarray(y.T)
+        (found_a, runs_a), (found_b, runs_b) = (np.unique(part["c"].to_numpy(), return_index=True) for part in (a, b))
+        of_a, of_b = np.zeros((len(x), len(found_b))), np.zeros((len(found_a), len(y)))
+
+        def cuts(runs, first, last):
+            begun = np.searchsorted(runs, first, side="right") - 1
+            inside = runs[begun : np.searchsorted(runs, last)] - first
+            return slice(begun, begun + len(inside)), np.maximum(inside, 0)
+
+        # Squared distances by one product, around a common middle: |u|^2 - 2 u v + |v|^2.
+        middle = y.mean(axis=0)
+        largest = max(((y[first : first + PAIRS_WIDE] - middle) ** 2).sum(axis=1).max() for first in range(0, len(y), PAIRS_WIDE))
         # Squares of so few pairs at a time stay in the processor's cache.
         for first in range(0, len(y), PAIRS_WIDE):
-            near, some = columns[:, first : first + PAIRS_WIDE], onehot[first : first + PAIRS_WIDE]
-            step = np.empty((PAIRS_HIGH, near.shape[1]))
+            near = y[first : first + PAIRS_WIDE]
+            v = near - middle
+            right = np.ascontiguousarray(np.hstack([v, np.ones((len(v), 1)), (v * v).sum(axis=1)[:, None]]).T)
+            columns, at_b = cuts(runs_b, first, first + len(near))
+            step = np.empty((PAIRS_HIGH, len(near)))
             for start in range(0, len(x), PAIRS_HIGH):
                 mine = x[start : start + PAIRS_HIGH]
-                gap, apart = np.zeros((len(mine), near.shape[1])), step[: len(mine)]
-                for i in range(x.shape[1]):
-                    np.subtract(mine[:, i : i + 1], near[i], out=apart)
-                    np.multiply(apart, apart, out=apart)
-                    np.add(gap, apart, out=gap)
-                total[start : start + PAIRS_HIGH] += np.sqrt(gap, out=gap) @ some
-        return pd.DataFrame(
-            {
-                "key": np.repeat(a["key"].to_numpy(), len(found)),
-                "c": np.repeat(a["c"].to_numpy(), len(found)),
-                "other": np.tile(found, len(a)),
-                "total": total.ravel(),
-            }
-        )
+                u = mine - middle
+                size = (u * u).sum(axis=1)
+                gap = np.matmul(np.hstack([-2 * u, size[:, None], np.ones((len(u), 1))]), right, out=step[: len(mine)])
+                # Products round where differences do not; pairs so close are worked out from these.
+                edge = CLOSE * (size.max() + largest)
+                if not gap.min() > edge:
+                    i, j = np.divmod(np.flatnonzero(~(gap > edge)), len(near))
+                    for at in range(0, len(i), PAIRS_WIDE):
+                        r, c = i[at : at + PAIRS_WIDE], j[at : at + PAIRS_WIDE]
+                        gap[r, c] = ((mine[r] - near[c]) ** 2).sum(axis=1)
+                np.sqrt(gap, out=gap)
+                of_a[start : start + len(mine), columns] += np.add.reduceat(gap, at_b, axis=1)
+                if not alone:
+                    rows, at_a = cuts(runs_a, start, start + len(mine))
+                    of_b[rows, first : first + len(near)] += np.add.reduceat(gap, at_a, axis=0)
+
+        def told(part, found, total):
+            return pd.DataFrame({
+                "key": np.repeat(part["key"].to_numpy(), len(found)), "c": np.repeat(part["c"].to_numpy(), len(found)),
+                "other": np.tile(found, len(part)), "total": total.ravel(),
+            })
+
+        return told(a, found_b, of_a) if alone else pd.concat([told(a, found_b, of_a), told(b, found_a, of_b.T)])
 
-    kind = points.schema["key"].dataType.simpleString()
     per_block = compare_blocks(
-        points, points, "key", blocks, blocks, sums, f"key {kind}, c bigint, other bigint, total double"
+        points, points, "key", blocks, blocks, sums, f"key {kind}, c bigint, other bigint, total double", True
     )
     totals = per_block.groupBy("key", "c", "other").agg(F.sum("total").alias("total"))
     mine = F.col("c") == F.col("other")

@@ -41,19 +41,27 @@ def compare_blocks(
     right_blocks: int,
     compare: Callable,
     schema: str,
+    once: bool = False,
 ) -> DataFrame:
-    """Apply ``compare(left block, right block)`` to every pair of blocks."""
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    """Apply ``compare(left block, right block)`` to every pair of blocks.
+
+    With ``once`` both sides are the same rows in as many blocks, and of blocks
+    ``_i`` and ``_j`` only those with ``_i <= _j`` meet.
+    """
+    def numbers(n: int, low: Column | None = None, high: Column | None = None) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint") if low is None else low, F.lit(n - 1).cast("bigint") if high is None else high))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n).cast("bigint"))
 
-    a = left.withColumn("_i", block(left_blocks)).withColumn("_j", numbers(right_blocks))
+    a = left.withColumn("_i", block(left_blocks)).withColumn("_j", numbers(right_blocks, F.col("_i") if once else None))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    b = right.withColumn("_j", block(right_blocks)).withColumn("_i", numbers(left_blocks))
+    b = right.withColumn("_j", block(right_blocks)).withColumn("_i", numbers(left_blocks, None, F.col("_j") if once else None))
+    # Blocks are few bytes but much work, which the planner cannot know.
+    pairs = left_blocks * right_blocks
+    tasks = min(4 * pairs, max(16 * left.sparkSession.sparkContext.defaultParallelism, pairs))
     return (
-        a.groupBy("_i", "_j")
-        .cogroup(b.groupBy("_i", "_j"))
+        a.repartition(tasks, "_i", "_j").groupBy("_i", "_j")
+        .cogroup(b.repartition(tasks, "_i", "_j").groupBy("_i", "_j"))
         .applyInPandas(compare, schema)
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridsmith.operators import association, cluster_metrics, cumulate, density, neighbors, sampling
+from gridsmith.operators import association, cluster_metrics, cumulate, density, neighbors, sampling, tiles
 from gridsmith.operators.codes import code_table
 from gridsmith.operators.counting import distinct_near, distinct_within
 from gridsmith.operators.cumulate import exact_quantiles, grouped_quantiles, running_totals
@@ -427,3 +427,32 @@ def test_silhouette_blocks_of_a_large_table_hold_more_rows(spark, monkeypatch):
         a = away[clustered[k % 4]].sum() / (len(clustered[k % 4]) - 1)
         b = min(away[rows].mean() for c, rows in clustered.items() if c != k % 4)
         assert abs(whole[k] - (b - a) / max(a, b)) < 1e-12
+
+
+def test_each_two_blocks_of_points_meet_once(spark):
+    df = spark.range(200).select("id", F.array(F.col("id").cast("double")).alias("x"))
+
+    def met(a, b):
+        import pandas as pd
+
+        return pd.DataFrame({"i": [a["_i"].iloc[0]], "j": [a["_j"].iloc[0]], "pairs": [len(a) * len(b)]})
+
+    rows = tiles.compare_blocks(df, df, "id", 5, 5, met, "i bigint, j bigint, pairs bigint", True).collect()
+    assert sorted((r.i, r.j) for r in rows) == [(i, j) for i in range(5) for j in range(i, 5)]
+    assert sum(r.pairs * (1 if r.i == r.j else 2) for r in rows) == 200 * 200
+
+
+def test_silhouette_of_close_points_far_from_the_origin(spark):
+    """Squares of coordinates would swallow the distances: copies are at distance nothing, near points at theirs."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(30, 3)) * 1e-3, rng.normal(size=(30, 3)) * 1e-3 + 0.01, np.full((20, 3), 7.0), np.full((20, 3), 9.0)]) + 1e5
+    x[:5] = x[5]
+    label = [0] * 30 + [1] * 30 + [2] * 20 + [3] * 20
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, x array<double>, cluster long")
+    for rows in (17, 1000):
+        got = {r.id: r.silhouette for r in cluster_metrics.silhouette_points(df, "id", "x", rows_per_block=rows).collect()}
+        for i in range(100):
+            away = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+            mean = [away[np.array(label) == c].sum() / (label.count(c) - (c == label[i])) for c in range(4)]
+            a, b = mean[label[i]], min(m for c, m in enumerate(mean) if c != label[i])
+            assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
