@@ -27,6 +27,12 @@ GRID_DIMENSIONS = 4
 POINTS_PER_BOX = 1000
 # Coordinates of wider points along which tiles may be cut.
 COORDINATES = 16
+# Points that every other meets first, up to so many numbers; tables of fewer than twice as many points do without.
+PROBES, PROBE_CELLS = 8192, 2_000_000
+# Rows that are compared at once, so that their distances stay in the processor's cache, and with how many others.
+ROWS_HIGH, ROWS_WIDE = 64, 4096
+# Open and settled rows of a block.
+OPEN_ROWS, SETTLED_ROWS = 16_384, 65_536
 
 
 def dbscan(
@@ -368,17 +374,45 @@ def _within(a, b, eps: float, metric: str):
         for i in range(a.shape[1]):
             total += np.abs(a[:, i : i + 1] - b[None, :, i])
         return total <= eps
-    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-    gap = size - 2 * (a @ b.T)
+    one, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    gap = np.hstack([-2 * a, one[:, None], np.ones((len(a), 1))]) @ np.hstack([b, np.ones((len(b), 1)), other[:, None]]).T
     near = gap <= eps * eps
     # Products round where differences do not; what lies on the edge is worked out from these.
-    i, j = np.nonzero(np.abs(gap - eps * eps) <= 1e-12 * (size + eps * eps) * a.shape[1])
+    edge = 1e-12 * (one.max(initial=0.0) + other.max(initial=0.0) + eps * eps) * a.shape[1]
+    np.abs(np.subtract(gap, eps * eps, out=gap), out=gap)
+    i, j = np.divmod(np.flatnonzero(~(gap > edge)), max(len(b), 1))
+    own = ~(gap[i, j] > 1e-12 * (one[i] + other[j] + eps * eps) * a.shape[1])
+    i, j = i[own], j[own]
     for at in range(0, len(i), 100_000):
         d = a[i[at : at + 100_000]] - b[j[at : at + 100_000]]
         near[i[at : at + 100_000], j[at : at + 100_000]] = (d * d).sum(axis=1) <= eps * eps
     return near
 
 
+def _met(a, b, eps: float, metric: str):
+    """``_within`` of a few rows at a time: where they begin in ``a`` and in ``b``, and which are within reach."""
+    for first in range(0, len(b), ROWS_WIDE):
+        for start in range(0, len(a), ROWS_HIGH):
+            yield start, first, _within(a[start : start + ROWS_HIGH], b[first : first + ROWS_WIDE], eps, metric)
+
+
+def _weights(a, b, weight_a, weight_b, eps: float, metric: str):
+    """What the rows of ``b`` within reach of each row of ``a`` weigh, and the other way round."""
+    import numpy as np
+
+    of_a, of_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    for start, first, near in _met(a, b, eps, metric):
+        if 8 * np.count_nonzero(near) > near.size:
+            near = near.astype(np.float64)
+            of_a[start : start + near.shape[0]] += (near @ weight_b[first : first + near.shape[1]].astype(np.float64)).astype(np.int64)
+            of_b[first : first + near.shape[1]] += (weight_a[start : start + near.shape[0]].astype(np.float64) @ near).astype(np.int64)
+            continue
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        of_a[start : start + near.shape[0]] += np.bincount(i, weight_b[first + j], near.shape[0]).astype(np.int64)
+        of_b[first : first + near.shape[1]] += np.bincount(j, weight_a[start + i], near.shape[1]).astype(np.int64)
+    return of_a, of_b
+
+
 def _smallest(n: int, i, j):
     """For each of ``n`` places the smallest one it is linked to, by links ``i, j``."""
     import numpy as np
@@ -393,15 +427,119 @@ def _smallest(n: int, i, j):
             root = up
 
 
+def _settled(placed: DataFrame, n: int, width: int, eps: float, min_samples: int, metric: str) -> DataFrame | None:
+    """``id`` of core points that are known to be one cluster, if these are half of all or more.
+
+    Every point meets some points that a hash draws. Who has ``min_samples`` of
+    them within reach is core, and cores that share a core probe hang together.
+    """
+    import numpy as np
+
+    spark = placed.sparkSession
+    probes = min(PROBES, PROBE_CELLS // width)
+    if n < 2 * probes:
+        return None
+    drawn = placed.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * (probes / n)).select("x", "w").toPandas()
+    if not len(drawn):
+        return None
+    s, weight = np.stack(drawn["x"]), drawn["w"].to_numpy()
+    sure = _weights(s, s, weight, weight, eps, metric)[0] >= min_samples
+    s, all_s, rooted = s[sure], s, np.arange(int(sure.sum()))
+    if not len(s):
+        return None
+    for start in range(0, len(s), ROWS_HIGH):
+        i, j = np.nonzero(_within(s[start : start + ROWS_HIGH], s, eps, metric))
+        rooted = _smallest(len(s), np.concatenate([np.arange(len(s)), start + i]), np.concatenate([rooted, j]))
+    shared = spark.sparkContext.broadcast((all_s, weight, sure, rooted))
+
+    def probe(batches):
+        import pandas as pd
+
+        all_s, weight, sure, rooted = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, links = np.stack(batch["x"].to_numpy()), []
+            root = np.full(len(a), -1)
+            for start in range(0, len(a), ROWS_HIGH):
+                near = _within(a[start : start + ROWS_HIGH], all_s, eps, metric)
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                core = np.bincount(i, weight[j], near.shape[0]) >= min_samples
+                kept = core[i] & sure[j]
+                i, j = i[kept], rooted[(np.cumsum(sure) - 1)[j[kept]]]
+                if len(i):
+                    same = i[1:] == i[:-1]
+                    links.append(np.unique(np.stack([j[:-1][same], j[1:][same]], axis=1), axis=0))
+                    root[start + i] = j
+            links = np.concatenate(links) if links else np.zeros((0, 2), dtype=int)
+            first = _smallest(len(rooted), links[:, 0], links[:, 1])
+            moved = np.flatnonzero(first != np.arange(len(first)))
+            known = np.flatnonzero(root >= 0)
+            ids = np.concatenate([batch["id"].to_numpy()[known], np.full(len(moved), None, dtype=object)])
+            yield pd.DataFrame({"id": ids, "a": np.concatenate([first[root[known]], first[moved]]), "b": np.concatenate([np.full(len(known), -1), moved])})
+
+    spread = placed.select("id", "x").repartition(4 * spark.sparkContext.defaultParallelism, "id")
+    probed = cut_lineage(spread.mapInPandas(probe, "id string, a long, b long"))
+    shared.destroy()
+    links = probed.filter("id is null").select("a", "b").distinct().toPandas()
+    first = _smallest(len(rooted), links["a"].to_numpy(), links["b"].to_numpy())
+    counts = probed.filter("id is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = np.zeros(len(rooted), dtype=np.int64)
+    for r in counts:
+        total[first[r["a"]]] += r["n"]
+    if 2 * total.max() < n:
+        return None
+    largest = spark.createDataFrame([(int(r["a"]),) for r in counts if first[r["a"]] == total.argmax()], "a long")
+    return probed.filter("id is not null").join(F.broadcast(largest), "a", "left_semi").select("id")
+
+
+def _near_settled(placed: DataFrame, reach: float, eps: float, metric: str) -> DataFrame:
+    """``id, near``: what the settled points within reach of each open one weigh, where there are any."""
+    # Open points are dealt to strips along the first coordinate, settled ones visit the strips around theirs.
+    strip = F.floor(F.col("at")[0] / F.lit(reach))
+    parts = placed.select("id", "x", "w", "open", F.explode(F.when(F.col("open"), F.array(strip)).otherwise(F.array(strip - 1, strip, strip + 1))).alias("strip"))
+    rows = parts.groupBy("strip").agg(F.count_if("open").alias("o"), F.count_if(~F.col("open")).alias("s")).filter("o > 0 and s > 0")
+    blocks = rows.select("strip", F.ceil(F.col("o") / OPEN_ROWS).alias("o"), F.ceil(F.col("s") / SETTLED_ROWS).alias("s"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("open"), F.col("o")).otherwise(F.col("s")))
+    zero = F.lit(0).cast("bigint")
+    other = F.explode(F.sequence(zero, F.when(F.col("open"), F.col("s")).otherwise(F.col("o")) - 1))
+    dealt = parts.join(blocks, "strip").select("id", "x", "w", "open", "strip", own.alias("own"), other.alias("other")).select(
+        "id", "x", "w", "open", "strip", F.when(F.col("open"), F.col("own")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("open"), F.col("other")).otherwise(F.col("own")).alias("j"),
+    )
+
+    def weigh(part):
+        import numpy as np
+        import pandas as pd
+
+        here, there = part[part["open"]], part[~part["open"]]
+        if not len(here) or not len(there):
+            return pd.DataFrame({"id": here["id"][:0], "near": np.zeros(0, dtype=np.int64)})
+        near, _ = _weights(np.stack(here["x"].to_numpy()), np.stack(there["x"].to_numpy()), here["w"].to_numpy(), there["w"].to_numpy(), eps, metric)
+        return pd.DataFrame({"id": here["id"], "near": near})[near > 0]
+
+    # Blocks are few bytes but much work, which the planner cannot know.
+    tasks = 16 * placed.sparkSession.sparkContext.defaultParallelism
+    met = dealt.repartition(tasks, "strip", "i", "j").groupBy("strip", "i", "j").applyInPandas(weigh, "id string, near bigint")
+    return met.groupBy("id").agg(F.sum("near").alias("near"))
+
+
 def _on_projections(points: DataFrame, width: int, eps: float, min_samples: int, metric: str, per_tile: int) -> DataFrame:
     """Any width and metric: a grid on few coordinates tells which rows may be near, and tiles of them are compared in full.
 
-    A tile returns counts for its rows, then a spanning forest of its core points
-    and the core points near each other point, which are fewer than
-    ``min_samples``; never all pairs.
+    Points that some probes tell to be core and of one cluster are settled. Open
+    points meet them in blocks and one another in tiles. A tile returns counts for
+    its rows, then a spanning forest of its core points and the core points near
+    each other point, which are fewer than ``min_samples``; never all pairs.
     """
     reach = (math.sqrt(2 * eps) if metric == "cosine" else eps) * (1 + 1e-9) + 1e-12
     placed = cut_lineage(_placed(points, width, metric))
+    settled = _settled(placed, placed.count(), width, eps, min_samples, metric)
+    everything = crossed = None
+    if settled is not None:
+        everything = cut_lineage(placed.join(settled.withColumn("_s", F.lit(True)), "id", "left").withColumn("open", F.col("_s").isNull()).drop("_s"))
+        crossed = cut_lineage(_near_settled(everything, reach, eps, metric))
+        placed = everything.filter("open")
     tiles = cut_lineage(_tiles(placed.select("id", "at"), width, reach, per_tile))
     slim = placed.select("id", "x", "w")
 
@@ -417,18 +555,14 @@ def _on_projections(points: DataFrame, width: int, eps: float, min_samples: int,
         import pandas as pd
 
         home, guests, a, b = sides(part)
-        near = np.zeros(len(home), dtype=np.int64)
+        near, back = _weights(a, b, home["w"].to_numpy(), guests["w"].to_numpy(), eps, metric)
         if home["own"].iloc[0]:
-            near += _within(a, a, eps, metric) @ home["w"].to_numpy()
-        back = np.zeros(len(guests), dtype=np.int64)
-        if len(guests):
-            met = _within(a, b, eps, metric)
-            near += met @ guests["w"].to_numpy()
-            back = home["w"].to_numpy() @ met
+            near += _weights(a, a, home["w"].to_numpy(), home["w"].to_numpy(), eps, metric)[0]
         return pd.DataFrame({"id": np.concatenate([home["id"], guests["id"]]), "near": np.concatenate([near, back])})
 
     met = tiles.join(slim, "id")
-    near = met.groupBy("tile").applyInPandas(count, "id string, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+    near = met.groupBy("tile").applyInPandas(count, "id string, near bigint")
+    near = (near if crossed is None else near.unionByName(crossed)).groupBy("id").agg(F.sum("near").alias("near"))
     core = cut_lineage(near.select("id", (F.col("near") >= min_samples).alias("core")))
 
     def link(part):
@@ -457,10 +591,20 @@ def _on_projections(points: DataFrame, width: int, eps: float, min_samples: int,
         })
 
     told = met.join(core, "id").groupBy("tile").applyInPandas(link, "a string, b string, core boolean")
+    if crossed is not None:
+        # All settled points are core points of one cluster: the first of them stands for it.
+        stands = F.lit(everything.filter("not open").agg(F.min("id")).first()[0])
+        told = told.unionByName(crossed.join(core, "id").select(F.when(F.col("core"), stands).otherwise(F.col("id")).alias("a"), F.when(F.col("core"), F.col("id")).otherwise(stands).alias("b"), "core"))
+        core = core.unionByName(everything.filter("not open").select("id", F.lit(True).alias("core")))
     edges = cut_lineage(told.distinct())
     state = points.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
     nodes = state.filter("core").select(F.col("id").alias("node"))
     named = connected_components(nodes, edges.filter("core").select("a", "b"))
+    if crossed is not None:
+        # Settled points come without links of their own.
+        its = named.filter(F.col("node") == stands).select("component")
+        alike = everything.filter("not open").select(F.col("id").alias("node")).crossJoin(F.broadcast(its))
+        named = cut_lineage(named.join(alike.select("node"), "node", "left_anti").unionByName(alike))
     components = named.select(F.col("node").alias("_n"), "component")
     reach_of = (
         edges.filter("not core").join(components, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_l")).agg(F.collect_set("component").alias("reach"))

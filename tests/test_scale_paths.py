@@ -140,6 +140,28 @@ def test_dbscan_by_brute_force(spark, width, eps, least, metric, per_box):
     assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, eps, least, metric))
 
 
+@pytest.mark.parametrize("width,eps,metric", [(5, 1.2, "euclidean"), (6, 3.0, "manhattan"), (16, 0.1, "cosine")])
+def test_dbscan_compares_open_points_only(spark, monkeypatch, width, eps, metric):
+    """Most points hang together by way of a few: only the others are dealt to tiles, and the labels are those of all pairs."""
+    rng = np.random.default_rng(3)
+    far = np.where(np.arange(width) % 2, -3.0, 3.0)
+    x = np.vstack([
+        rng.normal(3, 0.5, size=(600, width)), far + rng.normal(0, 0.3, size=(60, width)), rng.uniform(-6, 8, size=(60, width)),
+        np.tile(far * 2.5, (9, 1)), 3 + rng.normal(0, 0.85, size=(60, width)),
+    ])
+    monkeypatch.setattr(density, "PROBES", 80)
+    monkeypatch.setattr(density, "OPEN_ROWS", 40)
+    monkeypatch.setattr(density, "SETTLED_ROWS", 90)
+    dealt = []
+    plain = density._tiles
+    monkeypatch.setattr(density, "_tiles", lambda points, *more: dealt.append(points.count()) or plain(points, *more))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, x array<double>")
+    got = {r["id"]: r["cluster"] for r in density.dbscan(df, "id", "x", eps, 5, metric).collect()}
+    want = list(brute_dbscan(x, eps, 5, metric))
+    assert [got[i] for i in range(len(x))] == want and len(set(want)) > 2 and -1 in want
+    assert dealt[0] < len(x) / 2
+
+
 def test_silhouette_in_small_blocks(spark):
     rng = np.random.default_rng(5)
     x, c = rng.normal(size=(120, 2)), rng.integers(-1, 3, 120)
